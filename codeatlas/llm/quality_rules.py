@@ -36,17 +36,21 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of each whole text."""
+def statistics(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """doc_id and the counts of each whole text; with `carry`, also that as `carried`.
+
+    No filter on the counts may be pushed below them (it would repeat them for each use): `row` is there to prevent it.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = docs.select("doc_id", text.alias("text"), words_of(text).alias("words"))
+    carried = F.lit(None) if carry is None else carry
+    a = docs.select("doc_id", carried.alias("carried"), text.alias("text"), words_of(text).alias("words"))
     b = a.select(
-        "doc_id", "text", "words", F.size("words").cast("long").alias("n_words"),
+        "doc_id", "carried", "text", "words", F.size("words").cast("long").alias("n_words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{ASCII_SPACE}]")).alias("lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
     c = b.select(
-        "doc_id", "n_words",
+        "doc_id", "carried", "n_words",
         _without(F.col("text"), " \t\n\x0b\x0c\r").alias("n_space"), F.length("text").alias("n_chars"),
         _without(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         _without(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"), _without(F.col("text"), "0123456789").alias("n_digits"),
@@ -63,7 +67,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     return e.select(
         "doc_id", "n_words", (F.col("n_chars") - F.col("n_space")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines",
         F.coalesce(F.aggregate(steps, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long").alias("n_repeat_words"),
-        "n_upper", "n_digits", "n_bangs", "n_stops", "n_lines", "n_distinct",
+        "n_upper", "n_digits", "n_bangs", "n_stops", "n_lines", "n_distinct", "carried", F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -151,3 +155,9 @@ def verdict(rules: list[Rule]) -> tuple[Column, Column]:
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     rule, kept = verdict(rules)
     return statistics(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE_FAILED).alias("base_failed"), kept.alias("kept"), rule.alias("rule"))
+
+
+def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of `docs` that are kept, with all their columns."""
+    kept = statistics(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns])).where(verdict(rules)[1] & (F.col("row") >= 0))
+    return kept.select("carried.*")

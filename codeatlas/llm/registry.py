@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, quality_rules, token_blocks
+from . import decontaminate, language_id, ngram_join, quality_rules, soft_mixing, token_blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +33,28 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+#: Shares of tokens by domain: what is neither low nor toxic makes up nearly all.
+TARGETS = {"good": 0.96, "low": 0.01, "toxic": 0.03}
+ANCHOR = "good"
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    classifier = soft_mixing.learn(docs, soft_mixing.domain_table(table(spark, sf_dir, "labels")))
+    if classifier is None:
+        return docs.select("doc_id", F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+    rated = soft_mixing.rates(docs, classifier, TARGETS, ANCHOR)
+    return rated.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(classifier.domains)], "rate", "copies")
+
+
 def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.encode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
