@@ -48,7 +48,7 @@ def snippet(text: Column, query: str, width: int = 40) -> Column:
     get = lambda k: F.regexp_extract(text, pattern, k)
     start, end = text.startswith(F.concat(get(1), get(2))), text.endswith(F.concat(get(2), get(3)))
     hit = F.concat(F.when(start, "").otherwise("..."), get(1), F.lit(">>>"), get(2), F.lit("<<<"), get(3), F.when(end, "").otherwise("..."))
-    first = F.regexp_extract(text, rf"(?s)^{gap}?(?:{token}{gap}?){{0,{width}}}", 0)
+    first = F.regexp_extract(text, rf"(?s)^(?:{gap})?(?:{token}(?:{gap})?){{0,{width}}}", 0)
     return F.when(get(2) != "", hit).otherwise(first)
 
 
