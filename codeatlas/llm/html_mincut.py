@@ -250,8 +250,11 @@ def main_text(html: str | None, weights: np.ndarray = PRIOR, tie: float = 1.5) -
 
 def extract(pages: DataFrame, most_pages: int = 300, most_chars: int = 100_000, tie: float = 1.5) -> DataFrame:
     """page_id, url, text, n_chars. The classifier is fitted on at most `most_pages` pages of up to `most_chars` characters, those of the lowest hash."""
-    sample = pages.where(F.length("html") <= most_chars).orderBy(F.xxhash64("page_id", "url"), "page_id", "url", "html").select("html").limit(most_pages)
-    weights = fit([r["html"] for r in sample.collect()])
+    short = pages.where(F.length("html") <= most_chars).withColumn("key", F.xxhash64("page_id", "url"))
+    # Keys first: only the chosen pages' html reaches the driver.
+    keys = [r["key"] for r in short.select("key").distinct().orderBy("key").limit(most_pages).collect()]
+    chosen = short.where(F.col("key") <= max(keys, default=0)).select("html").limit(most_pages).collect()
+    weights = fit(sorted(r["html"] for r in chosen))
 
     def run(batches):
         for b in batches:
