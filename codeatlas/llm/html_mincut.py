@@ -55,20 +55,19 @@ def attributes(text: str) -> dict[str, str]:
 def marks_of(tag: str, given: str, held: tuple) -> tuple:
     """(in content, in frame, frame name, content name, hidden) of an element, from its own and its parent's."""
     content, frame, bad, good, hidden = held
-    if tag in CONTENT:
-        content = True
-    elif tag in FRAME and not (tag == "header" and content):
-        frame = True
-    if given and not given.isspace():
-        a = attributes(given)
-        role = a.get("role", "").lower()
-        content |= role in ("main", "article")
-        frame |= role in FRAME_ROLES
-        names = f"{a.get('class', '')} {a.get('id', '')}".lower()
-        if names != " " and tag not in ("body", "html") and tag not in CONTENT:
-            bad |= bool(FRAME_NAMES.search(names))
-            good |= bool(CONTENT_NAMES.search(names))
-        hidden |= "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
+    a = attributes(given) if given and not given.isspace() else {}
+    role, names = a.get("role", "").lower(), f"{a.get('class', '')} {a.get('id', '')}".lower()
+    if tag == "main" or role == "main":  # whatever wraps it
+        content, bad = True, False
+    elif tag == "article" or role == "article":  # within comments or a sidebar it isn't the page's article
+        content |= not (frame or bad)
+    elif tag in FRAME and not (tag == "header" and content) or role in FRAME_ROLES:
+        content, frame = False, True
+    if names != " " and tag not in ("body", "html", "main"):
+        if FRAME_NAMES.search(names) and (tag != "article" or "comment" in names):
+            content, bad = False, True
+        good |= bool(CONTENT_NAMES.search(names))
+    hidden |= "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
     return content, frame, bad, good, hidden
 
 
