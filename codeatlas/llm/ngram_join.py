@@ -10,8 +10,8 @@ n-grams shares at least ceil(q n) of them, so:
    l of least estimated cost: postings met in the prefix, plus `weight` times the candidates that can share l of them.
 3. *Hubs*: in each posting list the node with the fewest unshared n-grams is the hub; each node is verified against the
    hub with which it shares most. Verified links are merged into components.
-4. *Rest*: pairs of different components that share enough prefix n-grams, and whose shared n-grams could suffice, are
-   verified. So no link between components is lost, and pairs inside one are never made.
+4. *Rest*: pairs of different components that share enough prefix n-grams, and could share enough n-grams by what each has
+   alone and by what each shares with their common hub, are verified. So no link between components is lost, and pairs inside one are never made.
 
 Null or empty texts have no n-grams and link with nothing. Rows without doc_id take no part: their component_id is
 null. Repeated rows and equal texts share a node; a doc_id given to two texts stands in both nodes. Extra columns are
@@ -31,6 +31,8 @@ from .common import LOWER_AZ, WordHasher, mix, partitions, remove, save, scratch
 
 #: Texts below LONG n-grams are screened by all their n-grams, longer ones by those whose hash is a multiple of 4.
 LONG = 256
+#: Documents packed together.
+CHUNK = 2500
 DEALT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("runs", pa.binary()), ("tokens", pa.binary()), ("owned", pa.int64()), ("once", pa.int64())])
 DEALT_DDL = "bucket int, chunk long, ids binary, runs binary, tokens binary, owned long, once long"
 
@@ -96,7 +98,8 @@ def screen_pass(docs: DataFrame, size: int, buckets: int, num: int, den: int) ->
 
     def run(batches):
         hasher = WordHasher()
-        for k, b in enumerate(batches):
+        parts = (b.slice(i, CHUNK) for b in batches for i in range(0, len(b), CHUNK))
+        for k, b in enumerate(parts):
             chunk, sets, sizes, names = task_chunk(k), {}, [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 s = ngram_set(t or b"", hasher, size)
@@ -221,21 +224,22 @@ def prefixes(sets: DataFrame, buckets: int, num: int, den: int, weight: float, m
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the threshold."""
+    """The pairs (a, b) with how many n-grams they share and whether they reach the threshold."""
 
     def run(batches):
         for b in batches:
-            keep = []
+            common, keep = [], []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(x) + len(y)
                 shared = both - len(np.unique(np.concatenate([x, y])))
+                common.append(shared)
                 keep.append(den * shared >= num * (both - shared))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common, pa.int64()), pa.array(keep, pa.bool_())], names=["a", "b", "shared", "linked"])
 
     s = sets.select("node", "tokens")
     full = pairs.join(s.toDF("a", "x"), "a").join(s.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(run, "a long, b long, shared long, linked boolean")
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
@@ -280,15 +284,22 @@ def link(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, weight: fl
     tried = lists.alias("x").join(hubs.alias("h"), "token").where("x.node <> h.node").where(enough("x", "h")).groupBy(F.col("x.node").alias("a"), F.col("h.node").alias("b")).count()
     pairs = tried.groupBy("a").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b"))
     first = save(verified(pairs, sets, num, den), f"{at}-first")
-    labels = components(first, f"{at}-c1")
-
-    named = save(lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"{at}-named")
+    links = first.where("linked").select("a", "b")
+    labels = components(links, f"{at}-c1")
+
+    # A node's hub and what it shares with it; a hub is its own where it was tried against none.
+    tried_hub = first.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("shared").alias("in_hub"))
+    marked = lists.join(tried_hub, "node", "left").withColumns({"hub": F.coalesce("hub", "node"), "in_hub": F.coalesce("in_hub", "n")})
+    named = save(marked.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"{at}-named")
+    # What two nodes share is in their hub and in both, or outside it and alone in neither.
+    outside = lambda x: f"{x}.n - {x}.in_hub - {x}.alone"
+    by_hub = f"x.hub <> y.hub OR {num + den} * (least(x.in_hub, y.in_hub) + least({outside('x')}, {outside('y')})) >= {num} * (x.n + y.n)"
     open_ = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
     rest = named.join(open_, "token", "left_semi")
-    shared = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr("x.comp < y.comp") & F.expr(enough("x", "y")))
+    shared = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr("x.comp < y.comp") & F.expr(enough("x", "y")) & F.expr(by_hub))
     again = shared.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("x.l", "y.l")).alias("need")).where("met >= need").select("a", "b")
     second = save(verified(again, sets, num, den), f"{at}-second")
-    labels = components(first.union(second), f"{at}-c2")
+    labels = components(links.union(second.where("linked").select("a", "b")), f"{at}-c2")
 
     known = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = known.groupBy("comp").agg(F.min("rep").alias("component_id"))
