@@ -109,11 +109,13 @@ FOLDS = _folds()
 
 def normal_text(text: Column) -> Column:
     """Lower-case tokens (letters and digits, without marks), with one blank around each."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.concat(F.translate(F.lower(F.coalesce(text, F.lit(""))), *FOLDS), F.lit(" ")), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+", " "))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, *FOLDS))  # ASCII needs no folding
+    return F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
 
 
 def token_count(normal: Column) -> Column:
-    return F.size(F.filter(F.split(normal, " "), lambda t: t != "")).cast("long")
+    return (F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) - 1).cast("long")
 
 
 def tokens(text: str) -> list[str]:

@@ -50,7 +50,8 @@ def _walk(edges: DataFrame, frontier: DataFrame, depth: int, step, follow: str,
         rows = met.select(*columns, F.lit(level).alias("depth"))
         out = rows if out is None else out.unionByName(rows)
         if level < depth:
-            frontier = met.where(F.col(follow).isNotNull()).select(F.col(follow).alias("name")).distinct().join(seen, "name", "left_anti")
+            # Kept: each level stands in all the following ones.
+            frontier = met.where(F.col(follow).isNotNull()).select(F.col(follow).alias("name")).distinct().join(seen, "name", "left_anti").persist()
             seen = seen.unionByName(frontier)
     return out
 
