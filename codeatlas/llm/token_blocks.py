@@ -19,6 +19,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,45 +88,59 @@ def read_shard(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(i) for i, z in zip(ids, null)], counts, out
 
 
+def byte_letters() -> dict[int, int]:
+    """Byte-level BPE's letter for each byte: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of whole texts as little-endian u32 bytes, remembered by word.
 
     The tokenizer drops white space and never joins pieces across it, so a text's ids are those of its
-    space-separated words in turn. Ids of a word that ends in plain punctuation are those of both parts, and upper case
-    A-Z of an all-ASCII word counts as lower case; neither is used near the tokenizer's own special strings.
+    space-separated words in turn. In words of code points up to U+00FF, which are in NFC and whose lower case is
+    one code point each, plain punctuation at the end is a piece of its own, and a run of letters is one piece,
+    which goes straight to the tokenizer's model. All other words pass through the whole tokenizer.
     """
 
-    TAIL = b".,;:!?"
+    TAIL = ".,;:!?"
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.words, self.parts = most, {}, {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.most, self.words, self.parts = most, {}, {"": b""}
 
     def learn(self, words: set[bytes]) -> None:
         split, need = {}, set()
         for w in words:
-            if w.isascii() and b"<" not in w and b"'" not in w:
-                low = w.lower()
-                core = low.rstrip(self.TAIL)
-                split[w] = (core, low[len(core) :]) if core[-1:].isalnum() else (low, b"")
+            x = w.decode()
+            if max(x) <= "\xff" and "<" not in x and "'" not in x:
+                x = x.lower()
+                core = x.rstrip(self.TAIL)
+                split[w] = (core, x[len(core) :]) if core[-1:].isalpha() else (x, "")
             else:
-                split[w] = (w, b"")
+                split[w] = (x, "")
             need.update(split[w])
         need -= self.parts.keys()
-        need.discard(b"")
-        todo = list(need)
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False)
-        self.parts.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(todo, coded))
-        self.parts[b""] = b""
-        self.words.update((w, self.parts[a] + self.parts[b] if b else self.parts[a]) for w, (a, b) in split.items())
+        whole, parts, tokenize = [], self.parts, self.model.tokenize
+        for x in need:
+            if x.isalpha() and max(x) <= "\xff":
+                seen = x.lower() if x.isascii() else x.lower().encode().decode("latin-1").translate(self.letters)
+                parts[x] = array("I", [t.id for t in tokenize(seen)]).tobytes()
+            else:
+                whole.append(x)
+        coded = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)
+        parts.update((x, array("I", e.ids).tobytes()) for x, e in zip(whole, coded))
+        self.words.update((w, parts[a] + parts[b] if b else parts[a]) for w, (a, b) in split.items())
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if len(self.words) > self.most:
             self.words.clear()
         if len(self.parts) > self.most:
-            self.parts.clear()
+            self.parts = {"": b""}
         split = [t.split() for t in texts]
         self.learn(set().union(*split).difference(self.words))
         get = self.words.__getitem__
