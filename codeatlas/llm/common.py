@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most `rows` rows for what is run inside: bounds the workers' and the JVM's buffers where rows are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def words_of(text: Column) -> Column:
     """Array of the words `[^\\x20\\x09-\\x0D]+`; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{ASCII_SPACE}]+"), lambda w: w != "")
@@ -63,7 +76,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of words (bytes). Holds at most `most` words, then starts afresh."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.known = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

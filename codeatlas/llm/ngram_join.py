@@ -27,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, WordHasher, mix, partitions, remove, save, scratch_dir, shingle_hashes
+from .common import LOWER_AZ, WordHasher, mix, partitions, remove, save, scratch_dir, shingle_hashes, small_batches
 
 #: Texts below LONG n-grams are screened by all their n-grams, longer ones by those whose hash is a multiple of 4.
 LONG = 256
 #: Documents packed together.
-CHUNK = 2500
+CHUNK = 1000
 DEALT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("runs", pa.binary()), ("tokens", pa.binary()), ("owned", pa.int64()), ("once", pa.int64())])
 DEALT_DDL = "bucket int, chunk long, ids binary, runs binary, tokens binary, owned long, once long"
 
@@ -262,6 +262,16 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 
 def link(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, weight: float = 8.0, most_l: int = 8, docs_per_bucket: int = 4000) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links of Jaccard >= num / den)."""
+    with small_batches(docs.sparkSession, CHUNK):
+        meta, final = _linked(docs, size, num, den, weight, most_l, docs_per_bucket)
+    full = meta.where("n > 0").join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    empty = meta.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    nameless = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_sizes(size), "doc_id long, n_shingles long, component_id long")
+    return full.union(empty).union(nameless)
+
+
+def _linked(docs: DataFrame, size: int, num: int, den: int, weight: float, most_l: int, docs_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) and (node, component_id), both as tables."""
     spark, at = docs.sparkSession, scratch_dir(docs.sparkSession)
     buckets = max(partitions(spark), docs.count() // docs_per_bucket)
     dealt = save(screen_pass(docs, size, buckets, num, den), f"{at}-dealt")
@@ -305,10 +315,7 @@ def link(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, weight: fl
     least = known.groupBy("comp").agg(F.min("rep").alias("component_id"))
     final = save(known.join(least, "comp").select("node", "component_id"), f"{at}-final")
     remove(spark, *(f"{at}-{x}" for x in ("sets", "lists", "named", "first", "second")))
-    full = meta.where("n > 0").join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = meta.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    nameless = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_sizes(size), "doc_id long, n_shingles long, component_id long")
-    return full.union(empty).union(nameless)
+    return meta, final
 
 
 def _sizes(size: int):
