@@ -30,28 +30,50 @@ PIECE = re.compile(r"[^\W_]+|[^\w\s]+")
 
 
 class Classifier:
-    """Logistic regression over square roots of piece shares, of the sample's most frequent pieces."""
+    """Logistic regression over the pieces, and beginnings of words, that tell the sample's domains apart best."""
 
     def __init__(self, domains: list[str], pieces: list[str], weights: np.ndarray, bias: np.ndarray):
         self.domains, self.at, self.weights, self.bias = domains, {p: k for k, p in enumerate(pieces)}, weights, bias
 
     @staticmethod
-    def features(text: str | None, at: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and values. One more feature is the share of letters in upper case."""
+    def stems(pieces) -> set[str]:
+        """The first four letters of longer words, marked by ^."""
+        return {f"^{p[:4]}" for p in pieces if len(p) > 4 and p[0].isalpha()}
+
+    @classmethod
+    def features(cls, text: str | None, at: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and values: presence, and for pieces also the square root of their share. One more feature is the share of letters in upper case."""
         text = text or ""
         n = Counter(PIECE.findall(text.lower()))
         total = max(1, sum(n.values()))
-        # The smaller of the two is walked: dealing with rare words costs nothing.
-        found = [(k, n[p]) for p, k in at.items() if p in n] if len(at) < len(n) else [(at[p], c) for p, c in n.items() if p in at]
+        found = [(at[p], 0.3 + (n[p] / total) ** 0.5) for p in n.keys() & at.keys()]
+        found += [(at[p], 0.3) for p in cls.stems(n) & at.keys()]
         upper = sum(map(str.isupper, text)) / max(1, len(text))
-        return np.array([*(k for k, _ in found), len(at)], np.int64), np.sqrt(np.array([*(c / total for _, c in found), upper]))
+        return np.array([*(k for k, _ in found), len(at)], np.int64), np.array([*(v for _, v in found), upper])
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]], most_pieces: int = 1500, least_share: float = 0.003, rounds: int = 400, ridge: float = 3e-5) -> Classifier:
+    def choose(cls, rows: list[tuple[str, str]], most_pieces: int, least_share: float, least_gain: float) -> list[str]:
+        """The pieces and stems of the greatest likelihood ratio between their presence and the domain."""
+        size, seen = Counter(d for d, _ in rows), {}
+        for d, t in rows:
+            here = set(PIECE.findall((t or "").lower()))
+            for p in here | cls.stems(here):
+                seen.setdefault(p, Counter())[d] += 1
+
+        def gain(n: Counter) -> float:
+            share = n.total() / len(rows)
+            cells = [(n[d], share * size[d]) for d in size] + [(size[d] - n[d], (1 - share) * size[d]) for d in size]
+            return 2 * sum(have * np.log(have / due) for have, due in cells if have)
+
+        least = max(2, least_share * len(rows))
+        ranked = sorted((-gain(n), p) for p, n in seen.items() if n.total() >= least)
+        return [p for g, p in ranked[:most_pieces] if -g >= least_gain]
+
+    @classmethod
+    def fit(cls, rows: list[tuple[str, str]], most_pieces: int = 200, least_share: float = 0.003, least_gain: float = 12.0, rounds: int = 400, ridge: float = 1e-4) -> Classifier:
         """rows: (domain, text)."""
         domains = sorted({d for d, _ in rows})
-        seen = Counter(p for _, t in rows for p in set(PIECE.findall((t or "").lower())))
-        pieces = [p for p, c in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most_pieces] if c >= max(2, least_share * len(rows))]
+        pieces = cls.choose(rows, most_pieces, least_share, least_gain)
         at = {p: k for k, p in enumerate(pieces)}
         x = np.zeros((len(rows), len(at) + 2), np.float32)
         for i, (_, t) in enumerate(rows):
@@ -107,8 +129,12 @@ def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, tokens long, p array<double>")
 
 
-def rates(docs: DataFrame, classifier: Classifier, targets: dict[str, float], anchor: str, steps: int = 24, tolerance: float = 1e-4, keep_every: int = 8) -> DataFrame:
-    """doc_id, tokens, p, rate, copies. The anchor domain's tokens stay as many as they are, which sets the total."""
+def rates(docs: DataFrame, classifier: Classifier, targets: dict[str, float], anchor: str, steps: int = 24, tolerance: float = 1e-4, keep_every: int = 8, only_lower: bool = False) -> DataFrame:
+    """doc_id, tokens, p, rate, copies. The anchor domain's tokens stay as many as they are, which sets the total.
+
+    With `only_lower`, targets of other domains are ceilings: what lies below its target stays as it is, so that a few
+    documents of a domain that an earlier stage has removed aren't repeated many times over.
+    """
     spark, at, k = docs.sparkSession, scratch_dir(docs.sparkSession), len(classifier.domains)
     held = save(memberships(docs, classifier).withColumn("rate", F.lit(1.0)), f"{at}-rates-0")
     p = [F.col("p")[i] for i in range(k)]
@@ -118,6 +144,8 @@ def rates(docs: DataFrame, classifier: Classifier, targets: dict[str, float], an
     share = np.array([targets.get(d, 0.0) for d in classifier.domains])
     base = have[classifier.domains.index(anchor)] / targets[anchor] if anchor in classifier.domains else have.sum()
     want = share / share.sum() * base / scale if share.sum() else have / scale
+    if only_lower:
+        want = np.where([d == anchor for d in classifier.domains], want, np.minimum(want, have / scale))
     invert = np.linalg.pinv(gram / scale + 1e-9 * np.eye(k))
     rate, now = F.col("rate"), have / scale
     for step in range(1, steps + 1):

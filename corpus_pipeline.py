@@ -26,9 +26,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: each document is taken as often as its rate says."""
+    """Operator 5: each document is taken as often as its rate says. Targets of unwanted domains are ceilings: stage 1 has removed most of the low one."""
     classifier = soft_mixing.learn(docs, soft_mixing.domain_table(registry.table(spark, sf_dir, "labels")))
-    return docs if classifier is None else soft_mixing.mix(docs, soft_mixing.rates(docs, classifier, registry.TARGETS, registry.ANCHOR))
+    return docs if classifier is None else soft_mixing.mix(docs, soft_mixing.rates(docs, classifier, registry.TARGETS, registry.ANCHOR, only_lower=True))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

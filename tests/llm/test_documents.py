@@ -191,3 +191,23 @@ def test_mixing_reaches_targets(spark):
     assert mixed.columns == docs.columns and mixed.count() == sum(v["copies"] for v in x)
     assert soft_mixing.learn(docs, soft_mixing.domain_table(labels.limit(0))) is None
     assert soft_mixing.rates(docs.limit(0), c, {"good": 1.0}, "good").count() == 0
+
+
+def test_mixing_tells_toxic_documents_apart():
+    import duckdb
+
+    at = "/root/testdata/sf0.1"
+    got = duckdb.sql(f"SELECT text, quality, toxic FROM '{at}/documents.parquet' JOIN '{at}/labels.parquet' USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL ORDER BY hash(doc_id)").fetchall()
+    rows = [("toxic" if t else "good" if q else "low", x) for x, q, t in got]
+    c = soft_mixing.Classifier.fit(rows[:2000])
+    p = {d: np.mean([c.posterior(x)[c.domains.index("toxic")] for y, x in rows[2000:] if y == d]) for d in ("good", "toxic")}
+    assert p["good"] < 0.03 and p["toxic"] > 0.65
+
+
+def test_ceilings_do_not_repeat_a_rare_domain(spark):
+    docs = spark.createDataFrame([(i, "word " * 20 if i else "| | | |") for i in range(40)], "doc_id long, text string")
+    c = soft_mixing.Classifier.fit([("good", "word " * 20), ("low", "| | | |")] * 20)
+    free = soft_mixing.rates(docs, c, {"good": 0.5, "low": 0.5}, "good", steps=60)
+    held = soft_mixing.rates(docs, c, {"good": 0.5, "low": 0.5}, "good", steps=60, only_lower=True)
+    assert free.agg(F.max("rate")).first()[0] > 10
+    assert held.where("abs(rate - 1) > 0.05").count() == 0
