@@ -16,6 +16,7 @@ ordered by a hash of the text; extra columns are not read; an empty table gives
 
 from __future__ import annotations
 
+import gc
 import struct
 import uuid
 import zlib
@@ -105,6 +106,7 @@ class Encoder:
     """
 
     TAIL = ".,;:!?"
+    TAIL_BYTES = TAIL.encode()
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
@@ -114,8 +116,18 @@ class Encoder:
         self.most, self.words, self.parts = most, {}, {"": b""}
 
     def learn(self, words: set[bytes]) -> None:
-        split, need = {}, set()
+        split, need, known, parts, tokenize = {}, set(), self.words, self.parts, self.model.tokenize
         for w in words:
+            core = w.rstrip(self.TAIL_BYTES)
+            if core.isalpha():  # of bytes: ASCII letters only
+                core, tail = core.lower(), w[len(core) :]
+                one = parts.get(core)
+                if one is None:
+                    one = parts[core] = array("I", [t.id for t in tokenize(core.decode())]).tobytes()
+                if tail and tail not in parts:
+                    parts[tail] = array("I", self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
+                known[w] = one + parts[tail] if tail else one
+                continue
             x = w.decode()
             if max(x) <= "\xff" and "<" not in x and "'" not in x:
                 x = x.lower()
@@ -125,26 +137,33 @@ class Encoder:
                 split[w] = (x, "")
             need.update(split[w])
         need -= self.parts.keys()
-        whole, parts, tokenize = [], self.parts, self.model.tokenize
+        whole = []
         for x in need:
             if x.isalpha() and max(x) <= "\xff":
-                seen = x.lower() if x.isascii() else x.lower().encode().decode("latin-1").translate(self.letters)
+                seen = x.lower().encode().decode("latin-1").translate(self.letters)
                 parts[x] = array("I", [t.id for t in tokenize(seen)]).tobytes()
             else:
                 whole.append(x)
         coded = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)
         parts.update((x, array("I", e.ids).tobytes()) for x, e in zip(whole, coded))
-        self.words.update((w, parts[a] + parts[b] if b else parts[a]) for w, (a, b) in split.items())
+        for w, (a, b) in split.items():
+            known[w] = parts[a] + parts[b] if b else parts[a]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if len(self.words) > self.most:
             self.words.clear()
         if len(self.parts) > self.most:
             self.parts = {"": b""}
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split).difference(self.words))
-        get = self.words.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+        collects = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and each collection would walk the whole memory of words
+        try:
+            split = [t.split() for t in texts]
+            self.learn(set().union(*split).difference(self.words))
+            get = self.words.__getitem__
+            return [b"".join(map(get, w)) for w in split]
+        finally:
+            if collects:
+                gc.enable()
 
 
 _encoders: dict[str, Encoder] = {}
