@@ -19,8 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate begins where no token character stands before it and has a digit.
-VALUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: A candidate begins where no token character stands before it and has a digit. Equals signs end it only where no value follows them.
+VALUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 #: Up to a word and an assignment sign before it.
 BEFORE = r"""(?:(?<![A-Za-z0-9_.+/-])[A-Za-z_][A-Za-z0-9_.-]*+["']?+[ \t]*+[=:]?+[ \t]*+["']?+)?"""
 #: Words that tell secrets from what looks like them.
@@ -31,11 +31,15 @@ FEATURES = ("length", "transitions", "letters", "digits", "uppers", "dictionary"
 
 
 def candidates(docs: DataFrame, path: Column) -> DataFrame:
-    """doc_id, path, n (its number in the text), before, value."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"{BEFORE}{VALUE}"), F.lit(0))
-    hits = docs.select("doc_id", path.alias("path"), F.posexplode(found).alias("n", "hit"))
-    value = hits.withColumn("value", F.regexp_extract("hit", f"{VALUE}$", 0))
-    return value.select("doc_id", "path", F.col("n").cast("long").alias("n"), F.expr("substring(hit, 1, length(hit) - length(value))").alias("before"), "value")
+    """doc_id, path, n (its number in the text), before, shown (before, without a word that is a candidate itself), value."""
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", path.alias("path"), text.alias("text"), F.regexp_extract_all(text, F.lit(VALUE), F.lit(0)).alias("values")).where(F.size("values") > 0)
+    # What stands between candidates: the last piece is behind them all. A candidate may itself be the word before the next.
+    gaps = F.slice(F.split("text", VALUE, -1), 1, F.size("values"))
+    last = F.concat(F.array(F.lit("")), F.slice("values", 1, F.size("values") - 1))
+    hits = found.select("doc_id", "path", F.posexplode(F.arrays_zip(F.col("values").alias("value"), gaps.alias("gap"), last.alias("last"))).alias("n", "hit"))
+    before = lambda c: F.regexp_extract(c, f"{BEFORE}$", 0)
+    return hits.select("doc_id", "path", F.col("n").cast("long").alias("n"), before(F.concat("hit.last", "hit.gap")).alias("before"), before(F.col("hit.gap")).alias("shown"), "hit.value")
 
 
 def measured(found: DataFrame) -> DataFrame:
@@ -155,6 +159,6 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 17) -> Dat
 
 
 def scan(docs: DataFrame, path: Column, forest: list, threshold: float = 0.5) -> DataFrame:
-    """doc_id, path, n, name (what stands before), length, value_sha2, score, is_secret: a row for each candidate."""
+    """doc_id, path, n, name (what stands before, unless it is a candidate), length, value_sha2, score, is_secret: a row for each candidate."""
     out = measured(candidates(docs, path)).withColumn("score", F.round(score(forest), 6))
-    return out.select("doc_id", "path", "n", F.regexp_replace("before", "[^A-Za-z0-9_.-]+", "").alias("name"), F.col("length").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha2"), "score", (F.col("score") >= threshold).alias("is_secret"))
+    return out.select("doc_id", "path", "n", F.regexp_replace("shown", "[^A-Za-z0-9_.-]+", "").alias("name"), F.col("length").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha2"), "score", (F.col("score") >= threshold).alias("is_secret"))
