@@ -1,9 +1,10 @@
 """License scan: TF-IDF cosine of lines to templates, and inheritance from the nearest ancestor directory.
 
 Each line of a whole text is compared, as a sparse TF-IDF vector of its words, with each template line; words that no
-template has count in the line's length. A document's own license is the one of its best line at or above `threshold`. A
-document of which `file_share` of the words are in such lines is a license file: it licenses its directory. What has no
-license of its own inherits from the nearest directory above it that has one.
+template has count in the line's length. The whole document, too, is compared with whole license texts (folder `licenses`),
+by vectors with damped counts. A document's own license is the one of its best whole text at or above `threshold`, else of
+its best such line. A document with such a whole text, or of which `file_share` of the words are in such lines, is a license
+file: it licenses its directory. What has no license of its own inherits from the nearest directory above it that has one.
 
 Null or empty texts have no license of their own, but may inherit. A null path has no directories. In a directory with
 several license files the most frequent license counts, then the first by name. Each row is scanned by itself; repeated
@@ -15,6 +16,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,52 +47,69 @@ def words(line: str) -> list[str]:
     return WORD.findall(line.lower())
 
 
+@cache
+def whole_texts() -> dict[str, list[str]]:
+    """Whole license texts by SPDX identifier, one each."""
+    return {f.name.removesuffix(".txt"): [f.read_text("utf-8")] for f in sorted((resources.files(__package__) / "licenses").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
 class Matcher:
-    """Unit TF-IDF vectors of the template lines, by word."""
+    """Unit TF-IDF vectors of the templates, by word. `damped` counts grow by their logarithm, so that common words don't outweigh the rest of a long text."""
 
-    def __init__(self, idf: dict[str, float], unknown: float, templates: dict[str, list[str]] = TEMPLATES):
-        self.idf, self.unknown, self.lines, self.by_word = idf, unknown, [], {}
+    def __init__(self, idf: dict[str, float], unknown: float, templates: dict[str, list[str]] = TEMPLATES, damped: bool = False):
+        held = {w for lines in templates.values() for t in lines for w in words(t)}
+        self.idf, self.unknown, self.damped, self.lines, self.by_word = {w: x for w, x in idf.items() if w in held}, unknown, damped, [], {}
         for name, lines in templates.items():
             for text in lines:
-                v = {w: c * idf.get(w, unknown) for w, c in Counter(words(text)).items()}
+                v = self.weights(Counter(words(text)))
                 norm = math.sqrt(sum(x * x for x in v.values()))
                 for w, x in v.items():
                     self.by_word.setdefault(w, []).append((len(self.lines), x / norm))
                 self.lines.append(name)
 
-    def line(self, text: str, threshold: float = 0.0) -> tuple[str | None, float, int]:
-        """Best template, its cosine, number of words; no template where the known words alone can't reach the threshold."""
-        found = Counter(words(text))
+    def weights(self, found: Counter) -> dict[str, float]:
+        idf, unknown = self.idf, self.unknown
+        return {w: (1 + math.log(c) if self.damped else c) * idf.get(w, unknown) for w, c in found.items()}
+
+    def best(self, found: Counter, threshold: float = 0.0) -> tuple[str | None, float]:
+        """Best template and its cosine; none where the known words alone can't reach the threshold."""
         known = [w for w in found if w in self.by_word]
         if not known:
-            return None, 0.0, sum(found.values())
-        norm = math.sqrt(sum((c * self.idf.get(w, self.unknown)) ** 2 for w, c in found.items()))
-        if math.sqrt(sum((found[w] * self.idf.get(w, self.unknown)) ** 2 for w in known)) < threshold * norm * (1 - 1e-9):
-            return None, 0.0, sum(found.values())
+            return None, 0.0
+        v = self.weights(found)
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        if math.sqrt(sum(v[w] ** 2 for w in known)) < threshold * norm * (1 - 1e-9):
+            return None, 0.0
         score: dict[int, float] = {}
         for w in known:
-            x = found[w] * self.idf.get(w, self.unknown) / norm
+            x = v[w] / norm
             for k, y in self.by_word[w]:
                 score[k] = score.get(k, 0.0) + x * y
         k = min(score, key=lambda k: (-round(score[k], 12), self.lines[k], k))
-        return self.lines[k], min(1.0, score[k]), sum(found.values())
+        return self.lines[k], min(1.0, score[k])
 
-    def document(self, text: str | None, threshold: float) -> tuple[str | None, float, float]:
-        """License, score, share of words in lines that reach the threshold."""
-        best, top, inside, total = None, 0.0, 0, 0
+    def document(self, text: str | None, threshold: float, whole: Matcher) -> tuple[str | None, float, float]:
+        """License, score, share of words in lines that reach the threshold; all of them where the text is a whole license text."""
+        best, top, inside, total, all_words = None, 0.0, 0, 0, Counter()
         for text_line in (text or "").split("\n"):
-            name, s, n = self.line(text_line, threshold)
+            found = Counter(words(text_line))
+            all_words.update(found)
+            name, s = self.best(found, threshold)
+            n = found.total()
             total += n
             if name and s >= threshold:
                 inside += n
                 if s > top or s == top and name < best:
                     best, top = name, s
+        name, s = whole.best(all_words, threshold)
+        if name and s >= threshold:
+            return name, s, 1.0
         return best, top, inside / total if total else 0.0
 
 
-def template_idf(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -> tuple[dict[str, float], float]:
+def template_idf(docs: DataFrame) -> tuple[dict[str, float], float]:
     """Smoothed inverse document frequencies of the templates' words over all documents, and that of a word in none."""
-    vocabulary = sorted({w for lines in templates.values() for t in lines for w in words(t)})
+    vocabulary = sorted({w for templates in (TEMPLATES, whole_texts()) for lines in templates.values() for t in lines for w in words(t)})
     held = frozenset(vocabulary)
 
     def count(batches):
@@ -108,11 +128,12 @@ def template_idf(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -
 
 def scan(docs: DataFrame, path: Column, threshold: float = 0.75, file_share: float = 0.5) -> DataFrame:
     """doc_id, path, own_license, score, inherited_from, license."""
-    matcher = Matcher(*template_idf(docs))
+    idf = template_idf(docs)
+    matcher, whole = Matcher(*idf), Matcher(*idf, whole_texts(), damped=True)
 
     def run(batches):
         for b in batches:
-            got = [matcher.document(t, threshold) for t in b.column("text").to_pylist()]
+            got = [matcher.document(t, threshold, whole) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.float64())], names=["doc_id", "path", "own_license", "score", "share"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), "text").mapInArrow(run, "doc_id long, path string, own_license string, score double, share double")

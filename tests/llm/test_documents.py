@@ -144,6 +144,46 @@ def test_licenses(spark):
     assert license_scan.scan(docs.limit(0), F.col("where")).count() == 0
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Some Author and Friends
+
+Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to
+the following conditions:
+
+The above copyright notice and this permission notice shall be
+included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+
+def test_whole_license_texts(spark):
+    r = random.Random(8)
+    prose = [" ".join(r.choice("the of to and a in is for software copy any work use this that with license code time people day".split()) for _ in range(900)) for _ in range(5)]
+    rows = [(1, "a/LICENSE", MIT_FILE), (2, "a/b/x.py", "code code"), (3, "a/c/y.py", "# " + MIT_FILE.replace("\n", "\n# ") + "def f(value):\n    return other_name(value) + constant\n" * 3)]
+    rows += [(100 + i, f"{name}/COPYING", "Copyright 2020 Someone Else\n\n" + text) for i, (name, (text,)) in enumerate(license_scan.whole_texts().items())]
+    rows += [(200 + i, f"{name}/src/deep/x.c", "int x;") for i, name in enumerate(license_scan.whole_texts())]
+    rows += [(300 + i, f"prose/{i}", t) for i, t in enumerate(prose)]
+    docs = spark.createDataFrame(rows, "doc_id long, where string, text string")
+    got = {r["doc_id"]: (r["own_license"], r["inherited_from"], r["license"]) for r in license_scan.scan(docs, F.col("where")).collect()}
+    assert got[1] == ("MIT", None, "MIT") and got[2] == (None, "a", "MIT") and got[3][0] == "MIT"
+    for i, name in enumerate(license_scan.whole_texts()):
+        assert got[100 + i][0] == name and got[200 + i] == (None, name, name)
+    assert {got[300 + i] for i in range(5)} == {(None, None, None)}
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secret_scan.fit(secret_scan.labelled_findings(spark))
