@@ -6,8 +6,8 @@ until no match of `min_match` tokens is left. Matches are found by Karp-Rabin ha
 by token and run together along diagonals. A pair is reported if tiles cover `threshold` of the item's tokens; order
 between tiles is free, so reordered passages count. Pairs whose shared seeds couldn't cover that much aren't tiled.
 
-Null or empty texts match nothing, on either side; items shorter than `min_match` tokens aren't searched for. Repeated
-documents or items each give their own rows; null ids are carried. Extra columns are not read; empty tables give an empty
+Null or empty texts match nothing, on either side; items shorter than `min_match` tokens are searched for as a whole.
+Repeated documents or items each give their own rows; null ids are carried. Extra columns are not read; empty tables give an empty
 result. The benchmark is searched in blocks of at most `block_chars` characters (an item longer than that is a block), each held by
 every task; documents are read once for each block.
 """
@@ -69,13 +69,16 @@ class Index:
 
     def __init__(self, items: list[tuple], min_match: int):
         self.ids, self.tokens, self.vocabulary, self.min_match = [], [], {}, min_match
+        self.short: dict[int, dict[bytes, list]] = {}
         seeds, where, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         rng = np.random.default_rng(11)
         for name, text in items:
             words = tokens_of(text)
+            t = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
             if len(words) < min_match:
+                if words:
+                    self.short.setdefault(len(words), {}).setdefault(t.tobytes(), []).append(name)
                 continue
-            t = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
             where.append(np.full(len(t) - min_match + 1, len(self.ids)))
             at.append(np.arange(len(t) - min_match + 1))
             self.ids.append(name)
@@ -87,15 +90,27 @@ class Index:
         self.h, self.where, self.at = h[order], where[order], at[order]
         self.maybe = np.zeros(1 << BITS, bool)
         self.maybe[self.h >> np.uint64(64 - BITS)] = True
+        self.short_h = {n: karp_rabin(self.codes[np.frombuffer(b"".join(x), np.int64)], n)[::n] for n, x in self.short.items()}
+
+    def whole(self, t: np.ndarray):
+        """Items shorter than `min_match` tokens that stand in the tokens t, once each."""
+        for n, names in self.short.items():
+            if len(t) >= n:
+                spot = np.flatnonzero(np.isin(karp_rabin(self.codes[t], n), self.short_h[n]))
+                for run in {t[i : i + n].tobytes() for i in spot.tolist()} & names.keys():
+                    yield from ((name, n, n, 1) for name in names[run])
 
     def search(self, text: str | None, threshold: float):
         """(item id, item tokens, covered tokens, tiles) of the items that the text holds."""
         m = self.min_match
         get = self.vocabulary.get
         words = tokens_of(text)
-        if len(words) < m or not len(self.h):
+        if not self.short and (len(words) < m or not len(self.h)):
             return
         t = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        yield from self.whole(t)
+        if len(words) < m or not len(self.h):
+            return
         # A seed has only tokens that the benchmark knows.
         known = np.concatenate([[0], np.cumsum(t > 0)])
         if not (full := known[m:] - known[:-m] == m).any():

@@ -144,6 +144,15 @@ def test_licenses(spark):
     assert license_scan.scan(docs.limit(0), F.col("where")).count() == 0
 
 
+def test_short_items_are_found_as_a_whole(spark):
+    docs = spark.createDataFrame([(1, "He said: Blue Moon, twice: blue moon!"), (2, "blue is the moon"), (3, "moon"), (4, None), (None, "a what is four and")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "blue moon"), (8, "Moon?"), (9, "what is four"), (10, ""), (11, "Blue moon."), (12, "one two three four five six")], "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()), key=str)
+    assert got == sorted([(1, 7, 2, 2, 1), (1, 11, 2, 2, 1), (1, 8, 1, 1, 1), (2, 8, 1, 1, 1), (3, 8, 1, 1, 1), (None, 9, 3, 3, 1)], key=str)
+    short_only = decontaminate.leaks(docs, bench.where("item_id = 9")).collect()
+    assert list(map(tuple, short_only)) == [(None, 9, 3, 3, 1)]
+
+
 MIT_FILE = """MIT License
 
 Copyright (c) 2021 Some Author and Friends
