@@ -105,11 +105,11 @@ def domain_table(labels: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labelled: DataFrame, most: int = 4000, most_chars: int = 8_000_000) -> Classifier | None:
-    """Fit on at most `most` rows of `labelled` (doc_id, domain), those of the lowest hash, and of these on whole texts up to `most_chars` characters in all, a hundredth of that each."""
+    """Fit on at most `most` rows of `labelled` (doc_id, domain), those of the lowest hash, and of these, in the same order, on whole texts up to `most_chars` characters in all, a hundredth of that each."""
     some = labelled.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most)
     found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
     rows, left = [], most_chars
-    for r in found.where(F.length("text") <= most_chars // 100).orderBy("doc_id", "domain", F.xxhash64("text")).toLocalIterator():
+    for r in found.where(F.length("text") <= most_chars // 100).orderBy(F.xxhash64("doc_id"), "doc_id", "domain", F.xxhash64("text")).toLocalIterator():
         left -= len(r["text"])
         if left < 0:
             break
