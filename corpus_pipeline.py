@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeatlas.llm import decontaminate, ngram_join, quality_rules, registry, soft_mixing, token_blocks
 from codeatlas.llm.common import save, scratch_dir
@@ -14,15 +15,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group of linked documents the one with the smallest doc_id stays. Rows without doc_id stay."""
-    first = ngram_join.link(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    """Operator 1: of each group of linked rows the one with the smallest doc_id stays, rows without doc_id last. A row is known by doc_id and text: of repeated ones one stays."""
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.select(key.alias("row"), "doc_id").distinct()
+    groups = ngram_join.link(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    first = rows.join(groups, "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first"))
+    keyed = docs.select(*docs.columns, key.alias("row"))
+    return keyed.join(first.select("first.row"), "row", "left_semi").dropDuplicates(["row"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents that hold a benchmark item go."""
-    found = decontaminate.leaks(docs, registry.table(spark, sf_dir, "benchmark")).where("doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Operator 9: documents that hold a benchmark item go, known by their text, so those without doc_id go, too."""
+    key = F.xxhash64("text")
+    found = decontaminate.leaks(docs.select(key.alias("doc_id"), "text"), registry.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
+    return docs.select(*docs.columns, key.alias("row")).join(found, "row", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,14 @@ def test_chat_query_matches_sql(spark):
     from oracle import compare
 
     compare(spark, "op2_chat_format", registry.op2_chat_format, registry.oracle_sql()["op2_chat_format"], SF)
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    item = registry.table(spark, SF, "benchmark").first()["text"]
+    rows = [(7, one), (None, one), (None, two), (None, two), (9, two + " end"), (5, three), (5, "other " + one[::-1]), (None, item), (8, item), (None, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, corpus_pipeline.near_copies(spark, docs, SF).collect()), key=str)
+    assert kept == sorted([(7, one), (9, two + " end"), (5, three), (5, "other " + one[::-1]), (8, item), (None, None), (6, "")], key=str)
+    clean = corpus_pipeline.decontamination(spark, docs, SF).collect()
+    assert sorted(map(tuple, clean), key=str) == sorted([r for r in rows if r[1] != item], key=str)
