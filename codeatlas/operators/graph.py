@@ -2,60 +2,140 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import scratch
+from ..functions.patterns import like_regex
 from ..functions.scalars import ascii_lower, last_segment
 
 
-def callees(edges: DataFrame, names: DataFrame, start: str, depth: int = 1) -> DataFrame:
+def callees(edges: DataFrame, names: DataFrame | None, start: str, depth: int = 1) -> DataFrame:
     """Edges met from `start`, each node expanded once, at its least depth.
 
-    edges: caller, callee, line; names: the names that exist. Rows: caller, callee, resolved_name (null where the callee
-    is no known name), line, depth. Repeated edges stay; unresolved ones are shown but not followed.
+    edges: caller, callee, line and more, which is carried; names: the names that exist, or None where edges have resolved_name.
+    Rows: the edges' columns, resolved_name (null where the callee is no known name), depth. Repeated edges stay; unresolved
+    ones are shown but not followed. The frontier meets the edges first; names are looked up for what it met only.
     """
-    known = names.select(F.col("name").alias("resolved_name")).distinct()
-    full = edges.join(known, F.col("callee") == F.col("resolved_name"), "left")
-    frontier = known.where(F.col("resolved_name") == start).select(F.col("resolved_name").alias("name"))
-    return _walk(full, frontier, K.clamp(1, depth, K.MAX_DEPTH), lambda e, f: e.join(f, e["caller"] == f["name"]).drop("name"), "resolved_name", ["caller", "callee", "resolved_name", "line"])
-
+    depth, columns = K.clamp(1, depth, K.MAX_DEPTH), [*[c for c in edges.columns if c != "resolved_name"], "resolved_name"]
+    first = _one(edges.sparkSession, start)
 
-def suffix_match(edges: DataFrame, frontier: DataFrame) -> DataFrame:
-    """Edges whose callee is a name of the frontier, or LIKE '%.' and the name's last segment.
+    def step(frontier: DataFrame, level: int, table) -> tuple[DataFrame, DataFrame]:
+        met = edges.join(frontier, edges["caller"] == frontier["name"], "left_semi")
+        if names is None:
+            met = table(met, "met")
+            return met, met.select(F.col("resolved_name").alias("name"))
+        if level == 1:
+            met = met.join(names, met["caller"] == names["name"], "left_semi")
+        met = table(met, "met")
+        known = table(names.join(met.select("callee").distinct(), F.col("name") == F.col("callee"), "left_semi").select("name").distinct(), "known")
+        return met.join(known, met["callee"] == known["name"], "left").withColumnRenamed("name", "resolved_name"), known
 
-    Segments without wildcards are matched by equality of lower-case last segments, an equi-join; only names with a live
-    `_` or `%` need the pattern.
-    """
-    f = frontier.withColumn("segment", ascii_lower(last_segment(F.col("name"))))
-    e = edges.withColumn("tail", F.when(F.col("callee").contains("."), ascii_lower(last_segment(F.col("callee")))))
-    plain, wild = f.where(~F.col("segment").rlike("[_%]")), f.where(F.col("segment").rlike("[_%]"))
-    by_name = f.select("name").distinct().withColumn("is_name", F.lit(True))
-    by_tail = plain.select("segment").distinct().withColumn("is_tail", F.lit(True))
-    tried = e.join(by_name, F.col("callee") == F.col("name"), "left").join(by_tail, F.col("tail") == F.col("segment"), "left").select(*edges.columns, (F.col("is_name").isNotNull() | F.col("is_tail").isNotNull()).alias("met"))
-    by_like = tried.where("NOT met").join(wild.select("segment").distinct(), F.like(ascii_lower(F.col("callee")), F.concat(F.lit("%."), F.col("segment"))), "left_semi")
-    return tried.where("met").unionByName(by_like).drop("met")
+    return _walk(first, depth, step, columns)
 
 
 def callers(edges: DataFrame, start: str, depth: int = 1) -> DataFrame:
-    """Edges that lead to `start` by textual callee name. edges: caller, callee, line. Rows: caller, callee, line, depth."""
-    frontier = edges.sparkSession.createDataFrame([(start,)], "name string")
-    return _walk(edges, frontier, K.clamp(1, depth, K.MAX_DEPTH), suffix_match, "caller", ["caller", "callee", "line"])
+    """Edges that lead to `start` by textual callee name. edges: caller, callee, line and more, which is carried. Rows: the edges' columns, depth."""
 
+    def step(frontier: DataFrame, level: int, table) -> tuple[DataFrame, DataFrame]:
+        met = table(calls_of(edges, start) if level == 1 else suffix_match(edges, frontier), "met")
+        return met, met.select(F.col("caller").alias("name"))
 
-def _walk(edges: DataFrame, frontier: DataFrame, depth: int, step, follow: str, columns: list[str]) -> DataFrame:
-    seen, out = frontier, None
+    return _walk(_one(edges.sparkSession, start), K.clamp(1, depth, K.MAX_DEPTH), step, edges.columns)
+
+
+def _one(spark, name: str) -> DataFrame:
+    return spark.range(1).select(F.lit(name).alias("name"))
+
+
+def _walk(frontier: DataFrame, depth: int, step, columns: list[str]) -> DataFrame:
+    """What a level meets is written as a table, so that it is made once and the planner knows how large the next frontier can be."""
+    spark, seen, out = frontier.sparkSession, frontier, None
+    at = scratch.folder(spark) if depth > 1 else ""
     for level in range(1, depth + 1):
-        met = step(edges, frontier)
+        table = lambda df, name: scratch.save(df, f"{at}-{name}-{level}") if depth > 1 else df  # noqa: E731, B023
+        met, names = step(frontier, level, table)
         rows = met.select(*columns, F.lit(level).alias("depth"))
         out = rows if out is None else out.unionByName(rows)
-        if level < depth:
-            # Kept: each level stands in all the following ones.
-            frontier = met.where(F.col(follow).isNotNull()).select(F.col(follow).alias("name")).distinct().join(seen, "name", "left_anti").persist()
-            seen = seen.unionByName(frontier)
+        names = names.where("name IS NOT NULL").distinct()
+        frontier, seen = names.join(seen, "name", "left_anti"), seen.unionByName(names)
     return out
 
 
+def _segment(name: str) -> str:
+    return name.rpartition(".")[2].translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+
+
+def calls_of(edges: DataFrame, name: str) -> DataFrame:
+    """Edges whose callee is `name`, or LIKE '%.' and its last segment: the same as `suffix_match` for one name."""
+    segment, callee = _segment(name), F.col("callee")
+    like = ascii_lower(callee).endswith(f".{segment}") if not set("_%") & set(segment) else callee.rlike(like_regex(f"%.{segment}"))
+    return edges.where((callee == name) | like)
+
+
+def suffix_match(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Edges whose callee is a name of the frontier, or LIKE '%.' and the name's last segment (ASCII case aside). All by equi-joins.
+
+    Segments without wildcards meet the callee's lower-case last segment. A live `_` takes any one character: what follows
+    each dot of a callee is masked like each kind of segment of that length (its underscores' places) and then meets the
+    segment itself. A live `%` takes any characters: candidates share three characters of a literal run and are tested.
+    """
+    f = frontier.select("name", ascii_lower(last_segment(F.col("name"))).alias("segment"))
+    kinds = f.agg(F.count_if(F.col("segment").contains("%")).alias("any"), F.count_if(F.col("segment").contains("_")).alias("one")).first()
+    plain = f.where(~F.col("segment").rlike("[_%]")).select("segment").distinct().withColumn("is_tail", F.lit(True))
+    by_name = f.select("name").distinct().withColumn("is_name", F.lit(True))
+    e = edges.withColumn("tail", F.when(F.col("callee").contains("."), ascii_lower(last_segment(F.col("callee")))))
+    tried = e.join(by_name, F.col("callee") == F.col("name"), "left").join(plain, F.col("tail") == F.col("segment"), "left")
+    tried = tried.select(*edges.columns, (F.col("is_name").isNotNull() | F.col("is_tail").isNotNull()).alias("met"))
+    out = tried.where("met")
+    if kinds["any"] or kinds["one"]:
+        texts = tried.where("NOT met AND contains(callee, '.')").select("callee", ascii_lower(F.col("callee")).alias("low")).distinct()
+        hit = texts.select("callee").limit(0)
+        if kinds["one"]:
+            hit = hit.unionByName(_one_character(texts, f.where("contains(segment, '_') AND NOT contains(segment, '%')").select("segment").distinct()))
+        if kinds["any"]:
+            hit = hit.unionByName(_any_characters(texts, f.where("contains(segment, '%')").select("segment").distinct()))
+        out = out.unionByName(tried.where("NOT met").join(hit.distinct(), "callee", "left_semi").select(*tried.columns))
+    return out.drop("met")
+
+
+def _one_character(texts: DataFrame, wild: DataFrame) -> DataFrame:
+    tails = texts.select("callee", F.explode(F.expr("transform(sequence(1, size(split(low, '[.]')) - 1), k -> substring_index(low, '.', -k))")).alias("tail"))
+    mask = F.regexp_replace("segment", "(?s)[^_]", "x")
+    masks = wild.select(mask.alias("mask")).distinct()
+    masked = F.expr("array_join(transform(sequence(1, length(mask)), i -> if(substring(mask, i, 1) = '_', '_', substring(tail, i, 1))), '')")
+    tried = tails.join(masks, F.length("tail") == F.length("mask")).select("callee", "mask", masked.alias("masked"))
+    kinds = wild.select(mask.alias("of"), "segment")
+    return tried.join(kinds, (F.col("mask") == F.col("of")) & (F.col("masked") == F.col("segment")), "left_semi").select("callee")
+
+
+def _any_characters(texts: DataFrame, wild: DataFrame) -> DataFrame:
+    key = F.regexp_extract("segment", "(?s)[^_%]{3}|[^_%]{2}|[^_%]", 0)
+    keyed = wild.select("segment", key.alias("key"))
+    grams = F.array_distinct(F.expr("flatten(transform(sequence(1, 3), n -> transform(sequence(1, greatest(length(low) - n + 1, 1)), i -> substring(low, i, n))))"))
+    pattern = F.concat(F.lit("%."), "segment")
+    met = texts.select("callee", "low", F.explode(grams).alias("key")).join(keyed.where("key <> ''"), "key").where(F.like("low", pattern, F.lit("\0")))
+    # Without a literal character, a segment asks for a dot and as many characters after it as it has underscores; the least one decides.
+    least = keyed.where("key = ''").agg(F.min(F.length(F.replace("segment", F.lit("%"), F.lit("")))).alias("least"))
+    loose = texts.withColumn("one", F.lit(1)).join(F.broadcast(least.withColumn("one", F.lit(1))), "one").where("length(low) - instr(low, '.') >= least")
+    return met.select("callee").unionByName(loose.select("callee"))
+
+
+def with_definitions(rows: DataFrame, symbols: DataFrame, key: str, prefix: str) -> DataFrame:
+    """rows with kind, <prefix>_line and <prefix>_file of the first symbol (by path, line) of the name in `key`; null where there is none.
+
+    symbols: qualified_name, kind, line, path. Looked up for the names in rows only.
+    """
+    asked = rows.select(F.col(key).alias("asked")).distinct()
+    found = symbols.join(asked, F.col("qualified_name") == F.col("asked"), "left_semi")
+    first = found.groupBy(F.col("qualified_name").alias("asked")).agg(F.min(F.struct("path", "line", "kind")).alias("d"))
+    joined = rows.join(first, rows[key] == first["asked"], "left")
+    return joined.select(*rows.columns, F.col("d.kind").alias("kind"), F.col("d.line").alias(f"{prefix}_line"), F.col("d.path").alias(f"{prefix}_file"))
+
+
 def resolve(edges: DataFrame, symbols: DataFrame, order: Column) -> DataFrame:
     """edges with callee_id filled where it is null: the least symbol (by `order`) whose name or qualified_name is the callee."""
     names = symbols.select(F.col("name").alias("key"), order.alias("o"), "id").unionByName(symbols.select(F.col("qualified_name").alias("key"), order.alias("o"), "id"))

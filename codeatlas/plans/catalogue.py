@@ -146,16 +146,20 @@ def symbols_batch(spark, d):
 
 
 def _walk_sql(depth: int, start: str, view: str, kind: str) -> str:
-    steps, out, names = [f"n AS (SELECT DISTINCT name FROM {'v_names' if view == 'v_edges' else f'(SELECT caller AS name FROM {view} UNION SELECT callee FROM {view})'})", f"s0 AS (SELECT '{start}' AS name)"], [], "s0"
+    """One materialized step a level; what a level has seen is looked up by equality."""
+    names = "v_names" if view == "v_edges" else f"(SELECT caller AS name FROM {view} UNION SELECT callee FROM {view})"
+    steps, out = [f"n AS MATERIALIZED (SELECT DISTINCT name FROM {names})", f"g AS MATERIALIZED (SELECT caller, callee, line, CASE WHEN contains(callee, '.') THEN lower(split_part(callee, '.', -1)) END AS tail FROM {view})", f"s0 AS MATERIALIZED (SELECT '{start}' AS name)"], []
     for k in range(1, depth + 1):
         if kind == "callees":
-            steps.append(f"e{k} AS (SELECT e.*, n.name AS resolved_name FROM {view} e JOIN s{k - 1} f ON e.caller = f.name LEFT JOIN n ON n.name = e.callee)")
+            steps.append(f"e{k} AS MATERIALIZED (SELECT g.caller, g.callee, n.name AS resolved_name, g.line FROM g JOIN s{k - 1} f ON g.caller = f.name LEFT JOIN n ON n.name = g.callee)")
             out.append(f"SELECT caller, callee, resolved_name, line, {k} AS depth FROM e{k}")
         else:
-            steps.append(f"e{k} AS (SELECT e.* FROM {view} e WHERE EXISTS (SELECT 1 FROM s{k - 1} f WHERE e.callee = f.name OR e.callee ILIKE '%.' || split_part(f.name, '.', -1)))" if view != "v_edges" else f"e{k} AS (SELECT e.* FROM {view} e WHERE callee IN (SELECT name FROM s{k - 1}) OR (contains(callee, '.') AND lower(split_part(callee, '.', -1)) IN (SELECT lower(split_part(name, '.', -1)) FROM s{k - 1})))")
+            steps.append(f"t{k} AS MATERIALIZED (SELECT DISTINCT lower(split_part(name, '.', -1)) AS tail FROM s{k - 1})")
+            steps.append(f"e{k} AS MATERIALIZED (SELECT g.caller, g.callee, g.line FROM g LEFT JOIN s{k - 1} f ON g.callee = f.name LEFT JOIN t{k} t ON g.tail = t.tail WHERE f.name IS NOT NULL OR t.tail IS NOT NULL)")
             out.append(f"SELECT caller, callee, line, {k} AS depth FROM e{k}")
         follow = "resolved_name" if kind == "callees" else "caller"
-        steps.append(f"s{k} AS (SELECT DISTINCT {follow} AS name FROM e{k} WHERE {follow} IS NOT NULL AND {follow} NOT IN (SELECT name FROM ({' UNION ALL '.join(f'SELECT name FROM s{j}' for j in range(k))})))")
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM s{j} WHERE s{j}.name = e{k}.{follow})" for j in range(k))
+        steps.append(f"s{k} AS MATERIALIZED (SELECT DISTINCT {follow} AS name FROM e{k} WHERE {follow} IS NOT NULL {seen})")
     views = ("v_edges", "v_names") if view == "v_edges" else (view,)
     return f"{V.with_views(*views)}, {', '.join(steps)} {' UNION ALL '.join(out)}"
 
@@ -163,10 +167,10 @@ def _walk_sql(depth: int, start: str, view: str, kind: str) -> str:
 def _walks() -> None:
     for depth in (1, 2, 3):
         def down(spark, d, depth=depth):
-            return graph.callees(V.edges(spark, d), V.names(spark, d), "orders.7", depth)
+            return graph.callees(V.edges(spark, d).drop("rule"), V.names(spark, d), "orders.7", depth)
 
         def up(spark, d, depth=depth):
-            return graph.callers(V.edges(spark, d), "nation.3" if depth < 3 else "region.2", depth)
+            return graph.callers(V.edges(spark, d).drop("rule"), "nation.3" if depth < 3 else "region.2", depth)
 
         down.__name__, up.__name__ = f"callees_d{depth}", f"callers_d{depth}"
         query(_walk_sql(depth, "orders.7", "v_edges", "callees"))(down)
