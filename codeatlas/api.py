@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable, Sequence
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 from .functions import scalars
-from .operators import graph, lookup, search, snapshot
+from .functions.patterns import glob_regex
+from .operators import graph, lookup, postings, search, snapshot
 from .sources import extract, files
 
 Embedder = Callable[[Sequence[str]], list[list[float]]]
+#: What the phrase indexes cover.
+TEXT_COLUMNS, NAME_COLUMNS = ("path", "content"), ("name", "qualified_name", "signature", "docstring")
 
 
 class NotFound(LookupError):
@@ -23,9 +27,10 @@ class NotFound(LookupError):
 
 
 class Index:
-    """Tables under `home`, a folder that driver and executors share: <repo_id>/<version>/{files,symbols,edges}; a manifest names the current version.
+    """Tables under `home`, a folder that driver and executors share: <repo_id>/<version>/{files,symbols,edges,...}; the newest manifest names the current version.
 
-    A run writes a new version and then the manifest; what a query reads is never overwritten.
+    A run writes a new version and then the next manifest; what a query reads is never overwritten. The current version and
+    the one before it stay, older ones are removed.
     """
 
     def __init__(self, spark: SparkSession, home: str, embedder: Embedder | None = None):
@@ -34,25 +39,41 @@ class Index:
     # Tables and manifests.
 
     def _id(self, repo: str) -> str:
-        return self.spark.range(1).select(scalars.repo_id(F.lit(repo))).first()[0]
+        return hashlib.sha256(repo.encode()).hexdigest()[:12]
 
     def _fs(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def _manifests(self, folder: str) -> list[str]:
+        """Paths of a repository's manifests, oldest first."""
+        fs, at = self._fs(folder)
+        found = [f.getPath() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return [p.toString() for p in sorted((p for p in found if p.getName().startswith("manifest-")), key=lambda p: p.getName())]
+
     def _manifest(self, repo: str) -> dict | None:
-        fs, at = self._fs(f"{self.home}/{self._id(repo)}/manifest")
-        return json.loads(self.spark.read.text(at.toString(), wholetext=True).first()[0]) if fs.exists(at) else None
+        found = self._manifests(f"{self.home}/{self._id(repo)}")
+        return json.loads(self.spark.read.text(found[-1], wholetext=True).first()[0]) if found else None
 
     def _publish(self, repo: str, manifest: dict) -> None:
+        """The next manifest appears by one rename to a name that nothing has yet."""
         folder = f"{self.home}/{self._id(repo)}"
-        fs, at = self._fs(f"{folder}/manifest")
-        _, fresh = self._fs(f"{folder}/manifest-{uuid.uuid4().hex}")
+        held = self._manifests(folder)
+        number = int(held[-1].rpartition("-")[2]) + 1 if held else 0
+        fs, fresh = self._fs(f"{folder}/new-{uuid.uuid4().hex}")
         out = fs.create(fresh)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        fs.delete(at, False)
-        fs.rename(fresh, at)
+        _, at = self._fs(f"{folder}/manifest-{number:09d}")
+        if fs.exists(at) or not fs.rename(fresh, at):
+            fs.delete(fresh, False)
+            raise RuntimeError(f"Another run published {at.toString()} meanwhile")
+        keep = {manifest["version"], manifest.get("previous")}
+        for old in held[:-1]:
+            fs.delete(self._fs(old)[1], False)
+        for f in fs.listStatus(self._fs(folder)[1]):
+            if f.isDirectory() and f.getPath().getName() not in keep:
+                fs.delete(f.getPath(), True)
 
     def table(self, repo: str, name: str) -> DataFrame:
         m = self._manifest(repo)
@@ -86,15 +107,21 @@ class Index:
             return {"cached": True, **extra}
         return {"cached": False, **self._update(url, files.scan_archive(self.spark, archive, sparse), embed, extra)}
 
-    def _update(self, repo: str, new: DataFrame, embed: bool, extra: dict) -> dict:
+    def _update(self, repo: str, scanned: DataFrame, embed: bool, extra: dict) -> dict:
         m = self._manifest(repo)
         base, version = f"{self.home}/{self._id(repo)}", uuid.uuid4().hex
         at = f"{base}/{version}"
-        new.write.parquet(f"{at}/files")
-        new = self.spark.read.parquet(f"{at}/files")
-        old = self.files(repo) if m else new.limit(0)
+        save = lambda df, name: df.write.parquet(f"{at}/{name}") or self.spark.read.parquet(f"{at}/{name}")
+        scanned = save(scanned, "scanned")
+        old = self.files(repo) if m else scanned.where("content IS NOT NULL").limit(0).withColumn("indexed_at", F.current_timestamp())
+        # A file that can't be read now stays as it was indexed.
+        unread = scanned.where("content IS NULL").select("path")
+        before = old.select("path", "sha256", F.col("indexed_at").alias("before"))
+        read = scanned.where("content IS NOT NULL").join(before, ["path", "sha256"], "left").withColumn("indexed_at", F.coalesce("before", F.current_timestamp())).drop("before")
+        new = save(read.unionByName(old.join(unread, "path", "left_semi").select(*read.columns)), "files")
         status = snapshot.file_status(old, new).persist()
         fresh = status.where("status IN ('new', 'changed')").select("path")
+        same = status.where("status = 'unchanged'").select("path")
         found = extract.extract_symbols(new.join(fresh, "path", "left_semi"))
         found = found.withColumn("id", F.xxhash64(F.lit(repo), "path", "byte_offset", "kind", "name"))
         if embed and self.embedder:
@@ -102,31 +129,49 @@ class Index:
             found = found.withColumn("embedding", _embed(text, self.embedder))
         else:
             found = found.withColumn("embedding", F.lit(None).cast("array<float>"))
-        if m:
-            kept = self.symbols(repo).join(status.where("status = 'unchanged'").select("path"), "path", "left_semi")
-            found = kept.unionByName(found)
-        found.write.parquet(f"{at}/symbols")
-        symbols = self.spark.read.parquet(f"{at}/symbols")
-        calls = symbols.select(F.col("id").alias("caller_id"), "path", F.col("qualified_name").alias("caller"), F.posexplode("calls").alias("pos", "c")).select("caller_id", "path", "caller", "pos", F.col("c.callee_name").alias("callee"), F.col("c.line").alias("line"))
-        local = symbols.groupBy("path", F.col("qualified_name").alias("callee")).agg(F.min_by("id", F.struct("line", "byte_offset")).alias("callee_id"))
-        edges = graph.resolve(calls.join(local, ["path", "callee"], "left"), symbols, F.struct("path", "line", "byte_offset"))
-        edges.write.parquet(f"{at}/edges")
+        symbols = save(self.symbols(repo).join(same, "path", "left_semi").unionByName(found) if m else found, "symbols")
+        edges = save(self._edges(symbols), "edges")
         stats = snapshot.counters(status).first().asDict()
+        stats |= {"symbols_extracted": symbols.join(fresh, "path", "left_semi").count(), "call_edges_resolved": edges.where("callee_id IS NOT NULL").count(), "errors": unread.count()}
+        totals = {}
+        text = lambda df: df.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+        for name, key, table, columns in (("text", "path", text(new), TEXT_COLUMNS), ("names", "id", symbols, NAME_COLUMNS)):
+            changed = table.join(fresh, "path", "left_semi") if m else table
+            terms, lens = postings.occurrences(changed, key, columns), postings.lengths(changed, key, columns)
+            if m:
+                kept = table.join(same, "path", "left_semi").select(F.col(key).alias("key"))
+                terms, lens = (self._postings(repo, name, part).join(kept, "key", "left_semi").unionByName(x) for part, x in (("terms", terms), ("lens", lens)))
+            postings.write(terms, f"{at}/{name}_terms")
+            totals[name] = list(save(lens, f"{name}_lens").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first())
         status.unpersist()
-        done = self.spark.read.parquet(f"{at}/edges")
-        stats |= {"symbols_extracted": symbols.join(fresh, "path", "left_semi").count(), "call_edges_resolved": done.where("callee_id IS NOT NULL").count(), "errors": 0}
-        self._publish(repo, {"version": version, "repo": repo, "previous": (m or {}).get("version"), **extra})
+        fs, gone = self._fs(f"{at}/scanned")
+        fs.delete(gone, True)
+        self._publish(repo, {"version": version, "repo": repo, "previous": (m or {}).get("version"), "totals": totals, **extra})
         return stats
 
+    def _edges(self, symbols: DataFrame) -> DataFrame:
+        """Calls with what they resolve to, clustered by caller, so that a traversal reads few row groups."""
+        calls = symbols.select(F.col("id").alias("caller_id"), "path", F.col("qualified_name").alias("caller"), F.posexplode("calls").alias("pos", "c")).select("caller_id", "path", "caller", "pos", F.col("c.callee_name").alias("callee"), F.col("c.line").alias("line"))
+        local = symbols.groupBy("path", F.col("qualified_name").alias("callee")).agg(F.min_by("id", F.struct("line", "byte_offset")).alias("callee_id"))
+        edges = graph.resolve(calls.join(local, ["path", "callee"], "left"), symbols, F.struct("path", "line", "byte_offset"))
+        there = symbols.select(F.col("id").alias("callee_id"), F.col("qualified_name").alias("resolved_name"), "kind", F.col("line").alias("def_line"), F.col("path").alias("def_file"))
+        of_caller = symbols.select(F.col("id").alias("caller_id"), F.col("kind").alias("caller_kind"), F.col("line").alias("caller_line"))
+        return edges.join(there, "callee_id", "left").join(of_caller, "caller_id", "left").repartitionByRange("caller").sortWithinPartitions("caller", "line")
+
+    def _postings(self, repo: str, name: str, part: str) -> DataFrame:
+        if part == "lens":
+            return self.table(repo, f"{name}_lens")
+        m = self._manifest(repo)
+        return postings.read(self.spark, f"{self.home}/{self._id(repo)}/{m['version']}/{name}_terms", "string" if name == "text" else "long")
+
     # 3, 4: repositories.
 
     def list_repos(self) -> list[dict]:
         fs, at = self._fs(self.home)
         out = []
         for s in fs.listStatus(at) if fs.exists(at) else []:
-            manifest = self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "manifest")
-            if fs.exists(manifest):
-                repo = json.loads(self.spark.read.text(manifest.toString(), wholetext=True).first()[0])["repo"]
+            if held := self._manifests(s.getPath().toString()):
+                repo = json.loads(self.spark.read.text(held[-1], wholetext=True).first()[0])["repo"]
                 out.append({"repo": repo, **{r["metric"]: r["n"] for r in lookup.repo_stats(self.files(repo), self.symbols(repo), self.edges(repo)).where("key = ''").collect()}})
         return out
 
@@ -136,9 +181,13 @@ class Index:
     def invalidate_cache(self, repo: str) -> dict:
         """A new version with empty tables."""
         m, version = self._manifest(repo), uuid.uuid4().hex
-        for name in ("files", "symbols", "edges"):
+        if not m:
+            raise NotFound(f"Not indexed: {repo}")
+        for name in ("files", "symbols", "edges", "text_lens", "names_lens"):
             self.table(repo, name).limit(0).write.parquet(f"{self.home}/{self._id(repo)}/{version}/{name}")
-        self._publish(repo, m | {"version": version, "sha": ""})
+        for name in ("text", "names"):
+            postings.write(self._postings(repo, name, "terms").limit(0), f"{self.home}/{self._id(repo)}/{version}/{name}_terms")
+        self._publish(repo, m | {"version": version, "previous": m["version"], "sha": "", "totals": {"text": [0, 0], "names": [0, 0]}})
         return {"status": "cleared", "repo": repo}
 
     # 5-9: lookups.
@@ -146,6 +195,17 @@ class Index:
     def file_tree(self, repo: str, prefix: str = "", depth: int = 3) -> DataFrame:
         return lookup.file_tree(self.files(repo), self.symbols(repo), prefix, depth).orderBy("path")
 
+    def tree(self, repo: str, prefix: str = "", depth: int = 3) -> dict:
+        """The files of `file_tree` as nested maps, and how many files there are below the prefix at any depth."""
+        out: dict = {}
+        for r in self.file_tree(repo, prefix, depth).collect():
+            *folders, name = r["path"].split("/")
+            node = out
+            for f in folders:
+                node = node.setdefault(f, {})
+            node[name] = {"language": r["language"], "size": r["size_bytes"], "symbols": r["symbols"]}
+        return {"tree": out, "total_files": lookup.below(self.files(repo), prefix).count(), "repo": repo}
+
     def file_outline(self, repo: str, path: str) -> DataFrame:
         return lookup.file_outline(self.symbols(repo), path)
 
@@ -169,7 +229,8 @@ class Index:
         """qualified_name, kind, score, search_type: phrase search fused with nearest embeddings where there are any."""
         limit = K.clamp(1, limit, K.MAX_HITS)
         s = self.symbols(repo)
-        text = search.search_phrase(s, ["name", "qualified_name", "signature", "docstring"], query, "id", 2 * limit)
+        top = postings.search(self._postings(repo, "names", "terms"), self._postings(repo, "names", "lens"), query, 2 * limit, *self._manifest(repo)["totals"]["names"])
+        text = s.join(top.withColumnRenamed("key", "id"), "id")
         arms = [search.ranked(text, F.desc("score"), "id").select("qualified_name", "kind", "pos")]
         if self.embedder and s.where("embedding IS NOT NULL").limit(1).count():
             near = search.nearest(s.where("embedding IS NOT NULL"), self.embedder([query])[0], "id", "embedding", 2 * limit)
@@ -179,36 +240,73 @@ class Index:
         return fused.join(shown, "qualified_name").select("qualified_name", "kind", "s.*", "score", "search_type").orderBy(F.desc("score"), "qualified_name")
 
     def search_text(self, repo: str, query: str, glob: str | None = None, limit: int = 20) -> DataFrame:
+        """path, snippet, score. Only the terms of the query, and the texts of the hits that are shown, are read."""
+        where = F.col("key").rlike(glob_regex(glob)) if glob else None
+        top = postings.search(self._postings(repo, "text", "terms"), self._postings(repo, "text", "lens"), query, K.clamp(1, limit, K.MAX_HITS), *self._manifest(repo)["totals"]["text"], where)
         text = self.files(repo).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-        return search.search_text(text, query, glob, limit)
+        return top.withColumnRenamed("key", "path").join(text, "path").select("path", search.snippet(F.col("content"), query).alias("snippet"), "score").orderBy(F.desc("score"), "path")
 
     # 12, 13, 15: graph.
 
     def get_callees(self, repo: str, name: str, depth: int = 1) -> DataFrame:
-        s = self.symbols(repo)
-        ids = s.select(F.col("id").alias("callee_id"), F.col("qualified_name").alias("resolved"))
-        e = self.edges(repo).join(ids, "callee_id", "left").select("caller", F.coalesce("resolved", "callee").alias("callee"), "line")
-        return graph.callees(e, s.select(F.col("qualified_name").alias("name")), name, depth)
+        """caller, callee (as written), callee_id, resolved_name, kind, def_line, def_file, line, depth."""
+        e = self.edges(repo).select("caller", "callee", "callee_id", "resolved_name", "kind", "def_line", "def_file", "line")
+        return graph.callees(e, None, name, depth)
 
     def get_callers(self, repo: str, name: str, depth: int = 1) -> DataFrame:
-        return graph.callers(self.edges(repo).select("caller", "callee", "line"), name, depth)
+        """caller, kind, caller_line, caller_file (where it is defined), callee, line, depth."""
+        e = self.edges(repo).select("caller", F.col("caller_kind").alias("kind"), "caller_line", F.col("path").alias("caller_file"), "callee", "line")
+        return graph.callers(e, name, depth)
 
     def dependency_map(self, repo: str, path: str) -> DataFrame:
-        there = self.symbols(repo).select(F.col("id").alias("callee_id"), F.col("path").alias("callee_file"))
-        e = self.edges(repo).join(there, "callee_id").select(F.col("path").alias("caller_file"), "callee_file", "caller", "callee", F.struct("path", "line", "pos").alias("pos"))
+        e = self.edges(repo).where("callee_id IS NOT NULL").select(F.col("path").alias("caller_file"), F.col("def_file").alias("callee_file"), "caller", F.col("resolved_name").alias("callee"), F.struct("path", "line", "pos").alias("pos"))
         return graph.dependency_map(e.where((F.col("caller_file") == path) | (F.col("callee_file") == path))).where(F.col("file") == path).orderBy("direction", "other")
 
+    def dependencies(self, repo: str, path: str) -> dict:
+        """A file's dependency map with its counts."""
+        n = self.symbols(repo).where(F.col("path") == path).count()
+        if not n:
+            raise NotFound(f"File not found in index: {path}")
+        rows = self.dependency_map(repo, path).collect()
+        ways = {way: {r["other"]: r["names"] for r in rows if r["direction"] == way} for way in ("depends_on", "depended_by")}
+        return {"file": path, "symbols_count": n, **ways, **{f"{way}_files": len(x) for way, x in ways.items()}}
+
     # 14: differences.
 
     def diff_symbols(self, repo: str, path: str | None = None) -> DataFrame:
-        """Symbols added, removed or modified in the folder since it was indexed; nothing is written."""
+        """Symbols added, removed or modified in the folder since it was indexed, with kind and file; nothing is written."""
+        return self._diff(repo, path)[0]
+
+    def diff_summary(self, repo: str, path: str | None = None) -> dict:
+        """Counts of `diff_symbols` and of files."""
+        diff, status = self._diff(repo, path)
+        kinds = diff.agg(*[F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("added", "removed", "modified")]).first().asDict()
+        of = lambda *s: F.count_if(F.col("status").isin(*s))
+        return kinds | status.agg(of("new", "changed").alias("changed_files"), of("new").alias("new_files"), of("deleted").alias("deleted_files")).first().asDict()
+
+    def _diff(self, repo: str, path: str | None) -> tuple[DataFrame, DataFrame]:
         now = files.scan_directory(self.spark, files.validate_path(path or repo))
         old_files, old = self.files(repo), self.symbols(repo)
-        status = snapshot.file_status(old_files, now)
+        unread = now.where("content IS NULL").select("path")
+        now = now.where("content IS NOT NULL").select("path", "sha256", "language", "content")
+        status = snapshot.file_status(old_files.join(unread, "path", "left_anti"), now)
         fresh = extract.extract_symbols(now.join(status.where("status IN ('new', 'changed')"), "path", "left_semi"))
-        same = old.join(status.where("status = 'unchanged'"), "path", "left_semi")
-        columns = ["qualified_name", "line", "signature", "path"]
-        return snapshot.diff_symbols(old.select(*columns), same.select(*columns).unionByName(fresh.select(*columns))).orderBy("qualified_name")
+        same = old.join(status.where("status = 'unchanged'").select("path").unionByName(unread), "path", "left_semi")
+        columns = ["qualified_name", "line", "signature", "path", "kind", F.col("path").alias("file")]
+        return snapshot.diff_symbols(old.select(*columns), same.select(*columns).unionByName(fresh.select(*columns)), ["kind", "file"]).orderBy("qualified_name"), status
+
+    # Answers as text.
+
+    def answer(self, tool: str, **arguments) -> str:
+        """A tool's result as JSON: rows with their count, or what the tool returns; errors as {"error": ...}."""
+        try:
+            out = getattr(self, tool)(**arguments)
+            if isinstance(out, DataFrame):
+                rows = [r.asDict(recursive=True) for r in out.collect()]
+                out = {"results": rows, "count": len(rows)}
+            return json.dumps(out, default=str)
+        except (LookupError, ValueError, OSError) as e:
+            return json.dumps({"error": str(e)})
 
 
 def _embed(text, embedder: Embedder):

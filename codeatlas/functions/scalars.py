@@ -53,16 +53,36 @@ def secret_warnings(text: Column) -> Column:
 
 
 def parse_repo_url(url: Column) -> Column:
-    """struct(host, owner, repo, url_type), or null where the address can't be parsed."""
-    url = F.trim(url)
-
-    def parts(pattern: str, kind: str) -> Column:
-        get = lambda k: F.regexp_extract(url, pattern, k)
-        host = F.lit(f"{kind}.com") if kind != "generic" else get(1)
-        owner, repo = (get(1), get(2)) if kind != "generic" else (F.lit(""), get(2))
-        return F.when(url.rlike(pattern), F.struct(host.alias("host"), owner.alias("owner"), repo.alias("repo"), F.lit(kind).alias("url_type")))
-
-    return F.coalesce(*[parts(p, k) for k, p in K.URL_PATTERNS.items()])
+    """struct(host, owner, repo, url_type), or null where the address can't be parsed.
+
+    On github.com the path begins with owner and repository; on gitlab.com the owner may be a path, and the last part that can
+    name a repository does; elsewhere the repository is what the address ends with. Names have no dot, but for a final .git.
+    """
+    url = F.regexp_replace(url, r"^\s+|\s+$", "")
+    no_git = lambda c: F.when(c.endswith(".git"), F.substring(c, F.lit(1), F.length(c) - 4)).otherwise(c)
+    is_name = lambda c: (no_git(c) != "") & ~no_git(c).rlike(r"[.\s]")
+    found = lambda host, owner, repo, kind: F.struct(host.alias("host"), owner.alias("owner"), repo.alias("repo"), F.lit(kind).alias("url_type"))
+    parts = F.split(F.regexp_replace(url, "^https?://", ""), "/")
+    host, path = F.get(parts, F.lit(0)), F.slice(parts, 2, F.size(parts))
+    at = lambda k: F.get(path, k)
+    first_two = F.when((host == "github.com") & (at(F.lit(0)) != "") & is_name(at(F.lit(1))), found(host, at(F.lit(0)), no_git(at(F.lit(1))), K.REPO_HOSTS["github.com"]))
+    gap = F.array_position(path, "")
+    named = F.filter(F.sequence(F.lit(0), F.size(path)), lambda k: (k > 0) & is_name(at(k)) & ((gap == 0) | (k < gap)))
+    last = F.array_max(named)
+    any_depth = F.when((host == "gitlab.com") & last.isNotNull(), found(host, F.array_join(F.slice(path, F.lit(1), last), "/"), no_git(at(last)), K.REPO_HOSTS["gitlab.com"]))
+
+    def anywhere(text: Column) -> Column:
+        host, rest = F.split_part(text, F.lit("/"), F.lit(1)), F.substring(text, F.locate("/", text) + 1, F.length(text))
+        end = lambda c: F.nullif(F.element_at(F.split(c, r"[/.\s]"), -1), F.lit(""))
+        repo = F.coalesce(end(no_git(rest)), end(rest))
+        return F.when(text.contains("/") & (host != "") & repo.isNotNull(), found(host, F.lit(""), repo, "generic"))
+
+    return F.coalesce(first_two, any_depth, anywhere(F.regexp_replace(url, "^https?://", "")), anywhere(url))
+
+
+def json_list(items: Column) -> Column:
+    """A list as JSON text; null where it is null or empty."""
+    return F.when(F.size(items) > 0, F.to_json(items))
 
 
 def is_binary(path: Column, content: Column) -> Column:

@@ -18,10 +18,14 @@ def repo_outline(symbols: DataFrame, kind: str | None = None, limit: int = 200)
     return kept.select("qualified_name", "kind", F.col("path").alias("file"), "line", "signature").orderBy("file", "line", "qualified_name").limit(K.clamp(1, limit, K.MAX_OUTLINE))
 
 
+def below(files: DataFrame, prefix: str) -> DataFrame:
+    """Files whose path begins with a prefix, ASCII case aside."""
+    return files.where(F.like(ascii_lower(F.col("path")), ascii_lower(F.lit(prefix + "%")))) if prefix else files
+
+
 def file_tree(files: DataFrame, symbols: DataFrame, prefix: str = "", depth: int = 3) -> DataFrame:
     """path, language, size_bytes, symbols (zero included) of files below a prefix, down to a depth."""
-    under = files.where(F.like(ascii_lower(F.col("path")), ascii_lower(F.lit(prefix + "%")))) if prefix else files
-    near = under.where(F.size(F.split("path", "/")) <= depth + 1)
+    near = below(files, prefix).where(F.size(F.split("path", "/")) <= depth + 1)
     n = symbols.groupBy("path").agg(F.count("*").alias("symbols"))
     return near.join(n, "path", "left").select("path", "language", "size_bytes", F.coalesce("symbols", F.lit(0)).cast("long").alias("symbols"))
 
@@ -42,6 +46,18 @@ def repo_stats(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFr
     return out.unionByName(row(files.where(F.col("language").isNotNull()), "language", "language")).unionByName(row(symbols, "kind", "kind"))
 
 
+def as_maps(stats: DataFrame) -> DataFrame:
+    """metric, counts: the keyed rows of `repo_stats` as one map each, keys in order."""
+    rows = F.array_sort(F.collect_list(F.struct("key", "n")))
+    return stats.where("key <> ''").groupBy("metric").agg(F.map_from_entries(rows).alias("counts"))
+
+
+def file_counts(dependencies: DataFrame) -> DataFrame:
+    """file, depends_on_files, depended_by_files of a dependency map (file, direction, other)."""
+    of = lambda way: F.count_distinct(F.when(F.col("direction") == way, F.col("other")))
+    return dependencies.groupBy("file").agg(of("depends_on").alias("depends_on_files"), of("depended_by").alias("depended_by_files"))
+
+
 def source(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """symbols with `source`: their byte range of the file's content as it was indexed."""
     return symbols.join(files.select("path", "content"), "path").withColumn("source", byte_slice(F.col("content"), F.col("byte_offset"), F.col("byte_length"))).drop("content")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +40,16 @@ def cascade(symbols: DataFrame, edges: DataFrame, vectors: DataFrame | None, gon
     return kept, cut, None if vectors is None else vectors.join(ids, vectors["symbol_id"] == ids["id"], "left_semi")
 
 
-def diff_symbols(old: DataFrame, new: DataFrame) -> DataFrame:
+def diff_symbols(old: DataFrame, new: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """qualified_name, status (added, removed, modified), old and new line and signature. Modified: another line or signature.
 
-    Tables: qualified_name, line, signature, path. Of several rows with a name, the last by (path, line) counts.
+    Tables: qualified_name, line, signature, path. Of several rows with a name, the last by (path, line) counts. `carry`: more
+    columns, as they are now, or were for removed symbols.
     """
-    last = lambda df, tag: df.groupBy("qualified_name").agg(F.max_by(F.struct("line", "signature"), F.struct("path", "line")).alias(tag))
+    last = lambda df, tag: df.groupBy("qualified_name").agg(F.max_by(F.struct("line", "signature", *carry), F.struct("path", "line")).alias(tag))
     both = last(old, "o").join(last(new, "n"), "qualified_name", "full_outer")
     moved = ~(F.col("o.line").eqNullSafe(F.col("n.line")) & F.col("o.signature").eqNullSafe(F.col("n.signature")))
     status = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(moved, "modified")
-    out = both.select("qualified_name", status.alias("status"), F.col("o.line").alias("old_line"), F.col("n.line").alias("new_line"), F.col("o.signature").alias("old_signature"), F.col("n.signature").alias("new_signature"))
+    more = [F.when(F.col("n").isNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in carry]
+    out = both.select("qualified_name", status.alias("status"), *more, F.col("o.line").alias("old_line"), F.col("n.line").alias("new_line"), F.col("o.signature").alias("old_signature"), F.col("n.signature").alias("new_signature"))
     return out.where(F.col("status").isNotNull())

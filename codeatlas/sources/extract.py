@@ -2,14 +2,20 @@
 
 The scanner blanks strings and comments, finds declarations by pattern, and bodies by braces (or `end` in Ruby). It
 approximates a syntax tree: declarations within unusual macros or templates may be missed.
+
+Offsets count bytes of the file as it is. A byte that is not UTF-8 stands as one placeholder while a file is scanned, and
+as U+FFFD in what is returned. Work is linear in a file's length, but for the depth to which declarations are nested.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,15 +45,48 @@ class Symbol:
         return f"{self.parent}.{self.name}" if self.parent else self.name
 
 
+#: What stands for a malformed byte during a scan: one byte, so that offsets hold.
+BAD = "\x1a"
+_ESCAPED = re.compile("[\udc80-\udcff]")
+
+
+def decoded(content: bytes) -> str:
+    """The text of a file, of as many bytes as the file."""
+    try:
+        return content.decode()
+    except UnicodeDecodeError:
+        return _ESCAPED.sub(BAD, content.decode("utf-8", "surrogateescape"))
+
+
+class Places:
+    """Byte offset and line of a character of a text."""
+
+    def __init__(self, source: str):
+        self.lines = [m.start() for m in re.finditer("\n", source)]
+        self.bytes = None
+        if not source.isascii():
+            c = np.frombuffer(source.encode("utf-32-le"), "<u4")
+            self.bytes = np.concatenate([[0], np.cumsum(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))])
+
+    def byte(self, at: int) -> int:
+        return at if self.bytes is None else int(self.bytes[at])
+
+    def line(self, at: int) -> int:
+        """1-based."""
+        return bisect_left(self.lines, at) + 1
+
+
 def python_symbols(source: str) -> list[Symbol]:
     """By the standard parser; raises SyntaxError."""
-    tree = ast.parse(source)
-    rows = source.encode().split(b"\n")
-    starts = [0]
-    for r in rows:
-        starts.append(starts[-1] + len(r) + 1)
+    tree = ast.parse(source.removeprefix("\ufeff"))
     data = source.encode()
-    text = lambda n: ast.get_source_segment(source, n) or ""
+    # The parser ends lines at \r, too; a byte order mark is no part of its first line.
+    starts = [3 if source.startswith("\ufeff") else 0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", data))]
+    ends = [m.start() for m in re.finditer(rb"\n", data)]
+    line = lambda at: bisect_left(ends, at) + 1
+    begin_of = lambda n: starts[n.lineno - 1] + n.col_offset
+    end_of = lambda n: starts[n.end_lineno - 1] + n.end_col_offset
+    text = lambda n: data[begin_of(n) : end_of(n)].decode()
     out: list[Symbol] = []
 
     def calls_in(body: list[ast.AST]) -> list[tuple[str, int]]:
@@ -58,7 +97,7 @@ def python_symbols(source: str) -> list[Symbol]:
                 todo.extend(reversed(n.decorator_list))
                 continue
             if isinstance(n, ast.Call):
-                found.append((text(n.func), n.lineno))
+                found.append((text(n.func), line(begin_of(n))))
             todo.extend(reversed(list(ast.iter_child_nodes(n))))
         return found
 
@@ -67,14 +106,14 @@ def python_symbols(source: str) -> list[Symbol]:
             if not isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 visit(n, parent)
                 continue
-            begin, stop = starts[n.lineno - 1] + n.col_offset, starts[n.end_lineno - 1] + n.end_col_offset
+            begin, stop = begin_of(n), end_of(n)
             if isinstance(n, ast.ClassDef):
                 kind = "class"
                 bases = ", ".join(map(text, [*n.bases, *(k.value for k in n.keywords)]))
                 sign = f"{n.name} ({bases})" if bases else n.name
             else:
                 kind = "function"
-                head = data[begin:stop].decode()
+                head = data[begin : begin_of(n.body[0])].decode()
                 sign = f"{n.name} {_parameters(head)}" + (f" -> {text(n.returns)}" if n.returns else "")
             doc = ""
             if n.body and isinstance(n.body[0], ast.Expr) and isinstance(n.body[0].value, ast.Constant) and isinstance(n.body[0].value.value, str):
@@ -83,7 +122,7 @@ def python_symbols(source: str) -> list[Symbol]:
                     if len(doc) >= 6 and doc.startswith(q) and doc.endswith(q):
                         doc = doc[3:-3]
                         break
-            s = Symbol(n.name, kind, begin, stop, n.lineno, n.end_lineno, sign, doc.strip(), [f"@{text(d)}" for d in reversed(n.decorator_list)], parent, calls_in(n.body))
+            s = Symbol(n.name, kind, begin, stop, line(begin), line(stop), sign, doc.strip(), [f"@{text(d)}" for d in reversed(n.decorator_list)], parent, calls_in(n.body))
             out.append(s)
             visit(n, s.qualified)
 
@@ -121,9 +160,13 @@ class Lexicon:
 
 
 _NAME = r"(?P<n>[A-Za-z_$][\w$]*)"
+#: Decorators on the line of what they decorate; the group `d` is no part of it.
+_MARKS = r"(?P<d>(?:@[\w$.]+(?:\([^()]*(?:\([^()]*\)[^()]*)*\))?\s+)*)"
 _JS = (
     (rf"\bfunction\s*\*?\s*{_NAME}\s*\(", "function"), (rf"\bclass\s+{_NAME}", "class"),
-    (rf"(?:^|[;{{}}\n])\s*(?:static\s+|async\s+|get\s+|set\s+|\*\s*)*(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b|else\b){_NAME}\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={{;]+)?\{{", "method"),
+    (rf"(?:^|[;{{}}\n])\s*{_MARKS}(?:static\s+|async\s+|get\s+|set\s+|\*\s*)*(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b|else\b){_NAME}\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={{;]+)?\{{", "method"),
+    # An arrow function has a name only in its one bare parameter.
+    (rf"(?<![\w$.]){_NAME}\s*=>", "function"),
 )
 _C = ((rf"(?:^|[;}}\n])[ \t]*(?:[A-Za-z_][\w:<>,*& \t]*[ \t*&])(?P<n>[A-Za-z_~][\w:~]*)\s*\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)\s*(?:const\s*|noexcept\s*|override\s*)*\{{", "function"), (rf"\bstruct\s+{_NAME}\s*(?::[^{{;]+)?\{{", "struct"), (r"\btypedef\b[^;{]*?\b(?P<n>\w+)\s*;", "type"))
 LEXICONS = {
@@ -139,29 +182,40 @@ LEXICONS = {
     "python": Lexicon(((rf"\bdef\s+{_NAME}\s*\(", "function"), (rf"\bclass\s+{_NAME}", "class")), comment=r"\#[^\n]*"),
 }
 _CALL = re.compile(r"((?:[A-Za-z_$][\w$]*(?:\.|::|->))*[A-Za-z_$][\w$]*[?!]?)\s*\(")
+#: Ruby: a method after a dot, or a name followed by brackets or, at the beginning of a statement, by an argument.
+_RUBY_CALL = re.compile(r"(?m)(?:\.|&\.)([A-Za-z_]\w*[?!]?)|(?<![\w.@$:])([a-z_]\w*[?!]?)\(|(?:^|;|\bthen\b|\bdo\b)[ \t]*([a-z_]\w*[?!]?)(?=[ \t]+(?:[\w@:\[$&*]|->))(?![ \t]+(?:if|unless|while|until|and|or|do|then|rescue|in)\b)")
 _NOT_CALLS = frozenset("if for while switch catch return function def fn func class sizeof match elif unless and or not in new await typeof print_if using lock foreach when case else do".split())
+_RUBY_WORDS = frozenset("if unless while until for case when else elsif end def class module begin rescue ensure return yield and or not in then do self super nil true false next break redo retry alias undef defined? puts_if".split())
+_MODIFIERS = frozenset("export default declare public private protected internal static final abstract sealed partial async readonly override virtual synchronized strictfp unsafe new".split())
 
 
 def lexical_symbols(source: str, language: str) -> list[Symbol]:
     lex = LEXICONS[language]
-    gone = re.compile(f"(?:{lex.comment})|(?:{lex.text})", re.S)
-    comments = {m.end(): m for m in re.finditer(f"(?:{lex.text})|(?P<c>{lex.comment})", source, re.S) if m["c"]}
-    blank = gone.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    # Strings and comments in one pass, so that neither begins inside the other; strings are blank, but for Ruby's arguments their first sign.
+    comments: dict[int, str] = {}
+
+    def fade(m: re.Match) -> str:
+        if m["c"]:
+            comments[m.end()] = m["c"]
+        gone = re.sub(r"[^\n]", " ", m[0])
+        return "$" + gone[1:] if lex.ends and not m["c"] else gone
+
+    blank = re.compile(f"(?:{lex.text})|(?P<c>{lex.comment})", re.S).sub(fade, source)
+    places, end_of = Places(source), _ends(blank, lex.ends)
     found: dict[int, Symbol] = {}
-    byte_at = lambda i: len(source[:i].encode())
-    spans = {}
+    spans: dict[int, tuple[int, int]] = {}
     for pattern, kind in lex.rules:
         for m in re.finditer(pattern, blank, re.M):
             begin = m.start() + len(m[0]) - len(m[0].lstrip(" \t\n;{}"))
+            if "d" in m.groupdict() and m["d"]:
+                begin = m.end("d")
             if m.start("n") in spans:
                 continue
-            end = _ruby_end(blank, begin) if lex.ends else _brace_end(blank, m.end() - 1)
+            end = _arrow_end(blank, m.end(), end_of) if m[0].endswith("=>") else end_of(begin if lex.ends else m.end() - 1)
             spans[m.start("n")] = (begin, end)
-            tail = blank[m.end("n") : end]
-            par = re.match(r"\s*(\([^{};]*?\))\s*(?:(->|:)\s*([^{;\n]+))?(?=\s*[{;\n]|$)", tail)
-            sign = m["n"] + (f" {source[m.end('n') + par.start(1) : m.end('n') + par.end(1)]}" + (f" -> {par[3].strip()}" if par[3] else "") if par else "")
-            line = source.count("\n", 0, begin) + 1
-            found[m.start("n")] = Symbol(m["n"], kind, begin, end, line, line + source.count("\n", begin, end), sign, _comment_before(source, begin, comments))
+            par = _PARAMETERS.match(blank, m.end("n"), end)
+            sign = m["n"] + (f" {source[par.start(1) : par.end(1)]}" + (f" -> {par[3].strip()}" if par[3] and (par[2] == "->" or language in ("javascript", "typescript")) else "") if par else "")
+            found[m.start("n")] = Symbol(m["n"], kind, begin, end, places.line(begin), places.line(end), sign, _comment_before(source, begin, comments), _decorators(source, blank, begin, language))
     out = [found[k] for k in sorted(found, key=lambda k: (spans[k][0], -spans[k][1]))]
     stack: list[Symbol] = []
     for s in out:
@@ -169,45 +223,122 @@ def lexical_symbols(source: str, language: str) -> list[Symbol]:
             stack.pop()
         s.parent = stack[-1].qualified if stack else ""
         stack.append(s)
-    for m in _CALL.finditer(blank):
-        if m[1].split(".")[-1] in _NOT_CALLS or any(m.start(1) <= k < m.end(1) for k in spans):
-            continue
-        owner = min((s for s in out if s.start <= m.start() < s.end), key=lambda s: s.end - s.start, default=None)
-        if owner:
-            owner.calls.append((m[1], source.count("\n", 0, m.start(1)) + 1))
+    _give_calls(out, sorted(spans), blank, language, places)
     for s in out:
-        begin, end = s.start, s.end
-        s.start, s.end = byte_at(begin), byte_at(end)
+        s.start, s.end = places.byte(s.start), places.byte(s.end)
     return out
 
 
-def _brace_end(blank: str, at: int) -> int:
-    brace, semi = blank.find("{", at), blank.find(";", at)
-    if brace < 0 or 0 <= semi < brace:
-        return semi + 1 if semi >= 0 else blank.find("\n", at) if blank.find("\n", at) >= 0 else len(blank)
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(blank, brace):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return m.end()
-    return len(blank)
+_PARAMETERS = re.compile(r"\s*(\([^{};]*?\))\s*(?:(->|:)\s*([^{;\n]+))?(?=\s*[{;\n]|$)")
 
 
-def _ruby_end(blank: str, at: int) -> int:
+def _give_calls(symbols: list[Symbol], names: list[int], blank: str, language: str, places: Places) -> None:
+    """Each call goes to the innermost symbol around it; calls and symbols are both met in order."""
+    ruby, held, k = language == "ruby", [], 0
+    for m in (_RUBY_CALL if ruby else _CALL).finditer(blank):
+        group = m.lastindex if ruby else 1
+        at, name = m.start(group), m[group]
+        if (ruby and group > 1 and name in _RUBY_WORDS) or (not ruby and name.split(".")[-1] in _NOT_CALLS):
+            continue
+        near = bisect_left(names, at)
+        if near < len(names) and names[near] < m.end(group):
+            continue
+        while k < len(symbols) and symbols[k].start <= at:
+            while held and held[-1].end <= symbols[k].start:
+                held.pop()
+            held.append(symbols[k])
+            k += 1
+        while held and held[-1].end <= at:
+            held.pop()
+        if held:
+            held[-1].calls.append((name, places.line(at)))
+
+
+def _ends(blank: str, ruby: bool) -> Callable[[int], int]:
+    """A function from a place to the end of the body that opens there (Ruby) or next (braces)."""
+    closes: dict[int, int] = {}
+    held: list[int] = []
+    if ruby:
+        for m in re.finditer(r"(?m)\b(?:def|class|module|do|begin|case)\b|^\s*(?:if|unless|while|until|for)\b|\bend\b", blank):
+            if m[0] != "end":
+                held.append(m.start())
+            elif held:
+                closes[held.pop()] = m.end()
+        return lambda at: closes.get(at, len(blank))
+    opens, semis, lines = [], [], []
+    for m in re.finditer(r"[{};\n]", blank):
+        if m[0] == "{":
+            opens.append(m.start())
+            held.append(m.start())
+        elif m[0] == "}":
+            if held:
+                closes[held.pop()] = m.end()
+        else:
+            (semis if m[0] == ";" else lines).append(m.start())
+
+    def end(at: int) -> int:
+        brace, semi, line = (x[k] if (k := bisect_left(x, at)) < len(x) else -1 for x in (opens, semis, lines))
+        if brace < 0 or 0 <= semi < brace:
+            return semi + 1 if semi >= 0 else line if line >= 0 else len(blank)
+        return closes.get(brace, len(blank))
+
+    return end
+
+
+def _arrow_end(blank: str, at: int, end_of: Callable[[int], int]) -> int:
+    """The end of an arrow function's body: its braces, or the expression up to what closes or follows it."""
+    while at < len(blank) and blank[at].isspace():
+        at += 1
+    if blank[at : at + 1] == "{":
+        return end_of(at)
     depth = 0
-    for m in re.compile(r"(?m)\b(?:def|class|module|do|begin|case)\b|^\s*(?:if|unless|while|until|for)\b|\bend\b").finditer(blank, at):
-        depth += -1 if m[0] == "end" else 1
-        if not depth:
-            return m.end()
+    for m in re.compile(r"[(\[{]|[)\]}]|[,;\n]").finditer(blank, at):
+        depth += (m[0] in "([{") - (m[0] in ")]}")
+        if depth < 0 or depth == 0 and m[0] in ",;\n":
+            return m.start()
     return len(blank)
 
 
-def _comment_before(source: str, begin: int, comments: dict) -> str:
+def _decorators(source: str, blank: str, begin: int, language: str) -> list[str]:
+    """Annotations or attributes right before a declaration and its modifiers, nearest first."""
+    if language not in ("javascript", "typescript", "java", "csharp", "python"):
+        return []
+    out, i = [], begin
+    pairs = {")": "(", "]": "["}
+    while True:
+        while i > 0 and blank[i - 1].isspace():
+            i -= 1
+        j = i
+        if i > 0 and blank[i - 1] == ("]" if language == "csharp" else ")"):
+            close, depth = blank[i - 1], 0
+            while j > 0:
+                j -= 1
+                depth += (blank[j] == close) - (blank[j] == pairs[close])
+                if not depth:
+                    break
+            if language == "csharp":
+                if depth:
+                    return out
+                out.append(source[j:i])
+                i = j
+                continue
+        p = j
+        while p > 0 and (blank[p - 1].isalnum() or blank[p - 1] in "_$."):
+            p -= 1
+        if language != "csharp" and p < j and p > 0 and blank[p - 1] == "@":
+            out.append(source[p - 1 : i])
+            i = p - 1
+        elif j == i and blank[p:i] in _MODIFIERS:
+            i = p
+        else:
+            return out
+
+
+def _comment_before(source: str, begin: int, comments: dict[int, str]) -> str:
     """The comment right before a declaration, without its marks."""
-    m = comments.get(len(source[:begin].rstrip()))
-    if not m:
-        return ""
-    out = m["c"].strip()
+    while begin > 0 and source[begin - 1].isspace():
+        begin -= 1
+    out = comments.get(begin, "").strip()
     for marks in ("//", "/*", "*/", "*", "#"):
         out = out.strip(marks)
     return out.strip()
@@ -217,12 +348,16 @@ def extract(path: str, language: str | None, content: bytes | None) -> list[tupl
     """Rows of SCHEMA for one file; none for unknown languages or what can't be read."""
     if not content or language not in LEXICONS:
         return []
-    source = content.decode("utf-8", "replace")
+    source = decoded(content)
     try:
         found = python_symbols(source) if language == "python" else lexical_symbols(source, language)
     except (SyntaxError, ValueError, RecursionError):
         found = lexical_symbols(source, language)
-    return [(path, language, s.name, s.qualified, s.kind, s.signature, s.docstring, s.decorators, s.parent, s.line, s.end_line, s.start, s.end - s.start, [{"callee_name": c, "line": n} for c, n in s.calls]) for s in found]
+    shown = (lambda t: t.replace(BAD, "\ufffd")) if BAD in source else lambda t: t
+    return [
+        (path, language, shown(s.name), shown(s.qualified), s.kind, shown(s.signature), shown(s.docstring), [shown(d) for d in s.decorators], shown(s.parent), s.line, s.end_line, s.start, s.end - s.start, [{"callee_name": shown(c), "line": n} for c, n in s.calls])
+        for s in found
+    ]
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:

@@ -45,27 +45,30 @@ def finish(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), "language", F.col("size_bytes").cast("long").alias("size_bytes"), "content")
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), size_bytes of all files below a folder. Its own entries are listed here, what lies deeper by tasks.
+def list_files(spark: SparkSession, root: str, spread: int = 256) -> DataFrame:
+    """path (relative), size_bytes of all files below a folder.
 
+    The driver lists level by level until it knows `spread` folders; what lies below those is listed by tasks, one for each.
     Spark's own readers leave out names that begin with `_`, such as `__init__.py`.
     """
     store, base = _store(root)
-    top = store.get_file_info(fs.FileSelector(base))
-    ddl = "path string, size_bytes long"
-    here = spark.createDataFrame([(i.base_name, i.size) for i in top if i.type == fs.FileType.File], ddl)
-    folders = [(i.base_name,) for i in top if i.type == fs.FileType.Directory]
+    ddl, own, folders = "path string, size_bytes long", [], [base]
+    while folders and len(folders) < spread:
+        found = [i for f in folders for i in store.get_file_info(fs.FileSelector(f))]
+        own += [(i.path[len(base) + 1 :], i.size) for i in found if i.type == fs.FileType.File]
+        folders = [i.path for i in found if i.type == fs.FileType.Directory]
+    here = spark.createDataFrame(own, ddl)
     if not folders:
         return here
 
     def run(batches):
         store, base = _store(root)
         for b in batches:
-            for name in b.column("name").to_pylist():
-                found = [i for i in store.get_file_info(fs.FileSelector(f"{base}/{name}", recursive=True)) if i.type == fs.FileType.File]
+            for folder in b.column("folder").to_pylist():
+                found = [i for i in store.get_file_info(fs.FileSelector(folder, recursive=True)) if i.type == fs.FileType.File]
                 yield pa.RecordBatch.from_arrays([pa.array([i.path[len(base) + 1 :] for i in found], pa.string()), pa.array([i.size for i in found], pa.int64())], names=["path", "size_bytes"])
 
-    deeper = spark.createDataFrame(folders, "name string").repartition(len(folders)).mapInArrow(run, ddl)
+    deeper = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(len(folders)).mapInArrow(run, ddl)
     return here.unionByName(deeper)
 
 
@@ -93,7 +96,7 @@ def _store(root: str):
 
 
 def scan_directory(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
-    """path (relative), sha256, language, size_bytes, content of the source files below a folder. A .gitignore at its top counts."""
+    """path (relative), sha256, language, size_bytes, content of the source files below a folder; hash and content are null where a file can't be read. A .gitignore at its top counts."""
     store, base = _store(root)
     rules: list[str] = []
     if store.get_file_info(f"{base}/.gitignore").type == fs.FileType.File:
@@ -101,7 +104,7 @@ def scan_directory(spark: SparkSession, root: str, include: Sequence[str] = (),
             rules = f.read().decode("utf-8", "replace").splitlines()
     kept = keep_path(list_files(spark, root), include, exclude, rules).repartition("path")
     full = read_content(kept, root)
-    return finish(full.where(~scalars.is_binary(F.col("path"), F.col("content"))))
+    return finish(full.where(F.col("content").isNull() | ~scalars.is_binary(F.col("path"), F.col("content"))))
 
 
 def untar(archives: DataFrame) -> DataFrame:

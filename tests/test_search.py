@@ -2,7 +2,7 @@ import sqlite3
 
 from pyspark.sql import functions as F
 
-from codeatlas.operators import search
+from codeatlas.operators import postings, search
 
 
 def test_bm25_is_fts5s(spark):
@@ -36,3 +36,13 @@ def test_fusion_adds_duplicates_and_filters_after(spark):
 def test_nearest(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [0.0, 1.0])], "id int, v array<float>")
     assert [(r["id"], r["distance"]) for r in search.nearest(df, [0, 0], "id", "v", 2).collect()] == [(1, 0.0), (3, 1.0)]
+
+
+def test_postings_give_what_a_scan_gives(spark, tmp_path):
+    rows = [(i, f"name{i % 7} x_y café", " ".join(["alpha beta", "beta", "foo foo foo", "the of the of the", ""][: 1 + i % 5])) for i in range(80)] + [(90, None, None)]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    postings.write(postings.occurrences(df, "id", ["a", "b"]), str(tmp_path / "t"))
+    found, lens = postings.read(spark, str(tmp_path / "t"), "int"), postings.lengths(df, "id", ["a", "b"])
+    for q in ("alpha beta", "foo foo", "foo", "CAFE", "x y", "of the of", "the of the", "nothing here", "café alpha", "!!!", "zzz"):
+        want = [(r["id"], r["score"]) for r in search.search_phrase(df, ["a", "b"], q, "id").collect()]
+        assert [(r["key"], r["score"]) for r in postings.search(found, lens, q, 20).collect()] == want, q
