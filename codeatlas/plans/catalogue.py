@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import scratch
 from ..functions import patterns, scalars
-from ..operators import graph, lookup, search, snapshot
+from ..operators import graph, lookup, postings, search, snapshot
+from ..sources import extract, files
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,3 +354,117 @@ def content_hash(spark, d):
 def like_and_glob(spark, d):
     c = F.col("callee")
     return V.edges(spark, d).where(c.rlike(patterns.like_regex("%.1_")) & c.rlike(patterns.glob_regex("*[pn]*"))).groupBy("callee").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_bm25('documents', ['text'], WORDS)} SELECT doc_id, score FROM h ORDER BY score DESC, doc_id LIMIT 20")
+def fts_postings_bm25(spark, d):
+    """`fts_phrase_bm25` by the persisted index."""
+    docs, at = V.table(spark, d, "documents").select("doc_id", "text"), scratch.folder(spark)
+    postings.write(postings.occurrences(docs, "doc_id", ["text"]), f"{at}-terms")
+    found = postings.read(spark, f"{at}-terms", "long")
+    return postings.search(found, postings.lengths(docs, "doc_id", ["text"]), PHRASE, 20).withColumnRenamed("key", "doc_id")
+
+
+_DEFINED = f"d AS (SELECT qualified_name, min(kind) AS kind, min(line) AS line, min(path) AS path FROM ({V.SQL['v_definitions']}) GROUP BY 1)"
+
+
+@query(_walk_sql(2, "orders.7", "v_edges", "callees").replace("WITH ", f"WITH {_DEFINED}, w AS (WITH ", 1) + ") SELECT w.*, d.kind, d.line AS def_line, d.path AS def_file FROM w LEFT JOIN d ON d.qualified_name = w.resolved_name")
+def callees_definitions(spark, d):
+    rows = graph.callees(V.edges(spark, d).drop("rule"), V.names(spark, d), "orders.7", 2)
+    return graph.with_definitions(rows, V.definitions(spark, d), "resolved_name", "def")
+
+
+@query(_walk_sql(2, "nation.3", "v_edges", "callers").replace("WITH ", f"WITH {_DEFINED}, w AS (WITH ", 1) + ") SELECT w.*, d.kind, d.line AS caller_line, d.path AS caller_file FROM w LEFT JOIN d ON d.qualified_name = w.caller")
+def callers_definitions(spark, d):
+    rows = graph.callers(V.edges(spark, d).drop("rule"), "nation.3", 2)
+    return graph.with_definitions(rows, V.definitions(spark, d), "caller", "caller")
+
+
+@query("SELECT caller, callee, line, 1 AS depth FROM (SELECT c_name || '.get_' || c_mktsegment AS caller, 'm' || c_custkey || '.' || replace(c_mktsegment, 'I', CASE WHEN c_custkey % 2 = 0 THEN '_' ELSE 'x' END) || '_by' || (['_id', 'xid', '_key'])[c_custkey % 3 + 1] AS callee, 1 AS line FROM customer) WHERE lower(callee) LIKE '%.bu_ld_ng_by_id'")
+def callers_wildcards(spark, d):
+    callee = F.expr("'m' || c_custkey || '.' || replace(c_mktsegment, 'I', IF(c_custkey % 2 = 0, '_', 'x')) || '_by' || element_at(array('_id', 'xid', '_key'), int(c_custkey % 3) + 1)")
+    e = V.table(spark, d, "customer").select(F.expr("c_name || '.get_' || c_mktsegment").alias("caller"), callee.alias("callee"), F.lit(1).alias("line"))
+    return graph.callers(e, "Some.BU_LD_NG_by_id", 1)
+
+
+@query(f"SELECT d.* FROM ({V.SOURCES_SQL}) d")
+def extract_python(spark, d):
+    """Files with Unix and DOS line ends, malformed bytes, and letters of several bytes."""
+    files = V.sources(spark, d)
+    s = lookup.source(extract.extract_symbols(files), files)
+    return s.select("path", "qualified_name", "kind", "signature", "docstring", scalars.json_list(F.col("decorators")).alias("decorators"), "parent_name", "line", "end_line", "byte_offset", "byte_length", F.sha2("source", 256).alias("source_sha"))
+
+
+@query("SELECT doc_id || '.py' AS path, 'f' || doc_id AS caller, 'g' || doc_id || '.h' AS callee, 5 AS line FROM documents UNION ALL SELECT doc_id || '.py', 'C' || doc_id || '.m', 'self.n', 8 FROM documents")
+def extract_calls(spark, d):
+    s = extract.extract_symbols(V.sources(spark, d))
+    return s.select("path", F.col("qualified_name").alias("caller"), F.explode("calls").alias("c")).select("path", "caller", F.col("c.callee_name").alias("callee"), F.col("c.line").alias("line"))
+
+
+_JS = [("// Adds ", " to a.\n"), ("function add", "(a, b) {\n  return sum(a, b);\n}\n"), ("class Calc", " {\n  @Log()\n  twice(x) { return this.add", "(x, x); }\n}\n")]
+_N = "length(doc_id::VARCHAR)"
+
+
+@query(f"""WITH s AS (SELECT doc_id, doc_id || '.ts' AS path, {len(''.join(_JS[0]))} + {_N} AS a, {len(''.join(_JS[1])) - 1} + {_N} AS f, {len(''.join(_JS[2])) - 1} + 2 * {_N} AS c FROM documents)
+SELECT path, 'add' || doc_id AS qualified_name, 'function' AS kind, 'add' || doc_id || ' (a, b)' AS signature, 'Adds ' || doc_id || ' to a.' AS docstring, NULL AS decorators, 2 AS line, 4 AS end_line, a::BIGINT AS byte_offset, f::BIGINT AS byte_length, '[{{"callee_name":"sum","line":3}}]' AS calls FROM s
+UNION ALL SELECT path, 'Calc' || doc_id, 'class', 'Calc' || doc_id, '', NULL, 5, 8, a + f + 1, c, '[{{"callee_name":"Log","line":6}}]' FROM s
+UNION ALL SELECT path, 'Calc' || doc_id || '.twice', 'method', 'twice (x)', '', '["@Log()"]', 7, 7, a + f + 1 + {len(_JS[2][0] + _JS[2][1].partition('twice')[0])} + {_N}, {len('twice' + _JS[2][1].partition('twice')[2] + _JS[2][2]) - 3} + {_N}, '[{{"callee_name":"this.add' || doc_id || '","line":7}}]' FROM s""")
+def extract_typescript(spark, d):
+    text = F.concat(*[F.concat(*[x for k, part in enumerate(parts) for x in ([F.col("doc_id").cast("string")] if k else []) + [F.lit(part)]]) for parts in _JS])
+    files = V.table(spark, d, "documents").select(F.concat("doc_id", F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), text.alias("content"))
+    s = extract.extract_symbols(files)
+    return s.select("path", "qualified_name", "kind", "signature", "docstring", scalars.json_list(F.col("decorators")).alias("decorators"), "line", "end_line", "byte_offset", "byte_length", scalars.json_list(F.col("calls")).alias("calls"))
+
+
+_PATHS = ["src/a.py", ".hidden/b.py", "node_modules/x/c.js", "src/gen/d.rb", "src/e.txt", "lib/f.GO", "src/.dot/g.py", "pkg.egg-info/h.py", "src/i.min.js"]
+_SIZE = f"{K.MAX_FILE_BYTES} + doc_id % 3 - 1"
+
+
+@query(f"WITH p AS (SELECT doc_id, ({_PATHS!r})[doc_id % {len(_PATHS)} + 1] AS path, {_SIZE} AS size_bytes FROM documents) SELECT doc_id, path FROM p WHERE path IN ('src/a.py') AND size_bytes <= {K.MAX_FILE_BYTES}")
+def walk_filters(spark, d):
+    """Include, exclude and ignore patterns, hidden folders, languages, and the edge of the size limit."""
+    path = F.element_at(F.array(*[F.lit(p) for p in _PATHS]), (F.col("doc_id") % len(_PATHS) + 1).cast("int"))
+    f = V.table(spark, d, "documents").select("doc_id", path.alias("path"), F.expr(_SIZE).alias("size_bytes"))
+    return files.keep_path(f, ["src/"], ["*.min.js"], ["gen/"]).select("doc_id", "path")
+
+
+_MANY = [f"{k}.1" for k in range(1, 61)]
+
+
+@query(f"{V.with_views('v_files', 'v_lines', 'v_symbols')}, asked AS (SELECT unnest({_MANY[:K.MAX_BATCH]!r}) AS asked, unnest(range(0, {K.MAX_BATCH})) AS pos) SELECT pos, asked, path, line FROM asked LEFT JOIN v_symbols ON asked = qualified_name")
+def symbols_batch_cap(spark, d):
+    return lookup.first_by_name(V.symbols(spark, d), _MANY).select(F.col("pos").cast("long").alias("pos"), "asked", "path", "line")
+
+
+_URLS = [
+    ("https://github.com/o/r", "github.com|o|r|github"), ("http://github.com/o/r.git", "github.com|o|r|github"), ("github.com/o/r/tree/main/src", "github.com|o|r|github"), ("github.com/o/r/", "github.com|o|r|github"),
+    ("https://gitlab.com/g/s/t/r.git", "gitlab.com|g/s/t|r|gitlab"), ("gitlab.com/g/r/", "gitlab.com|g|r|gitlab"), ("gitlab.com/g/r/x.y", "gitlab.com|g|r|gitlab"), ("\t https://github.com/o/r\n", "github.com|o|r|github"),
+    ("https://git.example.org/a/b/c.git", "git.example.org||c|generic"), ("git.example.org/a/b.c", "git.example.org||c|generic"), ("github.com/o", "github.com||o|generic"), ("github.com/o/r.x", "github.com||x|generic"),
+    ("https://gitlab.com/g//r", "gitlab.com||r|generic"), ("nothing here", None), ("github.com/", None), ("", None), ("host/a/.git", "host||git|generic"),
+]
+_URL_LIST = ", ".join("'" + u.replace("\t", "\\t").replace("\n", "\\n") + "'" for u, _ in _URLS)
+
+
+@query(f"SELECT page_id, ([{', '.join('NULL' if x is None else repr(x) for _, x in _URLS)}])[page_id % {len(_URLS)} + 1] AS parsed FROM pages")
+def url_parse_forms(spark, d):
+    url = F.expr(f"element_at(array({_URL_LIST}), int(page_id % {len(_URLS)}) + 1)")
+    u = V.table(spark, d, "pages").select("page_id", scalars.parse_repo_url(url).alias("u"))
+    return u.select("page_id", F.when(F.col("u").isNotNull(), F.concat_ws("|", "u.host", "u.owner", "u.repo", "u.url_type")).alias("parsed"))
+
+
+@query("SELECT page_id, regexp_replace('own.er ' || page_id || '_' || url, '[^a-zA-Z0-9_-]', '_', 'g') AS name FROM pages")
+def cache_names(spark, d):
+    return V.table(spark, d, "pages").select("page_id", scalars.cache_name(F.concat(F.lit("own.er "), "page_id"), F.col("url")).alias("name"))
+
+
+@query(f"{V.with_views('v_files')} SELECT 'language' AS metric, string_agg(language || '=' || n, ',' ORDER BY language) AS counts FROM (SELECT language, count(*) AS n FROM v_files WHERE language IS NOT NULL GROUP BY 1)")
+def counts_by_language(spark, d):
+    f = V.files(spark, d)
+    stats = lookup.repo_stats(f, f.select(F.lit("x").alias("kind")).limit(0), f.select(F.lit(1).alias("callee_id")).limit(0))
+    pairs = F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return lookup.as_maps(stats).select("metric", F.array_join(pairs, ",").alias("counts"))
+
+
+@query(f"{V.with_views('v_edges')}, m AS (SELECT DISTINCT split_part(caller, '.', 1) AS cf, split_part(callee, '.', 1) AS ef FROM v_edges) SELECT file, (SELECT count(*) FROM m WHERE cf = file) AS depends_on_files, (SELECT count(*) FROM m WHERE ef = file) AS depended_by_files FROM (SELECT cf AS file FROM m UNION SELECT ef FROM m)")
+def dependency_counts(spark, d):
+    return lookup.file_counts(dependency_map(spark, d))
