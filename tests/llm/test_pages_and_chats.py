@@ -4,7 +4,7 @@ import random
 import pytest
 
 from codeatlas.llm import chat_format, html_mincut
-from codeatlas.llm.html_mincut import PRIOR, main_text, min_cut
+from codeatlas.llm.html_mincut import CLIP, PRIOR, Page, block_odds, main_text, min_cut
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:y}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site name</h1></header><nav><ul><li><a href="/a">Home</a><li><a>News</a></ul></nav><!-- note <p>no</p> -->
@@ -31,6 +31,88 @@ def test_cut_off_pages():
     assert len(main_text("<article>" + "<p>word word word.</p>" * 5000)) == 5000 * 16 - 1
 
 
+LONG = "The river rose for three days, and on the fourth the bridge, which nobody had mended, gave way under a cart."
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<body><form action=x><nav><a href=a>Home</a></nav><article><h1>Title</h1><p>One.</p></article><footer>f</footer></form>", "Title One."),
+    (f"<body><form id=aspnetForm><div><a href=a>Home</a> <a href=b>News</a></div><h1>Title of it</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p><p>{LONG}</p></form>", f"Title of it {LONG} Short one. {LONG} {LONG}"),
+    (f"<form><main><p>One.</p></main></form>", "One."),
+    (f"<article><p>{LONG}</p><form><label>Your mail</label><input><button>Send</button></form><p>End.</p></article>", f"{LONG} End."),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be. Press <button>OK</button> now.</p><address>Elm Street 5, Hull.</address></article>", "Let x=2 be. Press OK now. Elm Street 5, Hull."),
+    (f"<article><p>{LONG}</p><section class=related-work><h2>Related work</h2><p>{LONG}</p></section><div id=share-price><p>It fell, by ten.</p></div><section id=alerts><p>Sirens, at noon.</p></section><section class='ad-hoc-queries'><p>{LONG}</p></section></article>", f"{LONG} Related work {LONG} It fell, by ten. Sirens, at noon. {LONG}"),
+    (f"<article><p>{LONG}</p><div class=related><a href=a>One thing</a><br><a href=b>Another</a></div><div class='share-buttons'><a href=x>Post</a></div><div class='ad-slot'>{LONG}</div><div id=comments><p>{LONG}</p><article class=comment><p>{LONG}</p></article></div></article>", LONG),
+    (f"<html><head><title>t</title><body><main><p>One.</p></main>", "One."),
+    (f"<body><header><h1>The Daily</h1><p>News since 1901.</p></header><div class=post><header><h2>Title here</h2></header><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p></div>", f"Title here {LONG} {LONG}"),
+    (f"<body><div hidden><p>{LONG}</p></div><div class=cookie-notice>{LONG}</div><p>{LONG}</p><p>{LONG}</p>", f"{LONG} {LONG}"),
+])
+def test_parts_of_pages(html, want):
+    assert main_text(html) == want
+
+
+SOUP = f"""<body><div class=c1><div><a href=/>Start</a></div><div><a href=/n>News</a></div><div><a href=/s>Sport</a></div></div>
+<div class=x9><div>{LONG}</div><div>Not yet</div><div>{LONG}</div><div>So it went</div><div>{LONG}</div></div>
+<div class=z><div><a href=/i>Imprint</a> | <a href=/p>Privacy</a></div><div>&copy; 2020 | all | that</div></div>"""
+
+
+def test_cut_rights_the_classifier():
+    """Without one telling name: short paragraphs look like frame by themselves, and are content among content."""
+    page = Page(SOUP)
+    odds = block_odds(page, PRIOR)
+    side = min_cut(odds, page.edges(1.5))
+    wrong = [b.text for b, o, s in zip(page.blocks, odds, side) if (o > 0) != s]
+    assert wrong and set(wrong) <= {"Not yet", "So it went"}
+    assert main_text(SOUP) == f"{LONG} Not yet {LONG} So it went {LONG}"
+
+
+def test_whole_text_is_the_cheapest_of_all_labellings():
+    """Brute force over pages of few blocks and regions; the cheapest labelling's blocks, decoded and joined, are the text."""
+    r = random.Random(5)
+    inner = [f"<p>{LONG}</p>", "<p>Not yet</p>", "<p>It, is so.</p>", "<li><a href=x>Go on</a>", "<h2>A heading</h2>", "<p>a | b | c</p>", "<div class=related><p>More, of it.</p></div>", "<form><p>Name</p></form>", "<nav>x</nav>", "<div class=notice>Mind &amp; go.</div>"]
+    for _ in range(150):
+        parts = [r.choice(inner) for _ in range(r.randrange(1, 6))]
+        html = "<body>" + "".join(parts[:2]) + r.choice(("<article>", "<div class=post>", "<div>")) + "".join(parts[2:])
+        page = Page(html)
+        nodes, edges = [*block_odds(page, PRIOR), *(x for x, _ in page.regions)], page.edges(1.5)
+        cost = lambda s: sum(-o if x and o < 0 else o if o > 0 and not x else 0 for o, x in zip(nodes, s)) + sum(c for i, j, c in edges if s[i] != s[j])  # noqa: E731, B023
+        every = {s: cost(s) for s in itertools.product((False, True), repeat=len(nodes))}
+        least = min(every.values())
+        best = {" ".join(b.text for b, kept in zip(page.blocks, s) if kept) for s, c in every.items() if c < least + 1e-9}
+        assert main_text(html) in best, html
+        assert all(abs(o) <= CLIP or b.frame for b, o in zip(page.blocks, nodes))
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    def seconds(html):
+        began = time.perf_counter()
+        main_text(html)
+        return time.perf_counter() - began
+
+    for piece in ("<div>x ", "<b><p>x ", "<ul><li>x", "<article><p>One, two. ", "<div class=related><p>x</p>", "</p></div>", "<p>w. "):
+        seconds(piece * 500)
+        assert seconds(piece * 32_000) < 20, piece
+
+
+def test_weights_come_from_markup_and_hold_elsewhere(spark):
+    """Fitted on pages with telling markup, right on pages without any."""
+    r = random.Random(3)
+    text = lambda n: (" ".join(r.choice("sol mar vent, luz, rio alto casa".split()) for _ in range(n)) + ".").capitalize()
+    made = []
+    for k in range(60):
+        body = "".join(f"<p>{text(r.randrange(3, 40))}</p>" for _ in range(r.randrange(3, 8)))
+        links = "".join(f"<li><a href=x>{text(2)}</a></li>" for _ in range(5))
+        made.append((k, f"<nav><ul>{links}</ul></nav><article>{body}</article><footer>&copy; {text(2)}</footer>"))
+    df = spark.createDataFrame([(k, "u", h) for k, h in made] * 2, "page_id long, url string, html string")
+    w = html_mincut.sample_weights(df, 40)
+    assert (w != PRIOR).any() and (w == html_mincut.sample_weights(df, 40)).all()
+    assert main_text(SOUP, w) == f"{LONG} Not yet {LONG} So it went {LONG}"
+    for _, h in made:
+        assert main_text(h.replace("article>", "div>").replace("nav>", "div>").replace("footer>", "div>"), w) == main_text(h, w)
+    assert (html_mincut.sample_weights(df.limit(0), 40) == PRIOR).all()
+
+
 def test_cut_is_minimal():
     r = random.Random(8)
     for _ in range(200):
