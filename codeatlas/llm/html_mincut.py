@@ -38,6 +38,7 @@ IN_HEAD = frozenset("base link meta noscript script style template title".split(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i img input ins kbd label mark math mfrac mi mn mo mrow msqrt mstyle msub msup mtext q s samp semantics small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CONTROLS = frozenset("input select textarea button".split())
 LIST_LIKE = frozenset("ul ol dl table select".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What is never the article.
@@ -51,7 +52,9 @@ CONTENT_NAMES = re.compile(r"(?:article\w*|content|post|entry|story|body|prose)"
 FEATURES = ("bias", "link share", "words", "sentence", "commas", "heading", "list item", "signs", "words before", "words after")
 PRIOR = np.array([0.0, -4.0, 1.5, 1.0, 0.5, 0.5, -0.5, -3.0, 0.3, 0.3])
 #: The most that words say; the leaning of regions; the tie of a block or region to the region around it, and of neighbours.
-CLIP, GOOD, FORM, HEADER, SOFT, PARTLY = 4.0, 1.5, -8.0, -8.0, -4.0, -1.5
+CLIP, GOOD, FORM, HEADER, SOFT, PARTLY = 4.0, 1.5, -2.0, -8.0, -4.0, -1.5
+#: What each control adds to a form's leaning, and where that ends.
+CONTROL, LEAST = -3.0, -8.0
 CONTENT, NEVER = 1e9, -1e9
 HOLD = 4.5
 
@@ -122,6 +125,7 @@ class Page:
     def _read(self, html: str) -> None:
         stack: list[tuple] = [("", 0, (-1, False, False, False, None))]
         opened: Counter = Counter()
+        forms: list[tuple[int, int]] = []
         pieces: list[str] = []
         linked = gone = links = at = 0
 
@@ -174,6 +178,12 @@ class Page:
                 continue
             if stack[-1][0] == "head" and tag not in IN_HEAD:
                 pop()
+            if tag in CONTROLS and "hidden" not in given:
+                while forms and len(stack) <= forms[-1][0]:
+                    forms.pop()
+                if forms:
+                    leaning, around = self.regions[forms[-1][1]]
+                    self.regions[forms[-1][1]] = (max(LEAST, leaning + CONTROL), around)
             ends = CLOSES.get(tag, () if tag in INLINE or tag in VOID else ("p",))
             if any(opened[e] > 0 for e in ends):
                 k = len(stack) - 1
@@ -195,6 +205,8 @@ class Page:
                 self.depth.append(self.depth[parent] + 1)
                 parent = len(self.up) - 1
             stack.append((tag, parent, self._marks(tag, given, stack[-1][2])))
+            if tag == "form" and not stack[-1][2][1]:
+                forms.append((len(stack) - 1, stack[-1][2][0]))
             opened[tag] += 1
             gone += tag in GONE
             links += tag in ("a", "button")
