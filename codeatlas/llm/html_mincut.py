@@ -5,7 +5,7 @@ and neighbours; no element or class name is among its inputs. This becomes the b
 at most `CLIP`. Neighbours in page order, and blocks of one parent, are tied by edges whose capacity halves with each step
 between them in the tree. Elements whose tag or name says something are nodes, too (regions), tied to their blocks and to
 the region around them: an article or main part leans to the source; forms, page headers and names such as `related` or
-`notice` lean to the sink, and what they hold may outweigh that. Only what can't be the article has an unbounded capacity to the
+`notice` lean to the sink, and what they hold may outweigh that; form and header ties cost one way only. Only what can't be the article has an unbounded capacity to the
 sink: nav, footer, aside, hidden elements, adverts, cookie notices, sidebars and reader comments. A maximum flow separates
 content from the rest.
 
@@ -50,7 +50,7 @@ SOFT_NAMES = re.compile(r"(?:notices?|alerts?|banner|overlay|rail|widgets?|menus
 PLAIN_NAMES = re.compile(r"(?:\d+|lists?|sections?|area|box|block|container|wrap|wrapper|slot|unit|site|page|main|posts?|entry|top|bottom|left|right|inner|outer|form|links?|items?|bar|thread|text|holder|module|content|article|primary|secondary|global|mobile|desktop|the)")
 CONTENT_NAMES = re.compile(r"(?:article\w*|content|post|entry|story|body|prose)")
 FEATURES = ("bias", "link share", "words", "sentence", "commas", "heading", "list item", "signs", "words before", "words after")
-PRIOR = np.array([0.0, -4.0, 1.5, 1.0, 0.5, 0.5, -0.5, -3.0, 0.3, 0.3])
+PRIOR = np.array([0.0, -4.0, 1.5, 1.0, 0.5, 1.5, -0.5, -3.0, 0.3, 0.3])
 #: The most that words say; the leaning of regions; the tie of a block or region to the region around it, and of neighbours.
 CLIP, GOOD, FORM, HEADER, SOFT, PARTLY = 4.0, 1.5, -2.0, -8.0, -4.0, -1.5
 #: What each control adds to a form's leaning, and where that ends.
@@ -77,6 +77,7 @@ class Page:
         self.blocks: list[Block] = []
         self.up, self.depth = [0], [0]
         self.regions: list[tuple[float, int]] = []
+        self.wrappers: set[int] = set()
         self._read(html)
 
     def _region(self, leaning: float, around: int) -> int:
@@ -119,6 +120,8 @@ class Page:
         elif tag == "form" or role == "form":
             leaning = FORM
         if leaning:
+            if leaning == HEADER or tag == "form" or role == "form":
+                self.wrappers.add(len(self.regions))
             return self._region(leaning, region), False, content, good, None if leaning < 0 else label
         return region, False, content, good, label
 
@@ -232,12 +235,18 @@ class Page:
             if last.get(over, i - 1) < i - 1:
                 out.append((last[over], i, tie))
             last[over] = i
-            if b.region >= 0 and not b.frame:
+            if b.region >= 0 and not b.frame and b.region not in self.wrappers:
                 out.append((i, n + b.region, HOLD))
         out += [(n + k, n + around, HOLD) for k, (_, around) in enumerate(self.regions) if around >= 0]
         return out
 
 
+    def one_way(self) -> list[tuple[int, int, float]]:
+        """Ties that cost only where a block is content and the form or header around it isn't: being in one never speaks for a block."""
+        n = len(self.blocks)
+        return [(i, n + b.region, HOLD) for i, b in enumerate(self.blocks) if b.region in self.wrappers and not b.frame]
+
+
 def features(blocks: list[Block]) -> np.ndarray:
     """A row for each block, of steps of a tenth."""
     words = [min(math.log1p(b.text.count(" ") + 1), 4.5) / 1.5 - 1.4 for b in blocks]
@@ -271,30 +280,31 @@ def fit(rows: list[tuple[tuple, bool, float]], rounds: int = 300, ridge: float =
     return w
 
 
-def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes are on the source's side; odds above 0 tie a node to the source, below to the sink.
+def min_cut(odds: list[float], edges: list[tuple[int, int, float]], one_way: list[tuple[int, int, float]] = ()) -> list[bool]:
+    """Which nodes are on the source's side; odds above 0 tie a node to the source, below to the sink. `one_way` edges (i, j, c) cost c only with i there and j not.
 
     A node whose own odds outweigh all its edges has that side in every minimum cut; it is settled, and its edges move to
     its neighbours' odds. The rest is left to a maximum flow in layers.
     """
     n, odds = len(odds), list(odds)
     near: list[dict[int, float]] = [{} for _ in odds]
-    load = [0.0] * n
-    for i, j, c in edges:
+    leaves, enters = [0.0] * n, [0.0] * n
+    for i, j, c in [*edges, *((j, i, c) for i, j, c in edges), *one_way]:
         near[i][j] = near[i].get(j, 0.0) + c
-        near[j][i] = near[j].get(i, 0.0) + c
-        load[i] += c
-        load[j] += c
+        near[j].setdefault(i, 0.0)
+        leaves[i] += c
+        enters[j] += c
     side: list[bool | None] = [None] * n
     todo = deque(range(n))
     while todo:
         i = todo.popleft()
-        if side[i] is None and abs(odds[i]) > load[i] + 1e-9:
+        if side[i] is None and (odds[i] > leaves[i] + 1e-9 or -odds[i] > enters[i] + 1e-9):
             side[i] = odds[i] > 0
             for j, c in near[i].items():
-                odds[j] += c if side[i] else -c
-                near[j].pop(i)
-                load[j] -= c
+                back = near[j].pop(i)
+                odds[j] += c if side[i] else -back
+                leaves[j] -= back
+                enters[j] -= c
                 todo.append(j)
             near[i] = {}
     left = [i for i in range(n) if side[i] is None]
@@ -360,7 +370,7 @@ def main_text(html: str | None, weights: np.ndarray = PRIOR, tie: float = 1.5) -
     page = Page(html or "")
     if not page.blocks:
         return ""
-    side = min_cut([*block_odds(page, weights), *(x for x, _ in page.regions)], page.edges(tie))
+    side = min_cut([*block_odds(page, weights), *(x for x, _ in page.regions)], page.edges(tie), page.one_way())
     return " ".join(b.text for b, kept in zip(page.blocks, side) if kept)
 
 
