@@ -9,6 +9,8 @@ read; an empty table gives an empty result, and without training rows all are `u
 from __future__ import annotations
 
 import re
+import sys
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +18,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHIFT = np.uint64(21)
-NOT_LETTER = re.compile(r"[\W\d_]+")
+
+
+@cache
+def not_letters() -> re.Pattern:
+    """Runs without a letter: `\\w` also takes numerals that aren't decimal digits, such as superscripts and Roman ones."""
+    numerals = (c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[\W\d_{''.join(numerals)}]+")
 
 
 def gram_counts(text: str, step: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """N-grams of a whole text, coded from code points, ascending, with their counts. Long texts are counted in pieces cut at words."""
-    text = " " + NOT_LETTER.sub(" ", text.lower()).strip() + " "
+    text = " " + not_letters().sub(" ", text.lower()).strip() + " "
     if len(text) <= 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys, counts, at = [], [], 0
@@ -41,6 +49,14 @@ def gram_counts(text: str, step: int = 1_000_000) -> tuple[np.ndarray, np.ndarra
     return out, np.bincount(back, np.concatenate(counts)).astype(np.int64)
 
 
+def code_of(gram: str) -> int:
+    """How an n-gram is coded."""
+    out = 0
+    for c in gram:
+        out = out << int(SHIFT) | ord(c)
+    return out
+
+
 def train(docs: DataFrame, size: int = 400) -> dict[str, np.ndarray]:
     """The `size` most frequent n-grams of each language, most frequent first. Counts cover all rows of `docs` (text, lang)."""
 

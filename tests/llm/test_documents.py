@@ -74,6 +74,46 @@ def test_language(spark):
     assert {x["lang_pred"] for x in language_id.identify(none).collect()} == {"und"}
 
 
+def test_language_is_brute_force(spark):
+    """Profiles and out-of-place distances by dictionaries, over texts with ties, repeats, numerals and marks."""
+    import zlib
+
+    r = random.Random(12)
+    pool = {"aa": "the thing other brother", "bb": "der die ein straße über", "cc": "ñu que según más"}
+    rows = [(i, " ".join(r.choice(pool[k].split()) + r.choice(("", ",", "²", " 12", "_", " ③")) for _ in range(r.randrange(1, 30))), k) for i in range(90) for k in [r.choice(sorted(pool))]]
+    rows += rows[:7] + [(500, "² ½ ¼ Ⅷ ③ 12 _ ...", "aa"), (501, "Ⅷ a", None), (502, "ⅷ", "bb"), (503, "THE " * 20_000 + "the", None)]
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+
+    def grams(t):
+        out = Counter()
+        for w in letters(t):
+            w = f" {w} "
+            out.update(c for c in w if c != " ")
+            out.update(w[i : i + 2] for i in range(len(w) - 1))
+            out.update(w[i : i + 3] for i in range(len(w) - 2))
+        return out
+
+    rank = lambda n, size: [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], language_id.code_of(x[0])))][:size]
+    size, held = 40, lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    total = {}
+    for d, t, lang in rows:
+        if lang and not held(d):
+            total.setdefault(lang, Counter()).update(grams(t))
+    profiles = {k: {g: i for i, g in enumerate(rank(n, size))} for k, n in total.items()}
+
+    def place(t):
+        top = rank(grams(t), size)
+        if not top:
+            return "und", 0.0
+        away = {k: sum(min(size, abs(p[g] - i)) if g in p else size for i, g in enumerate(top)) for k, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        return best, 1 - away[best] / (size * len(top))
+
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), size).collect()
+    assert sorted((x["doc_id"], x["held_out"], x["lang_pred"], round(x["score"], 9)) for x in got) == sorted((d, held(d), place(t)[0], round(place(t)[1], 9)) for d, t, _ in rows)
+    assert {x["doc_id"] for x in got if x["lang_pred"] == "und"} == {500, 502}
+
+
 def test_long_texts_count_the_same_in_pieces():
     text = " ".join(random.Random(3).choice(["abc", "déf", "x9y", "Ünï"]) for _ in range(3000))
     a, b = language_id.gram_counts(text), language_id.gram_counts(text, step=97)
