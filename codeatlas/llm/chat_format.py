@@ -1,34 +1,31 @@
 """Chat formatting with cumulative-snapshot collapse.
 
 Logged conversations that are prefixes of longer ones (and copies) go; the maximal ones are rendered. A conversation is its
-turns in order of (turn, role, text). Its rolling hash after each turn covers that turn and the hash before. A
-conversation goes if its last hash is among the hashes that longer ones pass through; of equal conversations the one
-with the smallest conv_id stays.
+turns in order of (turn, role, text). A turn's hash covers its place, role and text; the rolling hash of a prefix is the
+exclusive or of its turns' (two hashes of 64 bits each), which a running window gives in one pass, so that work is linear in
+the turns but for their sorting. A conversation goes if its last hash is among those that longer ones pass through; of equal conversations the one with
+the smallest conv_id stays.
 
 Null roles or texts count as empty strings in rendering but differ from them in hashes; a null turn sorts first; rows
 without conv_id make up one conversation of their own. Repeated rows are turns of their own. Extra columns are not read;
-an empty table gives an empty result. A conversation has to fit in one row, as its rendering does.
+an empty table gives an empty result. A conversation that is rendered has to fit in one row; others need not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def _roll(before: Column, turn: Column) -> Column:
-    """128 bits after a turn: sha2 of the hash before and the turn, whose parts carry their lengths."""
-    part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
-    return F.substring(F.sha2(F.concat(before, F.lit("|"), part(turn.role), F.lit("|"), part(turn.text)), 256), 1, 32)
-
-
-def threads(conversations: DataFrame) -> DataFrame:
-    """conv_id, turns, hashes (after each turn)."""
-    turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text"))).alias("turns"))
-    rolled = F.aggregate("turns", F.array().cast("array<string>"), lambda held, t: F.concat(held, F.array(_roll(F.coalesce(F.get(held, F.size(held) - 1), F.lit("")), t))))
-    return turns.withColumn("hashes", rolled)
+def rolled(conversations: DataFrame) -> DataFrame:
+    """conv_id, role, text, pos (from 1), a and b (the hash of the prefix that ends here), is_last."""
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = conversations.select("conv_id", "turn", "role", "text").withColumns({"pos": F.row_number().over(order), "is_last": F.lead(F.lit(1)).over(order).isNull()})
+    said = [F.col("pos"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
+    return placed.select("conv_id", "turn", "role", "text", "pos", "is_last", *[F.bit_xor(F.xxhash64(F.lit(seed), *said)).over(upto).alias(name) for name, seed in (("a", 17), ("b", 3_141_592_653))])
 
 
 def render(turns: Column) -> Column:
@@ -37,12 +34,15 @@ def render(turns: Column) -> Column:
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies (conversations equal to it), chat."""
-    all_ = threads(conversations).withColumn("last", F.element_at("hashes", -1))
-    kept = all_.groupBy("last").agg(F.min_by(F.struct("conv_id", "turns"), F.struct(F.col("conv_id").isNull(), "conv_id")).alias("one"), F.count("*").alias("n_copies"))
-    # What longer conversations pass through: every hash but the last.
-    passed = all_.select(F.explode(F.slice("hashes", 1, F.size("hashes") - 1)).alias("last")).distinct()
-    return kept.join(passed, "last", "left_anti").select("one.conv_id", F.size("one.turns").cast("long").alias("n_turns"), "n_copies", render(F.col("one.turns")).alias("chat"))
+    """conv_id, n_turns, n_copies (conversations equal to it), chat. Decisions are made on hashes; only survivors' texts are gathered."""
+    turns = rolled(conversations)
+    ends = turns.where("is_last").groupBy("a", "b", "pos").agg(F.min(F.struct(F.col("conv_id").isNull().alias("nameless"), "conv_id")).alias("one"), F.count("*").alias("n_copies"))
+    # What longer conversations pass through: every prefix but the whole.
+    passed = turns.where("NOT is_last").select("a", "b", "pos").distinct()
+    kept = ends.join(passed, ["a", "b", "pos"], "left_anti").select(F.col("one.conv_id").alias("kept_id"), F.col("pos").cast("long").alias("n_turns"), "n_copies")
+    said = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
+    whole = said.groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
+    return whole.select("conv_id", "n_turns", "n_copies", render(F.col("turns")).alias("chat"))
 
 
 #: The same by comparing whole renderings, for DuckDB.

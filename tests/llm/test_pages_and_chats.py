@@ -154,3 +154,19 @@ def test_chats_match_brute_force(spark):
     assert chat_format.maximal(df.limit(0)).count() == 0
     nameless = spark.createDataFrame([(None, None, "user", "x"), (None, 1, "user", "y")], "conv_id long, turn long, role string, text string")
     assert [(x["conv_id"], x["n_turns"]) for x in chat_format.maximal(nameless).collect()] == [(None, 2)]
+
+
+def test_long_conversations_take_linear_time(spark):
+    import time
+
+    n = 50_000
+    df = spark.range(n).selectExpr("id % 2 AS conv_id", "id AS turn", "'user' AS role", "concat('t', id div 2) AS text").unionByName(spark.sql("SELECT 2L AS conv_id, 0L AS turn, 'user' AS role, 't0' AS text"))
+    began = time.perf_counter()
+    got = chat_format.maximal(df).collect()
+    assert [(r["conv_id"], r["n_turns"], r["n_copies"]) for r in got] == [(0, n // 2, 2)] and time.perf_counter() - began < 60
+
+
+def test_repeated_turns_and_swapped_nulls(spark):
+    rows = [(1, 0, "u", "x"), (1, 0, "u", "x"), (2, 0, "u", "x"), (3, 0, None, "u"), (4, 0, "u", None), (5, 0, "", "u"), (5, 1, "a", "b"), (6, 0, "a", "b"), (6, 1, "", "u")]
+    got = {r["conv_id"]: (r["n_turns"], r["n_copies"]) for r in chat_format.maximal(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: (2, 1), 3: (1, 1), 4: (1, 1), 5: (2, 1), 6: (2, 1)}
