@@ -45,10 +45,12 @@ ANCHOR = "good"
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     classifier = soft_mixing.learn(docs, soft_mixing.domain_table(table(spark, sf_dir, "labels")))
-    if classifier is None:
-        return docs.select("doc_id", F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+    if classifier is None:  # no labels: rates of 1, and no memberships
+        words = F.size(soft_mixing.words_of(F.col("text"))).cast("long")
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("tokens"), *[F.lit(None).cast("double").alias(f"p_{d}") for d in TARGETS], F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     rated = soft_mixing.rates(docs, classifier, TARGETS, ANCHOR)
-    return rated.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(classifier.domains)], "rate", "copies")
+    of = {d: F.col("p")[i] for i, d in enumerate(classifier.domains)}
+    return rated.select("doc_id", "tokens", *[of.get(d, F.lit(0.0)).alias(f"p_{d}") for d in TARGETS], "rate", "copies")
 
 
 def op6_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:

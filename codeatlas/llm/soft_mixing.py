@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, save, scratch_dir
+from .common import remove, save, scratch_dir, words_of
 
 #: Pieces of a text that the classifier counts: words in lower case, and runs of signs.
 PIECE = re.compile(r"[^\W_]+|[^\w\s]+")
@@ -51,37 +51,21 @@ class Classifier:
         upper = sum(map(str.isupper, text)) / max(1, len(text))
         return np.array([*(k for k, _ in found), len(at)], np.int64), np.array([*(v for _, v in found), upper])
 
-    @classmethod
-    def choose(cls, rows: list[tuple[str, str]], most_pieces: int, least_share: float, least_gain: float) -> list[str]:
-        """The pieces and stems of the greatest likelihood ratio between their presence and the domain."""
-        size, seen = Counter(d for d, _ in rows), {}
-        for d, t in rows:
-            here = set(PIECE.findall((t or "").lower()))
-            for p in here | cls.stems(here):
-                seen.setdefault(p, Counter())[d] += 1
-
-        def gain(n: Counter) -> float:
-            share = n.total() / len(rows)
-            cells = [(n[d], share * size[d]) for d in size] + [(size[d] - n[d], (1 - share) * size[d]) for d in size]
-            return 2 * sum(have * np.log(have / due) for have, due in cells if have)
-
-        least = max(2, least_share * len(rows))
-        ranked = sorted((-gain(n), p) for p, n in seen.items() if n.total() >= least)
-        return [p for g, p in ranked[:most_pieces] if -g >= least_gain]
+    @staticmethod
+    def pieces_of(text: str | None) -> set[str]:
+        """The pieces of a text, and the stems of its words."""
+        here = set(PIECE.findall((text or "").lower()))
+        return here | Classifier.stems(here)
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]], most_pieces: int = 200, least_share: float = 0.003, least_gain: float = 12.0, rounds: int = 400, ridge: float = 1e-4) -> Classifier:
-        """rows: (domain, text)."""
-        domains = sorted({d for d, _ in rows})
-        pieces = cls.choose(rows, most_pieces, least_share, least_gain)
-        at = {p: k for k, p in enumerate(pieces)}
-        x = np.zeros((len(rows), len(at) + 2), np.float32)
-        for i, (_, t) in enumerate(rows):
-            where, value = cls.features(t, at)
+    def train(cls, domains: list[str], pieces: list[str], rows: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 400, ridge: float = 1e-4) -> Classifier:
+        """rows: domain, positions and values of features."""
+        x = np.zeros((len(rows), len(pieces) + 2), np.float32)
+        for i, (_, where, value) in enumerate(rows):
             x[i, where] = value
         x[:, -1] = 0.3
         y = np.zeros((len(rows), len(domains)), np.float32)
-        y[np.arange(len(rows)), [domains.index(d) for d, _ in rows]] = 1
+        y[np.arange(len(rows)), [domains.index(d) for d, _, _ in rows]] = 1
         w = np.zeros((x.shape[1], len(domains)), np.float32)
         m, v = np.zeros_like(w), np.zeros_like(w)
         for k in range(1, rounds + 1):  # Adam over all rows
@@ -92,6 +76,17 @@ class Classifier:
             w -= 0.3 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         return cls(domains, pieces, w[:-1].astype(np.float64), 0.3 * w[-1].astype(np.float64))
 
+    @classmethod
+    def fit(cls, rows: list[tuple[str, str]], **options) -> Classifier:
+        """The same from rows (domain, text) on the driver."""
+        size, seen = Counter(d for d, _ in rows), {}
+        for d, t in rows:
+            for p in cls.pieces_of(t):
+                seen.setdefault(p, Counter())[d] += 1
+        pieces = chosen([(p, n) for p, n in seen.items()], size, **options)
+        at = {p: k for k, p in enumerate(pieces)}
+        return cls.train(sorted(size), pieces, [(d, *cls.features(t, at)) for d, t in rows])
+
     def posterior(self, text: str | None) -> np.ndarray:
         where, value = self.features(text, self.at)
         z = value @ self.weights[where] + self.bias
@@ -104,17 +99,67 @@ def domain_table(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.expr("CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' ELSE 'good' END").alias("domain"))
 
 
-def learn(docs: DataFrame, labelled: DataFrame, most: int = 4000, most_chars: int = 8_000_000) -> Classifier | None:
-    """Fit on at most `most` rows of `labelled` (doc_id, domain), those of the lowest hash, and of these, in the same order, on whole texts up to `most_chars` characters in all, a hundredth of that each."""
+#: Of the pieces that stand in `LEAST_SHARE` of the sample at least, the `MOST_PIECES` that tell domains apart best, by a likelihood ratio of `LEAST_GAIN` at least.
+MOST_PIECES, LEAST_SHARE, LEAST_GAIN = 200, 0.003, 12.0
+
+
+def least_rows(size: Counter) -> float:
+    return max(2, LEAST_SHARE * size.total())
+
+
+def chosen(counts: list[tuple[str, Counter]], size: Counter) -> list[str]:
+    """The pieces and stems of the greatest likelihood ratio between their presence and the domain."""
+
+    def gain(n: Counter) -> float:
+        share = n.total() / size.total()
+        cells = [(n[d], share * size[d]) for d in size] + [(size[d] - n[d], (1 - share) * size[d]) for d in size]
+        return 2 * sum(have * np.log(have / due) for have, due in cells if have > 0 and due > 0)
+
+    ranked = sorted((-gain(n), p) for p, n in counts if n.total() >= least_rows(size))
+    return [p for g, p in ranked[:MOST_PIECES] if -g >= LEAST_GAIN]
+
+
+def learn(docs: DataFrame, labelled: DataFrame, most: int = 4000) -> Classifier | None:
+    """Fit on the whole texts of at most `most` rows of `labelled` (doc_id, domain), those of the lowest hash.
+
+    Of several texts of a doc_id the one of the lowest hash counts. Texts are read where they lie: the driver gets counts of
+    the pieces that enough texts have, and each text's values of the chosen ones.
+    """
+    spark, at = docs.sparkSession, scratch_dir(docs.sparkSession)
     some = labelled.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most)
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    rows, left = [], most_chars
-    for r in found.where(F.length("text") <= most_chars // 100).orderBy(F.xxhash64("doc_id"), "doc_id", "domain", F.xxhash64("text")).toLocalIterator():
-        left -= len(r["text"])
-        if left < 0:
-            break
-        rows.append((r["domain"], r["text"]))
-    return Classifier.fit(rows) if rows else None
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "domain").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = save(found, f"{at}-labelled")
+    size = Counter({r["domain"]: r["count"] for r in found.groupBy("domain").count().collect()})
+    if not size:
+        return None
+    domains = sorted(size)
+
+    def count(batches):
+        for b in batches:
+            seen: Counter = Counter()
+            for d, t in zip(b.column("domain").to_pylist(), b.column("text").to_pylist()):
+                seen.update((p, d) for p in Classifier.pieces_of(t))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([d for _, d in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["piece", "domain", "n"])
+
+    pieces = found.select("domain", "text").mapInArrow(count, "piece string, domain string, n long")
+    wide = pieces.groupBy("piece").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)])
+    # The ratio in expressions, so that only the best reach the driver.
+    total, all_ = float(size.total()), F.col("all")
+    part = lambda have, due: F.when(have > 0, have * F.log(have / due)).otherwise(0.0)
+    gain = sum((part(F.col(f"n{k}"), all_ / total * size[d]) + part(size[d] - F.col(f"n{k}"), (1 - all_ / total) * size[d]) for k, d in enumerate(domains)), F.lit(0.0))
+    best = wide.where((all_ >= least_rows(size)) & (all_ < total)).withColumn("gain", F.round(gain, 6)).orderBy(F.desc("gain"), "piece").limit(2 * MOST_PIECES).collect()
+    names = chosen([(r["piece"], Counter({d: r[f"n{k}"] for k, d in enumerate(domains)})) for r in best], size)
+    place = {p: k for k, p in enumerate(names)}
+
+    def measure(batches):
+        for b in batches:
+            got = [Classifier.features(t, place) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("domain"), pa.array([w.tolist() for w, _ in got], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in got], pa.list_(pa.float64()))], names=["doc_id", "domain", "at", "value"])
+
+    rows = found.mapInArrow(measure, "doc_id long, domain string, at array<long>, value array<double>").collect()
+    remove(spark, f"{at}-labelled")
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["domain"]))
+    return Classifier.train(domains, names, [(r["domain"], np.array(r["at"]), np.array(r["value"])) for r in rows])
 
 
 def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -130,7 +175,7 @@ def memberships(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def rates(docs: DataFrame, classifier: Classifier, targets: dict[str, float], anchor: str, steps: int = 24, tolerance: float = 1e-4, keep_every: int = 8, only_lower: bool = False) -> DataFrame:
-    """doc_id, tokens, p, rate, copies. The anchor domain's tokens stay as many as they are, which sets the total.
+    """doc_id, tokens, p, rate, copies. The anchor domain's tokens stay as many as they are, which sets the total; without one (no such domain, or no target for it) the total stays.
 
     With `only_lower`, targets of other domains are ceilings: what lies below its target stays as it is, so that a few
     documents of a domain that an earlier stage has removed aren't repeated many times over.
@@ -142,7 +187,7 @@ def rates(docs: DataFrame, classifier: Classifier, targets: dict[str, float], an
     have, gram = np.array([x or 0 for x in sums[:k]], float), np.array([x or 0 for x in sums[k:]], float).reshape(k, k)
     scale = max(have.sum(), 1.0)
     share = np.array([targets.get(d, 0.0) for d in classifier.domains])
-    base = have[classifier.domains.index(anchor)] / targets[anchor] if anchor in classifier.domains else have.sum()
+    base = have[classifier.domains.index(anchor)] / targets[anchor] if anchor in classifier.domains and targets.get(anchor) else have.sum()
     want = share / share.sum() * base / scale if share.sum() else have / scale
     if only_lower:
         want = np.where([d == anchor for d in classifier.domains], want, np.minimum(want, have / scale))
