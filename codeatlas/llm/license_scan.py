@@ -1,10 +1,12 @@
-"""License scan: TF-IDF cosine of lines to templates, and inheritance from the nearest ancestor directory.
+"""License scan: TF-IDF cosine of headers and license files to templates, and inheritance from the nearest ancestor directory.
 
-Each line of a whole text is compared, as a sparse TF-IDF vector of its words, with each template line; words that no
-template has count in the line's length. The whole document, too, is compared with whole license texts (folder `licenses`),
-by vectors with damped counts. A document's own license is the one of its best whole text at or above `threshold`, else of
-its best such line. A document with such a whole text, or of which `file_share` of the words are in such lines, is a license
-file: it licenses its directory. What has no license of its own inherits from the nearest directory above it that has one.
+Three parts of a whole text are compared, as sparse TF-IDF vectors of their words, with templates of their kind: each line
+with notice lines, each block of lines (a comment header, a paragraph; marks of comments are no words) with whole headers, and
+the whole document with whole license texts (folder `licenses`). Words that no template has count in a vector's length;
+counts of blocks and documents are damped. A document's own license is that of its best whole text at or above
+`threshold`, else of its best such header, else of its best such line. A document with such a whole text, or of which
+`file_share` of the words are in such headers and lines, is a license file: it licenses its directory. What has no license
+of its own inherits from the nearest directory above it that has one.
 
 Null or empty texts have no license of their own, but may inherit. A null path has no directories. In a directory with
 several license files the most frequent license counts, then the first by name. Each row is scanned by itself; repeated
@@ -40,7 +42,22 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
     "Proprietary": ["All rights reserved"],
 }
+#: Whole headers by SPDX identifier.
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. You should have received a copy of the {name} along with this program. If not, see <https://www.gnu.org/licenses/>."
+HEADERS = {
+    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
+    "GPL-3.0": [_GNU.format(name="GNU General Public License", v=3)],
+    "GPL-2.0": [_GNU.format(name="GNU General Public License", v=2)],
+    "AGPL-3.0": [_GNU.format(name="GNU Affero General Public License", v=3)],
+    "LGPL-3.0": [_GNU.format(name="GNU Lesser General Public License", v=3)],
+    "LGPL-2.1": [_GNU.format(name="GNU Lesser General Public License", v="2.1")],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "MIT": ["Use of this source code is governed by an MIT-style license that can be found in the LICENSE file or at https://opensource.org/licenses/MIT."],
+}
 WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
+#: What opens or closes a comment on a line.
+COMMENT = re.compile(r"^[\s/*#;!%<-]*|[\s*/>-]*$")
 
 
 def words(line: str) -> list[str]:
@@ -60,7 +77,7 @@ class Matcher:
         held = {w for lines in templates.values() for t in lines for w in words(t)}
         self.idf, self.unknown, self.damped, self.lines, self.by_word = {w: x for w, x in idf.items() if w in held}, unknown, damped, [], {}
         for name, lines in templates.items():
-            for text in lines:
+            for text in lines:  # a template is of one kind, so its name says which license it is
                 v = self.weights(Counter(words(text)))
                 norm = math.sqrt(sum(x * x for x in v.values()))
                 for w, x in v.items():
@@ -86,30 +103,60 @@ class Matcher:
             for k, y in self.by_word[w]:
                 score[k] = score.get(k, 0.0) + x * y
         k = min(score, key=lambda k: (-round(score[k], 12), self.lines[k], k))
-        return self.lines[k], min(1.0, score[k])
-
-    def document(self, text: str | None, threshold: float, whole: Matcher) -> tuple[str | None, float, float]:
-        """License, score, share of words in lines that reach the threshold; all of them where the text is a whole license text."""
-        best, top, inside, total, all_words = None, 0.0, 0, 0, Counter()
-        for text_line in (text or "").split("\n"):
-            found = Counter(words(text_line))
+        return self.lines[k], min(1.0, round(score[k], 12))
+
+
+class Scanner:
+    """The three comparisons, with the templates' document frequencies."""
+
+    def __init__(self, idf: dict[str, float], unknown: float, threshold: float):
+        self.lines, self.headers, self.whole = Matcher(idf, unknown), Matcher(idf, unknown, HEADERS, damped=True), Matcher(idf, unknown, whole_texts(), damped=True)
+        self.threshold = threshold
+
+    def document(self, text: str | None) -> tuple[str | None, float, float]:
+        """License, score, share of words in lines and headers that reach the threshold; all of them where the text is a whole license text."""
+        at_least, best, top, inside, all_words = self.threshold, (None, 0.0), (None, 0.0), 0, Counter()
+        for block in blocks(text or ""):
+            found, covered, here = Counter(), 0, 0
+            for line in block:
+                n = Counter(words(line))
+                found.update(n)
+                name, s = self.lines.best(n, at_least)
+                here += n.total()
+                if name and s >= at_least:
+                    covered += n.total()
+                    if s > best[1] or s == best[1] and name < best[0]:
+                        best = (name, s)
             all_words.update(found)
-            name, s = self.best(found, threshold)
-            n = found.total()
-            total += n
-            if name and s >= threshold:
-                inside += n
-                if s > top or s == top and name < best:
-                    best, top = name, s
-        name, s = whole.best(all_words, threshold)
-        if name and s >= threshold:
+            if len(block) > 1 or covered < here:
+                name, s = self.headers.best(found, at_least)
+                if name and s >= at_least:
+                    covered = here
+                    if s > top[1] or s == top[1] and name < top[0]:
+                        top = (name, s)
+            inside += covered
+        name, s = self.whole.best(all_words, at_least)
+        if name and s >= at_least:
             return name, s, 1.0
-        return best, top, inside / total if total else 0.0
+        total = all_words.total()
+        return *(top if top[0] else best), inside / total if total else 0.0
+
+
+def blocks(text: str) -> list[list[str]]:
+    """Runs of lines that hold more than marks of comments, whose first and last marks are cut off."""
+    out: list[list[str]] = [[]]
+    for line in text.split("\n"):
+        bare = COMMENT.sub("", line)
+        if bare:
+            out[-1].append(bare)
+        elif out[-1]:
+            out.append([])
+    return [b for b in out if b]
 
 
 def template_idf(docs: DataFrame) -> tuple[dict[str, float], float]:
     """Smoothed inverse document frequencies of the templates' words over all documents, and that of a word in none."""
-    vocabulary = sorted({w for templates in (TEMPLATES, whole_texts()) for lines in templates.values() for t in lines for w in words(t)})
+    vocabulary = sorted({w for templates in (TEMPLATES, HEADERS, whole_texts()) for lines in templates.values() for t in lines for w in words(t)})
     held = frozenset(vocabulary)
 
     def count(batches):
@@ -126,24 +173,24 @@ def template_idf(docs: DataFrame) -> tuple[dict[str, float], float]:
     return {w: idf(got.get(w, 0)) for w in vocabulary}, idf(0)
 
 
-def scan(docs: DataFrame, path: Column, threshold: float = 0.75, file_share: float = 0.5) -> DataFrame:
-    """doc_id, path, own_license, score, inherited_from, license."""
-    idf = template_idf(docs)
-    matcher, whole = Matcher(*idf), Matcher(*idf, whole_texts(), damped=True)
+def scan(docs: DataFrame, path: Column, threshold: float = 0.75, file_share: float = 0.5, most_sent: int = 100_000) -> DataFrame:
+    """doc_id, path, own_license, score, inherited_from, license. At most `most_sent` directories with their licenses are broadcast."""
+    scanner, spark, at = Scanner(*template_idf(docs), threshold), docs.sparkSession, scratch_dir(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            got = [matcher.document(t, threshold, whole) for t in b.column("text").to_pylist()]
+            got = [scanner.document(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.float64())], names=["doc_id", "path", "own_license", "score", "share"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), "text").mapInArrow(run, "doc_id long, path string, own_license string, score double, share double")
-    found = save(found.withColumn("dir", F.when(F.col("path").isNotNull(), F.regexp_replace("path", "/?[^/]*$", ""))), scratch_dir(docs.sparkSession) + "-licenses")
+    found = save(found.withColumn("dir", F.when(F.col("path").isNotNull(), F.regexp_replace("path", "/?[^/]*$", ""))), f"{at}-licenses")
     votes = found.where(F.col("own_license").isNotNull() & F.col("dir").isNotNull() & (F.col("share") >= file_share)).groupBy("dir", "own_license").count()
     given = votes.groupBy(F.col("dir").alias("from")).agg(F.min_by("own_license", F.struct(-F.col("count"), "own_license")).alias("given"))
     # Directories are few beside documents: each is resolved once, by its own ancestors.
     dirs = found.where(F.col("dir").isNotNull()).select("dir").distinct()
     above = dirs.withColumn("parts", F.split("dir", "/")).withColumn("depth", F.explode(F.sequence(F.lit(0), F.size("parts")))).withColumn("from", F.array_join(F.slice("parts", 1, F.col("depth")), "/"))
-    nearest = above.join(given, "from").groupBy("dir").agg(F.max_by(F.struct("from", "given"), "depth").alias("near"))
-    out = found.join(nearest, "dir", "left")
+    nearest = save(above.join(given, "from").groupBy("dir").agg(F.max_by(F.struct("from", "given"), "depth").alias("near")), f"{at}-nearest")
+    # A directory may hold a third of all rows: sent to every task, the table needs no shuffle of them. Beyond the bound, skewed joins are split at run time.
+    out = found.join(F.broadcast(nearest) if nearest.count() <= most_sent else nearest, "dir", "left")
     inherits = F.col("own_license").isNull()
     return out.select("doc_id", "path", "own_license", "score", F.when(inherits, F.col("near.from")).alias("inherited_from"), F.coalesce("own_license", "near.given").alias("license"))
