@@ -1,15 +1,19 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are lower-case runs of letters and digits. A document and a benchmark item that share a run of `min_match`
-tokens (a seed) are tiled: the longest match of tokens that no earlier tile has marked becomes a tile, again and again,
-until no match of `min_match` tokens is left. Matches are found by Karp-Rabin hashes of `min_match` tokens, checked token
-by token and run together along diagonals. A pair is reported if tiles cover `threshold` of the item's tokens; order
-between tiles is free, so reordered passages count. Pairs whose shared seeds couldn't cover that much aren't tiled.
-
-Null or empty texts match nothing, on either side; items shorter than `min_match` tokens are searched for as a whole.
-Repeated documents or items each give their own rows; null ids are carried. Extra columns are not read; empty tables give an empty
-result. The benchmark is searched in blocks of at most `block_chars` characters (an item longer than that is a block), each held by
-every task; documents are read once for each block.
+Tokens are lower-case runs of letters and digits, known by 64-bit hashes. A document and a benchmark item that share a run
+of `min_match` tokens (a seed) are tiled: the longest match of tokens that no earlier tile has marked becomes a tile, again
+and again, until no match of `min_match` tokens is left. Matches are found by Karp-Rabin hashes of `min_match` tokens, run
+together along diagonals and checked token by token. A pair is reported if tiles cover `threshold` of the item's tokens;
+order between tiles is free, so reordered passages count. Items shorter than `min_match` tokens are their own seed and have
+to be found as a whole.
+
+One pass over the texts keeps the documents with a seed that the benchmark may have, by a sieve of bounded size that every
+task holds. Their seeds are joined with the benchmark's; pairs whose shared seeds could cover enough of the item go on to
+be tiled. Neither the benchmark nor the documents pass through the driver.
+
+Null or empty texts match nothing, on either side. Repeated documents or items each give their own rows; null ids are
+carried. Extra columns are not read; empty tables give an empty result. A token repeated without end makes no more matches
+than there are diagonals.
 """
 
 from __future__ import annotations
@@ -19,13 +23,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import WordHasher, mix, remove, save, scratch_dir
 
 TOKEN = re.compile(r"[^\W_]+")
-BITS = 20
+RESULT = "doc_id long, item_id long, item_tokens long, covered_tokens long, tiles long"
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -33,20 +37,46 @@ def tokens_of(text: str | None) -> list[str]:
 
 
 def karp_rabin(x: np.ndarray, width: int) -> np.ndarray:
-    """Rolling polynomial hash (mod 2^64) of each run of `width` token hashes."""
-    out = np.zeros(max(0, len(x) - width + 1), np.uint64)
+    """Rolling polynomial hash (mod 2^64) of each run of `width` token hashes; another for each width."""
+    out = np.full(max(0, len(x) - width + 1), np.uint64(width), np.uint64)
     for i in range(width if len(out) else 0):
         out = out * np.uint64(0x9E3779B97F4A7C15) + x[i : len(x) - width + 1 + i]
     return mix(out)
 
 
-def tiles(item: np.ndarray, text: np.ndarray, at_item: np.ndarray, at_text: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item start, text start, length) from the starts of equal runs of `min_match` tokens."""
-    order = np.lexsort((at_item, at_text - at_item))
-    i, j = at_item[order], at_text[order]
-    new = np.r_[True, (np.diff(j - i) != 0) | (np.diff(i) != 1)]
-    first = np.flatnonzero(new)
-    heap = [(-(int(n) + min_match - 1), int(i[k]), int(j[k])) for k, n in zip(first, np.diff(np.r_[first, len(i)]))]
+def runs(item: np.ndarray, text: np.ndarray, width: int, most_pairs: int | None = None) -> list[tuple[int, int, int]]:
+    """Maximal matches (item start, text start, length) of `width` tokens or more.
+
+    Equal seeds are put together at once where they are few, else one place of the item after another, so that a repeated
+    token takes memory for the text's places only.
+    """
+    mine, theirs = karp_rabin(item, width), karp_rabin(text, width)
+    order = np.argsort(theirs, kind="stable")
+    low, high = np.searchsorted(theirs[order], mine), np.searchsorted(theirs[order], mine, "right")
+    n = high - low
+    if n.sum() <= (4 * (len(item) + len(text)) if most_pairs is None else most_pairs):
+        i = np.repeat(np.arange(len(mine)), n)
+        j = order[np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+        by = np.lexsort((i, j - i))
+        i, j = i[by], j[by]
+        first = np.flatnonzero(np.r_[True, (np.diff(j - i) != 0) | (np.diff(i) != 1)]) if len(i) else i
+        found = [(int(i[k]), int(j[k]), int(m) + width - 1) for k, m in zip(first, np.diff(np.r_[first, len(i)]))]
+    else:
+        begins, ends, none = [], [], np.zeros(0, np.int64)
+        at = lambda i: order[low[i] : high[i]] if 0 <= i < len(mine) else none
+        before, here = none, at(0)
+        for i in range(len(mine)):
+            after = at(i + 1)
+            begins += [(j - i, i) for j in here[~np.isin(here - 1, before)].tolist()]
+            ends += [(j - i, i) for j in here[~np.isin(here + 1, after)].tolist()]
+            before, here = here, after
+        found = [(i, d + i, e - i + width) for (d, i), (_, e) in zip(sorted(begins), sorted(ends))]
+    return [(i, j, m) for i, j, m in found if (item[i : i + m] == text[j : j + m]).all()]
+
+
+def tiles(item: np.ndarray, text: np.ndarray, min_match: int, most_pairs: int | None = None) -> list[tuple[int, int, int]]:
+    """Greedy tiles (item start, text start, length)."""
+    heap = [(-n, i, j) for i, j, n in runs(item, text, min_match, most_pairs)]
     heapq.heapify(heap)
     in_item, in_text, out = np.zeros(len(item), bool), np.zeros(len(text), bool), []
     while heap:
@@ -64,113 +94,111 @@ def tiles(item: np.ndarray, text: np.ndarray, at_item: np.ndarray, at_text: np.n
     return out
 
 
-class Index:
-    """Seeds of a block of items."""
-
-    def __init__(self, items: list[tuple], min_match: int):
-        self.ids, self.tokens, self.vocabulary, self.min_match = [], [], {}, min_match
-        self.short: dict[int, dict[bytes, list]] = {}
-        seeds, where, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        rng = np.random.default_rng(11)
-        for name, text in items:
-            words = tokens_of(text)
-            t = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            if len(words) < min_match:
-                if words:
-                    self.short.setdefault(len(words), {}).setdefault(t.tobytes(), []).append(name)
-                continue
-            where.append(np.full(len(t) - min_match + 1, len(self.ids)))
-            at.append(np.arange(len(t) - min_match + 1))
-            self.ids.append(name)
-            self.tokens.append(t)
-        self.codes = rng.integers(1, 2**63, len(self.vocabulary) + 1, dtype=np.uint64)
-        seeds += [karp_rabin(self.codes[t], min_match) for t in self.tokens]
-        h, where, at = map(np.concatenate, (seeds, where, at))
-        order = np.argsort(h, kind="stable")
-        self.h, self.where, self.at = h[order], where[order], at[order]
-        self.maybe = np.zeros(1 << BITS, bool)
-        self.maybe[self.h >> np.uint64(64 - BITS)] = True
-        self.short_h = {n: karp_rabin(self.codes[np.frombuffer(b"".join(x), np.int64)], n)[::n] for n, x in self.short.items()}
-
-    def whole(self, t: np.ndarray):
-        """Items shorter than `min_match` tokens that stand in the tokens t, once each."""
-        for n, names in self.short.items():
-            if len(t) >= n:
-                spot = np.flatnonzero(np.isin(karp_rabin(self.codes[t], n), self.short_h[n]))
-                for run in {t[i : i + n].tobytes() for i in spot.tolist()} & names.keys():
-                    yield from ((name, n, n, 1) for name in names[run])
-
-    def search(self, text: str | None, threshold: float):
-        """(item id, item tokens, covered tokens, tiles) of the items that the text holds."""
-        m = self.min_match
-        get = self.vocabulary.get
-        words = tokens_of(text)
-        if not self.short and (len(words) < m or not len(self.h)):
-            return
-        t = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        yield from self.whole(t)
-        if len(words) < m or not len(self.h):
-            return
-        # A seed has only tokens that the benchmark knows.
-        known = np.concatenate([[0], np.cumsum(t > 0)])
-        if not (full := known[m:] - known[:-m] == m).any():
-            return
-        h = karp_rabin(self.codes[t], m)
-        spot = np.flatnonzero(full & self.maybe[h >> np.uint64(64 - BITS)])
-        low, high = np.searchsorted(self.h, h[spot]), np.searchsorted(self.h, h[spot], "right")
-        n = high - low
-        if not n.any():
-            return
-        text_at = np.repeat(spot, n)
-        seed = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        who, item_at = self.where[seed], self.at[seed]
-        for k in np.unique(who):
-            mine, item = who == k, self.tokens[k]
-            could = np.zeros(len(item) + 1, np.int64)
-            starts = np.unique(item_at[mine])
-            np.add.at(could, starts, 1)
-            np.add.at(could, starts + m, -1)
-            if (np.cumsum(could)[:-1] > 0).sum() < threshold * len(item):
-                continue
-            a, b = item_at[mine], text_at[mine]
-            same = np.ones(len(a), bool)
-            for d in range(m):
-                same &= item[a + d] == t[b + d]
-            found = tiles(item, t, a[same], b[same], m) if same.any() else []
-            covered = sum(x[2] for x in found)
-            if covered >= threshold * len(item):
-                yield self.ids[k], len(item), covered, len(found)
-
-
-def blocks(benchmark: DataFrame, block_chars: int):
-    """Lists of (item_id, text) of at most block_chars characters each."""
-    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    before = F.coalesce(F.sum(size).over(Window.orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = benchmark.agg(F.sum(size)).first()[0] or 0
-    if total <= block_chars:
-        yield [tuple(r) for r in benchmark.select("item_id", "text").collect()]
-        return
-    dealt = benchmark.select("item_id", "text", F.floor(before / block_chars).alias("block")).persist()
-    for (k,) in dealt.select("block").distinct().orderBy("block").collect():
-        yield [tuple(r) for r in dealt.where(F.col("block") == k).select("item_id", "text").collect()]
-    dealt.unpersist()
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
-    """doc_id, item_id, item_tokens, covered_tokens, tiles: one row for each document and item that it holds."""
-    spark, out = docs.sparkSession, None
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_tokens", pa.int64()), ("covered_tokens", pa.int64()), ("tiles", pa.int64())])
-    ddl = "doc_id long, item_id long, item_tokens long, covered_tokens long, tiles long"
-    for block in blocks(benchmark, block_chars):
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches, held=held):
-            index = Index(held.value, min_match)
-            for b in batches:
-                rows = [(d, *x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for x in index.search(t, threshold)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
-
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
-        out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], ddl)
+class Sieve:
+    """Seeds that the benchmark may have: a bitmap by their first bits and, where they are few enough, all of them."""
+
+    def __init__(self, bits: int, bitmap: np.ndarray, seeds: np.ndarray | None, widths: list[int]):
+        self.bits, self.bitmap, self.seeds, self.widths = bits, bitmap, seeds, widths
+
+    @classmethod
+    def of(cls, seeds: DataFrame, most_sent: int) -> Sieve:
+        """At most 2^27 bits and `most_sent` seeds."""
+        widths = sorted(r["width"] for r in seeds.select("width").distinct().collect())
+        n = seeds.count()
+        exact = None
+        if n <= most_sent:
+            exact = np.unique(seeds.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+        bits = min(27, max(16, (16 * n).bit_length()))
+        place = F.shiftrightunsigned("h", 64 - bits)
+        words = seeds.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - bits}) & 63))")).alias("mask")).toArrow()
+        bitmap = np.zeros(1 << (bits - 6), np.uint64)
+        bitmap[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+        return cls(bits, bitmap, exact, widths)
+
+    def hits(self, x: np.ndarray) -> np.ndarray:
+        """Distinct seeds of a text that the sieve lets through."""
+        out = [np.zeros(0, np.uint64)]
+        for width in self.widths:
+            h = karp_rabin(x, width)
+            place = h >> np.uint64(64 - self.bits)
+            h = np.unique(h[(self.bitmap[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1])
+            out.append(h if self.seeds is None or not len(self.seeds) else h[self.seeds[np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)] == h])
+        return np.concatenate(out)
+
+
+def _items(batches):
+    hasher = WordHasher()
+    for b in batches:
+        x = [hasher(tokens_of(t)) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array([len(t) for t in x], pa.int64()), pa.array([t.tobytes() for t in x], pa.binary())], names=["item_id", "n", "tokens"])
+
+
+def _seeds(min_match: int):
+    def run(batches):
+        for b in batches:
+            for key, n, tokens in zip(*(b.column(c).to_pylist() for c in ("key", "n", "tokens"))):
+                width = min(n, min_match)
+                h = karp_rabin(np.frombuffer(tokens, np.uint64), width).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"h": h, "key": np.full(len(h), key), "at": np.arange(len(h)), "width": np.full(len(h), width), "n": np.full(len(h), n)})
+
+    return run
+
+
+def _suspects(sieve):
+    def run(batches):
+        hasher, sift = WordHasher(), sieve.value
+        for b in batches:
+            rows = []
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                x = hasher(tokens_of(t))
+                h = sift.hits(x)
+                if len(h):
+                    rows.append((d, x.tobytes(), h.view(np.int64).tolist()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.list_(pa.int64())))], names=["doc_id", "tokens", "hs"])
+
+    return run
+
+
+def _tiled(min_match: int, threshold: float):
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in RESULT.split(", ")])
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for d, item_id, x, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "item", "tokens"))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if len(x) < min_match:
+                    found = runs(x, y, len(x))[:1]
+                else:
+                    found = tiles(x, y, min_match)
+                covered = sum(n for _, _, n in found)
+                if found and covered >= threshold * len(x):
+                    out.append((d, item_id, len(x), covered, len(found)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+
+    return run
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5, most_sent: int = 2_000_000) -> DataFrame:
+    """doc_id, item_id, item_tokens, covered_tokens, tiles: one row for each document and item that it holds.
+
+    Beyond `most_sent` seeds (16 MB) tasks get a bitmap of 16 MB alone, and the join does what it can't tell.
+    """
+    spark, at = docs.sparkSession, scratch_dir(docs.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items, "item_id long, n long, tokens binary").where("n > 0")
+    items = save(items.withColumn("key", F.monotonically_increasing_id()), f"{at}-items")
+    seeds = save(items.select("key", "n", "tokens").mapInArrow(_seeds(min_match), "h long, key long, at long, width long, n long"), f"{at}-seeds")
+    sieve = spark.sparkContext.broadcast(Sieve.of(seeds, most_sent))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    suspects = save(texts.mapInArrow(_suspects(sieve), "doc_id long, tokens binary, hs array<long>").withColumn("uid", F.monotonically_increasing_id()), f"{at}-suspects")
+    met = suspects.select("uid", F.explode("hs").alias("h")).join(seeds, "h").groupBy("uid", "key").agg(F.first("n").alias("n"), F.first("width").alias("width"), F.array_sort(F.collect_set("at")).alias("ats"))
+    # Tokens of the item within any shared seed.
+    steps = F.transform("ats", lambda x, i: F.coalesce(F.least(F.col("width"), F.get("ats", i + 1) - x), F.col("width")))
+    pairs = met.where(F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x) >= F.lit(threshold) * F.col("n")).select("uid", "key")
+    both = suspects.select("uid", "doc_id", "tokens").join(pairs, "uid").join(items.select("key", "item_id", F.col("tokens").alias("item")), "key")
+    out = save(both.select("doc_id", "item_id", "item", "tokens").mapInArrow(_tiled(min_match, threshold), RESULT), f"{at}-leaks")
+    remove(spark, *(f"{at}-{x}" for x in ("items", "seeds", "suspects")))
+    sieve.unpersist()
+    return out

@@ -186,12 +186,27 @@ def test_tiling_matches_brute_force(spark):
                 n = greedy(a, b[:200], 5)
                 if n >= 0.5 * len(a):
                     want[d, k, len(a), n] += 1
-    for chars in (8_000_000, 150):
-        got = Counter(tuple(x)[:4] for x in decontaminate.leaks(df, bench, block_chars=chars).collect())
+    for most in (2_000_000, 0):
+        got = Counter(tuple(x)[:4] for x in decontaminate.leaks(df, bench, most_sent=most).collect())
         assert set(got) == set(want) and got == want
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0 and decontaminate.leaks(df.limit(0), bench).count() == 0
 
 
+def test_repeated_tokens_take_little_memory():
+    import tracemalloc
+
+    for item, text in ((np.full(300, 7, np.uint64), np.full(8000, 7, np.uint64)), (np.arange(300, dtype=np.uint64) % 3, np.arange(9000, dtype=np.uint64) % 3)):
+        tracemalloc.start()
+        found = decontaminate.tiles(item, text, 5)
+        assert sum(n for _, _, n in found) == 300 and tracemalloc.get_traced_memory()[1] < 40_000_000
+        tracemalloc.stop()
+    r = random.Random(2)
+    for _ in range(60):
+        item, text = (np.array([r.randrange(k) for _ in range(n)], np.uint64) for k, n in ((3, r.randrange(3, 25)), (3, r.randrange(3, 40))))
+        assert sorted(decontaminate.runs(item, text, 3)) == sorted(decontaminate.runs(item, text, 3, most_pairs=-1))
+        assert sum(n for _, _, n in decontaminate.tiles(item, text, 3)) == greedy(item.tolist(), text.tolist(), 3)
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code code"), (3, "a/b/y.py", "# Licensed under the Apache License, Version 2.0\n" + "code\n" * 50),
