@@ -12,6 +12,10 @@ n-grams shares at least ceil(q n) of them, so:
    hub with which it shares most. Verified links are merged into components.
 4. *Rest*: pairs of different components that share enough prefix n-grams, and could share enough n-grams by what each has
    alone and by what each shares with their common hub, are verified. So no link between components is lost, and pairs inside one are never made.
+   In each posting list these bounds are first tried between kinds of nodes (hub, size, n-grams alone and shared with the hub), so that a
+   list of many like nodes, such as those of one common passage, is no list of pairs.
+
+Buckets of n-grams, chunks of documents and Arrow batches are bounded by their n-grams or bytes, not by documents.
 
 Null or empty texts have no n-grams and link with nothing. Rows without doc_id take no part: their component_id is
 null. Repeated rows and equal texts share a node; a doc_id given to two texts stands in both nodes. Extra columns are
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +36,10 @@ from .common import LOWER_AZ, WordHasher, mix, partitions, remove, save, scratch
 
 #: Texts below LONG n-grams are screened by all their n-grams, longer ones by those whose hash is a multiple of 4.
 LONG = 256
-#: Documents packed together.
-CHUNK = 1000
+#: Documents packed together: so many at most, and of so many bytes of text or n-grams (one longer document is a chunk).
+CHUNK, CHUNK_BYTES = 1000, 8_000_000
+#: Bytes of text for each n-gram, about.
+BYTES_PER_GRAM = 6
 DEALT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("runs", pa.binary()), ("tokens", pa.binary()), ("owned", pa.int64()), ("once", pa.int64())])
 DEALT_DDL = "bucket int, chunk long, ids binary, runs binary, tokens binary, owned long, once long"
 
@@ -70,6 +77,18 @@ def task_chunk(k: int) -> int:
     return (TaskContext.get().partitionId() << 20) | k
 
 
+def chunks(batches, column: str):
+    """Slices of batches, bounded by CHUNK and CHUNK_BYTES of a column."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(b):
+            done = size[at - 1] if at else 0
+            end = min(at + CHUNK, max(at + 1, int(np.searchsorted(size, done + CHUNK_BYTES, "right"))))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def as_batches(rows, schema: pa.Schema, most: int = 4000):
     held: list = []
     for r in rows:
@@ -98,8 +117,7 @@ def screen_pass(docs: DataFrame, size: int, buckets: int, num: int, den: int) ->
 
     def run(batches):
         hasher = WordHasher()
-        parts = (b.slice(i, CHUNK) for b in batches for i in range(0, len(b), CHUNK))
-        for k, b in enumerate(parts):
+        for k, b in enumerate(chunks(batches, "text")):
             chunk, sets, sizes, names = task_chunk(k), {}, [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 s = ngram_set(t or b"", hasher, size)
@@ -156,12 +174,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         hasher = WordHasher()
-        for b in batches:
-            for i in range(0, len(b), 500):
-                c = b.slice(i, 500)
-                sets = [ngram_set(t or b"", hasher, size) for t in c.column("text").cast(pa.binary()).to_pylist()]
-                rows = [(w, len(s), s.tobytes()) for s, w in zip(sets, c.column("node").to_pylist()) if node_of(s) == w]
-                yield from as_batches(rows, schema)
+        for c in chunks(batches, "text"):
+            sets = [ngram_set(t or b"", hasher, size) for t in c.column("text").cast(pa.binary()).to_pylist()]
+            rows = [(w, len(s), s.tobytes()) for s, w in zip(sets, c.column("node").to_pylist()) if node_of(s) == w]
+            yield from as_batches(rows, schema)
 
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
     found = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").select("node", "text")
@@ -173,7 +189,7 @@ def prefixes(sets: DataFrame, buckets: int, num: int, den: int, weight: float, m
     import pandas as pd
 
     def run(batches):
-        for k, b in enumerate(batches):
+        for k, b in enumerate(chunks(batches, "tokens")):
             nodes = np.array(b.column("node").to_pylist(), np.int64)
             sets = [np.frombuffer(x, np.uint64) for x in b.column("tokens").to_pylist()]
             owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -260,20 +276,21 @@ def components(links: DataFrame, folder: str) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, weight: float = 8.0, most_l: int = 8, docs_per_bucket: int = 4000) -> DataFrame:
+def link(docs: DataFrame, size: int = 3, num: int = 9, den: int = 10, weight: float = 8.0, most_l: int = 8, grams_per_bucket: int = 1_500_000) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links of Jaccard >= num / den)."""
     with small_batches(docs.sparkSession, CHUNK):
-        meta, final = _linked(docs, size, num, den, weight, most_l, docs_per_bucket)
+        meta, final = _linked(docs, size, num, den, weight, most_l, grams_per_bucket)
     full = meta.where("n > 0").join(final, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = meta.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     nameless = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_sizes(size), "doc_id long, n_shingles long, component_id long")
     return full.union(empty).union(nameless)
 
 
-def _linked(docs: DataFrame, size: int, num: int, den: int, weight: float, most_l: int, docs_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, size: int, num: int, den: int, weight: float, most_l: int, grams_per_bucket: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) and (node, component_id), both as tables."""
     spark, at = docs.sparkSession, scratch_dir(docs.sparkSession)
-    buckets = max(partitions(spark), docs.count() // docs_per_bucket)
+    size_of = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions(spark), size_of // BYTES_PER_GRAM // grams_per_bucket)
     dealt = save(screen_pass(docs, size, buckets, num, den), f"{at}-dealt")
 
     def unpack(batches):
@@ -306,8 +323,14 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, weight: float, most_
     by_hub = f"x.hub <> y.hub OR {num + den} * (least(x.in_hub, y.in_hub) + least({outside('x')}, {outside('y')})) >= {num} * (x.n + y.n)"
     open_ = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
     rest = named.join(open_, "token", "left_semi")
-    shared = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr("x.comp < y.comp") & F.expr(enough("x", "y")) & F.expr(by_hub))
-    again = shared.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("x.l", "y.l")).alias("need")).where("met >= need").select("a", "b")
+    kind = ["token", "hub", "n", "in_hub", "alone"]
+    kinds = rest.groupBy(*kind).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    apart = F.expr("x.low <> x.high OR y.low <> y.high OR x.low <> y.low")
+    met = kinds.alias("x").join(kinds.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & F.expr(enough("x", "y")) & F.expr(by_hub))
+    met = met.select("x.token", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in kind[1:]])
+    of = lambda side: rest.select("token", *[F.col(c).alias(f"{side}_{c}") for c in (*kind[1:], "node", "comp", "l")])
+    shared = of("x").join(met, ["token", *[f"x_{c}" for c in kind[1:]]]).join(of("y"), ["token", *[f"y_{c}" for c in kind[1:]]]).where("x_comp < y_comp")
+    again = shared.groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("x_l", "y_l")).alias("need")).where("met >= need").select("a", "b")
     second = save(verified(again, sets, num, den), f"{at}-second")
     labels = components(links.union(second.where("linked").select("a", "b")), f"{at}-c2")
 

@@ -6,12 +6,12 @@ import pytest
 from codeatlas.llm import ngram_join
 
 
-def brute(rows):
+def brute(rows, size=3, num=9, den=10):
     sets = []
     for _, t in rows:
         low = (t or "").translate({c: c + 32 for c in range(65, 91)})
         w = re.findall(r"[^\x20\x09-\x0D]+", low)
-        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
     up = list(range(len(rows)))
 
     def find(i):
@@ -26,7 +26,7 @@ def brute(rows):
     pairs = {(i, j) for v in meet.values() for i in v for j in v if i < j}
     for i, j in pairs:
         both = len(sets[i] & sets[j])
-        if 100 * both >= 90 * len(sets[i] | sets[j]):
+        if den * both >= num * len(sets[i] | sets[j]):
             up[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -68,7 +68,37 @@ EDGE = [(1, None), (2, ""), (3, " \n "), (4, "one"), (5, "ONE"), (6, "one two"),
 def test_matches_brute_force(spark, seed):
     rows = made(seed) + made(seed + 50, groups=4, near=12, length=700) + [(d + 20_000, t) for d, t in EDGE] if seed == 1 else made(seed, groups=30)
     rows = list({d: (d, t) for d, t in rows}.values())
-    assert got(spark, rows, docs_per_bucket=40) == brute(rows)
+    assert got(spark, rows, grams_per_bucket=2000) == brute(rows)
+
+
+def test_other_parameters_match_brute_force(spark):
+    rows = made(5, groups=16)
+    assert got(spark, rows, size=5, num=4, den=5) == brute(rows, 5, 4, 5)
+
+
+def test_long_documents_with_a_common_passage(spark, monkeypatch):
+    """Many documents of one long passage and a part of their own that keeps them apart, some near copies, and chunks of a few documents."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "CHUNK_BYTES", 60_000)
+    r = random.Random(3)
+    common = [f"c{i}" for i in range(1500)]
+    rows = []
+    for k in range(60):
+        own = [f"d{k}x{i}" for i in range(r.choice((150, 165, 170, 200)))]
+        rows.append((k, " ".join(common + own)))
+        if k % 6 == 0:
+            rows.append((1000 + k, " ".join(common[3:] + own + [f"e{k}"])))
+    rows += [(5000 + k, " ".join(["one", "two", "three", *[f"q{k}y{i}" for i in range(40)]])) for k in range(100)]
+    assert got(spark, rows, grams_per_bucket=5000) == brute(rows)
+
+
+def test_chunks_are_bounded():
+    import pyarrow as pa
+
+    b = pa.record_batch({"text": ["x" * n for n in (5, 9_000_000, 7, 7_999_990, 3, 2, 8)] + [None] * 1500})
+    sizes = [(len(c), sum(len(t or "") for t in c.column("text").to_pylist())) for c in ngram_join.chunks([b, b.slice(0, 0)], "text")]
+    assert sum(n for n, _ in sizes) == 1507 and all(n <= 1000 and (size <= 8_000_000 or n == 1) for n, size in sizes)
 
 
 def test_repeated_and_nameless_rows(spark):
