@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.llm import decontaminate, ngram_join, quality_rules, registry, soft_mixing, token_blocks
-from codeatlas.llm.common import save, scratch_dir
+from codeatlas.scratch import folder as scratch_dir
+from codeatlas.scratch import remove, save
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,10 +16,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group of linked rows the one with the smallest doc_id stays, rows without doc_id last. A row is known by doc_id and text: of repeated ones one stays."""
+    """Operator 1, at five words and a similarity of 0.8: of each group of linked rows the one with the smallest doc_id stays, rows without doc_id last. A row is known by doc_id and text: of repeated ones one stays."""
     key = F.xxhash64("doc_id", "text")
     rows = docs.select(key.alias("row"), "doc_id").distinct()
-    groups = ngram_join.link(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    groups = ngram_join.link(docs.select(key.alias("doc_id"), "text"), size=5, num=4, den=5).select(F.col("doc_id").alias("row"), "component_id").distinct()
     first = rows.join(groups, "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first"))
     keyed = docs.select(*docs.columns, key.alias("row"))
     return keyed.join(first.select("first.row"), "row", "left_semi").dropDuplicates(["row"]).select(*docs.columns)
@@ -49,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = registry.table(spark, sf_dir, "documents")
+    docs, before = registry.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"{scratch_dir(spark)}-{name}")
+        at = f"{scratch_dir(spark)}-{name}"
+        docs = save(stage(spark, docs, sf_dir), at)
+        if before:
+            remove(spark, before)
+        before = at
     return docs
