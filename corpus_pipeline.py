@@ -15,21 +15,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs, quality_rules.fit(docs, registry.table(spark, sf_dir, "labels")))
 
 
+def free_name(docs: DataFrame) -> str:
+    """A column name that docs don't have."""
+    taken, name = {c.lower() for c in docs.columns}, "row"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1, at five words and a similarity of 0.8: of each group of linked rows the one with the smallest doc_id stays, rows without doc_id last. A row is known by doc_id and text: of repeated ones one stays."""
-    key = F.xxhash64("doc_id", "text")
+    key, row = F.xxhash64("doc_id", "text"), free_name(docs)
     rows = docs.select(key.alias("row"), "doc_id").distinct()
     groups = ngram_join.link(docs.select(key.alias("doc_id"), "text"), size=5, num=4, den=5).select(F.col("doc_id").alias("row"), "component_id").distinct()
     first = rows.join(groups, "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first"))
-    keyed = docs.select(*docs.columns, key.alias("row"))
-    return keyed.join(first.select("first.row"), "row", "left_semi").dropDuplicates(["row"]).select(*docs.columns)
+    keyed = docs.select(*docs.columns, key.alias(row))
+    return keyed.join(first.select(F.col("first.row").alias(row)), row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that hold a benchmark item go, known by their text, so those without doc_id go, too."""
-    key = F.xxhash64("text")
-    found = decontaminate.leaks(docs.select(key.alias("doc_id"), "text"), registry.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
-    return docs.select(*docs.columns, key.alias("row")).join(found, "row", "left_anti").select(*docs.columns)
+    key, row = F.xxhash64("text"), free_name(docs)
+    found = decontaminate.leaks(docs.select(key.alias("doc_id"), "text"), registry.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(row)).distinct()
+    return docs.select(*docs.columns, key.alias(row)).join(found, row, "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
