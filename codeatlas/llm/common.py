@@ -23,15 +23,17 @@ def partitions(spark: SparkSession) -> int:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of at most `rows` rows for what is run inside: bounds the workers' and the JVM's buffers where rows are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int, size: str = "16m"):
+    """Arrow batches of at most `rows` rows and about `size` for what is run inside: bounds the workers' and the JVM's buffers where rows are long."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in limits}
+    for key, value in limits.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def words_of(text: Column) -> Column:

@@ -213,4 +213,4 @@ def mix(docs: DataFrame, rated: DataFrame) -> DataFrame:
     names = [F.col(f"d.`{c}`") for c in docs.columns]
     once = rated.groupBy("doc_id", "tie").agg(F.max("copies").alias("n")).where("n > 0").alias("r")
     joined = docs.alias("d").join(once, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("d.text") == F.col("r.tie")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("r.n")))).select(*names)
+    return joined.select(F.struct(*names).alias("held"), F.explode(F.sequence(F.lit(1), F.col("r.n")))).select("held.*")
