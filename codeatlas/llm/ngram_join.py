@@ -6,10 +6,10 @@ n-grams shares at least ceil(q n) of them, so:
 1. *Screen*: a node of which more than n - ceil(q n) n-grams occur in no other node has no partner. One packed pass
    counts such n-grams (for long texts over a fixed quarter of the n-gram space, which can only spare a node).
 2. *Prefixes*: the survivors' n-grams are ordered by (document frequency, hash). The l-prefix of a node holds its first
-   n - ceil(q n) + l n-grams; two linked nodes share at least min(l, l') n-grams of their prefixes. Each node takes the
-   l of least estimated cost: postings met in the prefix, plus `weight` times the candidates that can share l of them.
+   n - ceil(q n) + l n-grams; two linked nodes share at least min(l, l') n-grams of their prefixes. The smaller one's prefix may
+   be shorter, as a partner of n n-grams or more shares ceil(2 q n / (1 + q)). Each node takes the l of least estimated cost: postings met in the prefix, plus `weight` times the candidates that can share l of them.
 3. *Hubs*: in each posting list the node with the fewest unshared n-grams is the hub; each node is verified against the
-   hub with which it shares most. Verified links are merged into components.
+   hub with which it shares most, and a hub against all that it meets. Verified links are merged into components.
 4. *Rest*: pairs of different components that share enough prefix n-grams, and could share enough n-grams by what each has
    alone and by what each shares with their common hub, are verified. So no link between components is lost, and pairs inside one are never made.
    In each posting list these bounds are first tried between kinds of nodes (hub, size, n-grams alone and shared with the hub), so that a
@@ -185,7 +185,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, buckets: int, num: int, den: int, weight: float, most_l: int) -> DataFrame:
-    """token, node, n, alone, l: the postings of each node's chosen prefix that can be met in another node."""
+    """token, node, n, alone, l, near (whether it is in the shorter prefix, for partners that are no smaller): the postings of each node's chosen prefix that can be met in another node."""
     import pandas as pd
 
     def run(batches):
@@ -231,12 +231,14 @@ def prefixes(sets: DataFrame, buckets: int, num: int, den: int, weight: float, m
             s = met[one + ls - 2]
             best = int(np.argmin(s + weight * s / ls))
             m = one + best
-            out.append((tok[i : i + m].astype(np.int64), np.full(m, who[i]), np.full(m, n), np.full(m, alone), np.full(m, best + 1)))
-        return pd.DataFrame({c: np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k, c in enumerate(("token", "node", "n", "alone", "l"))})
+            # A partner of the same size or a larger one shares more, so that a shorter prefix will do.
+            near = n - shared_at_least(2 * n, num, num + den) + best + 1 - alone
+            out.append((tok[i : i + m].astype(np.int64), np.full(m, who[i]), np.full(m, n), np.full(m, alone), np.full(m, best + 1), (np.arange(m) < near).astype(np.int64)))
+        return pd.DataFrame({c: np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k, c in enumerate(("token", "node", "n", "alone", "l", "near"))})
 
     dealt = sets.select("node", "tokens").mapInArrow(run, DEALT_DDL)
     by_bucket = dealt.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("chunk"))).applyInPandas(bucket, "chunk long, ids binary, runs binary, tokens binary, df binary")
-    return by_bucket.groupBy("chunk").applyInPandas(chunk, "token long, node long, n long, alone long, l long")
+    return by_bucket.groupBy("chunk").applyInPandas(chunk, "token long, node long, n long, alone long, l long, near long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -309,13 +311,16 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, weight: float, most_
     enough = lambda x, y: f"{num + den} * least({x}.n - {x}.alone, {y}.n - {y}.alone) >= {num} * ({x}.n + {y}.n)"
     hubs = lists.groupBy("token").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "node", "n", "alone")).alias("h")).select("token", "h.node", "h.n", "h.alone")
     tried = lists.alias("x").join(hubs.alias("h"), "token").where("x.node <> h.node").where(enough("x", "h")).groupBy(F.col("x.node").alias("a"), F.col("h.node").alias("b")).count()
-    pairs = tried.groupBy("a").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b"))
-    first = save(verified(pairs, sets, num, den), f"{at}-first")
+    tried = save(tried, f"{at}-tried")
+    best = tried.groupBy("a").agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b"))
+    # A hub that others go by is held against all hubs it meets, or one group with several hubs would stay apart.
+    among = tried.join(best.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", "b")
+    first = save(verified(best.union(among).distinct(), sets, num, den), f"{at}-first")
     links = first.where("linked").select("a", "b")
     labels = components(links, f"{at}-c1")
 
     # A node's hub and what it shares with it; a hub is its own where it was tried against none.
-    tried_hub = first.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("shared").alias("in_hub"))
+    tried_hub = first.groupBy(F.col("a").alias("node")).agg(F.max_by("b", F.struct("shared", "b")).alias("hub"), F.max("shared").alias("in_hub"))
     marked = lists.join(tried_hub, "node", "left").withColumns({"hub": F.coalesce("hub", "node"), "in_hub": F.coalesce("in_hub", "n")})
     named = save(marked.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), f"{at}-named")
     # What two nodes share is in their hub and in both, or outside it and alone in neither.
@@ -323,10 +328,11 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, weight: float, most_
     by_hub = f"x.hub <> y.hub OR {num + den} * (least(x.in_hub, y.in_hub) + least({outside('x')}, {outside('y')})) >= {num} * (x.n + y.n)"
     open_ = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
     rest = named.join(open_, "token", "left_semi")
-    kind = ["token", "hub", "n", "in_hub", "alone"]
+    kind = ["token", "hub", "n", "in_hub", "alone", "near"]
     kinds = rest.groupBy(*kind).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     apart = F.expr("x.low <> x.high OR y.low <> y.high OR x.low <> y.low")
-    met = kinds.alias("x").join(kinds.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & F.expr(enough("x", "y")) & F.expr(by_hub))
+    in_prefix = F.expr("(x.n > y.n OR x.near = 1) AND (y.n > x.n OR y.near = 1)")
+    met = kinds.alias("x").join(kinds.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & in_prefix & F.expr(enough("x", "y")) & F.expr(by_hub))
     met = met.select("x.token", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in kind[1:]])
     of = lambda side: rest.select("token", *[F.col(c).alias(f"{side}_{c}") for c in (*kind[1:], "node", "comp", "l")])
     shared = of("x").join(met, ["token", *[f"x_{c}" for c in kind[1:]]]).join(of("y"), ["token", *[f"y_{c}" for c in kind[1:]]]).where("x_comp < y_comp")
@@ -337,7 +343,7 @@ def _linked(docs: DataFrame, size: int, num: int, den: int, weight: float, most_
     known = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = known.groupBy("comp").agg(F.min("rep").alias("component_id"))
     final = save(known.join(least, "comp").select("node", "component_id"), f"{at}-final")
-    remove(spark, *(f"{at}-{x}" for x in ("sets", "lists", "named", "first", "second")))
+    remove(spark, *(f"{at}-{x}" for x in ("sets", "lists", "tried", "named", "first", "second")))
     return meta, final
 
 
