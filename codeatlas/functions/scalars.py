@@ -127,15 +127,20 @@ def _folds() -> tuple[str, str]:
 FOLDS = _folds()
 
 
+def folded(text: Column) -> Column:
+    """Lower-case text without marks; empty for null."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, *FOLDS))  # ASCII needs no folding
+
+
 def normal_text(text: Column) -> Column:
     """Lower-case tokens (letters and digits, without marks), with one blank around each."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    plain = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, *FOLDS))  # ASCII needs no folding
-    return F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
+    return F.regexp_replace(F.concat(F.lit(" "), folded(text), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
 
 
-def token_count(normal: Column) -> Column:
-    return (F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) - 1).cast("long")
+def token_count(text: Column) -> Column:
+    """How many tokens `normal_text` has. Folding turns letters into letters, so it needs none."""
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+")).cast("long")
 
 
 def tokens(text: str) -> list[str]:

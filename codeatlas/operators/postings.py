@@ -27,7 +27,7 @@ def occurrences(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 def lengths(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """key, len: the tokens of all columns; a row without any counts, too."""
-    return df.select(F.col(key).alias("key"), sum((scalars.token_count(scalars.normal_text(F.col(c))) for c in columns), F.lit(0).cast("long")).alias("len"))
+    return df.select(F.col(key).alias("key"), sum((scalars.token_count(F.col(c)) for c in columns), F.lit(0).cast("long")).alias("len"))
 
 
 def write(df: DataFrame, path: str) -> None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,31 +13,41 @@ from .. import constants as K
 from ..functions import patterns, scalars
 
 
-def phrase_hits(df: DataFrame, columns: Sequence[str], query: str) -> DataFrame | None:
-    """df with tf (occurrences of the query as a phrase within one column) and len (tokens of all columns); None for a query without tokens."""
-    phrase = " ".join(scalars.tokens(query))
-    if not phrase:
-        return None
-    normal = df.withColumns({f"_n{k}": scalars.normal_text(F.col(c)) for k, c in enumerate(columns)})
+def phrase_counts(df: DataFrame, columns: Sequence[str], terms: Sequence[str]) -> DataFrame:
+    """df with _met (whether a column holds the terms as a phrase), _tf (how often, over all columns) and _len (tokens of all columns). Only texts that hold every term are split."""
+    phrase = " ".join(terms)
+    normal = df.withColumns({f"_n{k}": F.when(_holds(c, terms), scalars.normal_text(F.col(c))).otherwise("") for k, c in enumerate(columns)})
+    each = [F.col(f"_n{k}") for k in range(len(columns))]
     # The lookahead counts overlapping repeats.
-    count = lambda k: F.regexp_count(F.col(f"_n{k}"), F.lit(f" (?={phrase} )"))
-    ks = range(len(columns))
-    return normal.withColumn("tf", sum((count(k) for k in ks), F.lit(0))).withColumn("len", sum((scalars.token_count(F.col(f"_n{k}")) for k in ks), F.lit(0).cast("long"))).drop(*[f"_n{k}" for k in ks])
+    tf = sum((F.regexp_count(n, F.lit(f" (?={phrase} )")) for n in each), F.lit(0))
+    size = sum((scalars.token_count(F.col(c)) for c in columns), F.lit(0).cast("long"))
+    met = reduce(or_, (n.contains(f" {phrase} ") for n in each))
+    return normal.select(*df.columns, met.alias("_met"), tf.alias("_tf"), size.alias("_len"))
+
+
+def _holds(column: str, terms: Sequence[str]) -> Column:
+    return reduce(and_, (scalars.folded(F.col(column)).contains(t) for t in sorted(set(terms))))
 
 
 def search_phrase(df: DataFrame, columns: Sequence[str], query: str, key: str, limit: int = 20, where: Column | None = None) -> DataFrame:
-    """The best `limit` rows by BM25, with `score` (rounded to 6 places, higher is better); ties by key. `where` filters hits, not the statistics."""
-    hits = phrase_hits(df, columns, query)
-    if hits is None:
-        return df.limit(0).withColumn("score", F.lit(0.0))
-    n, total, found = hits.agg(F.count("*"), F.sum("len"), F.count_if(F.col("tf") > 0)).first()
+    """The best `limit` rows by BM25, with `score` (rounded to 6 places, higher is better); ties by key. `where` filters hits, not the statistics.
+
+    One scan for the statistics and one for the hits.
+    """
+    terms = scalars.tokens(query)
+    nothing = df.limit(0).withColumn("score", F.lit(0.0))
+    if not terms:
+        return nothing
+    n, total, found = phrase_counts(df, columns, terms).agg(F.count("*"), F.sum("_len"), F.count_if("_met")).first()
     if not found:
-        return df.limit(0).withColumn("score", F.lit(0.0))
+        return nothing
     idf = F.greatest(F.log((F.lit(float(n - found)) + 0.5) / (found + 0.5)), F.lit(K.LEAST_IDF))
-    score = idf * F.col("tf") * (K.K1 + 1) / (F.col("tf") + K.K1 * (1 - K.B + K.B * F.col("len") / (total / n)))
-    kept = hits.where(F.col("tf") > 0)
-    kept = kept if where is None else kept.where(where)
-    return kept.withColumn("score", F.round(score, 6)).drop("tf", "len").orderBy(F.desc("score"), key).limit(limit)
+    score = idf * F.col("_tf") * (K.K1 + 1) / (F.col("_tf") + K.K1 * (1 - K.B + K.B * F.col("_len") / (total / n)))
+    some = df.where(reduce(or_, (_holds(c, terms) for c in columns)))
+    some = some if where is None else some.where(where)
+    scored = phrase_counts(some, columns, terms).withColumn("score", F.when(F.col("_tf") > 0, F.round(score, 6))).drop("_met", "_tf", "_len")
+    # Rows without the phrase go last and then out: a filter before the limit would be pushed down and split each text twice.
+    return scored.orderBy(F.desc_nulls_last("score"), key).limit(limit).where(F.col("score").isNotNull())
 
 
 def snippet(text: Column, query: str, width: int = 40) -> Column:

@@ -44,9 +44,9 @@ NAME_RULES = [(t, f"'{t}.' || {k}") for t, k in (("orders", "o_orderkey"), ("cus
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign keys as calls: caller, callee, line, rule."""
-    out = None
+    out, tables = None, {t: table(spark, sf_dir, t) for t in dict.fromkeys(r[0] for r in EDGE_RULES)}
     for t, caller, callee, line, rule in EDGE_RULES:
-        part = table(spark, sf_dir, t).select(F.expr(caller).alias("caller"), F.expr(callee).alias("callee"), F.expr(line).cast("int").alias("line"), F.lit(rule).alias("rule"))
+        part = tables[t].select(F.expr(caller).alias("caller"), F.expr(callee).alias("callee"), F.expr(line).cast("int").alias("line"), F.lit(rule).alias("rule"))
         out = part if out is None else out.unionByName(part)
     return out
 
