@@ -30,11 +30,16 @@ def _at(spark: SparkSession, path: str):
 def save(df: DataFrame, path: str) -> DataFrame:
     """Write a table and read it again: cuts the lineage, so a lost executor costs no earlier step."""
     df.write.mode("overwrite").parquet(path)
-    fs, at = _at(df.sparkSession, path)
-    fs.deleteOnExit(at)  # what is still read when the caller returns
+    at_exit(df.sparkSession, path)  # what is still read when the caller returns
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Delete `path` when the driver ends."""
+    fs, at = _at(spark, path)
+    fs.deleteOnExit(at)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that no later step reads."""
     for path in paths:
