@@ -9,9 +9,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import folder as scratch_dir
-from ..scratch import remove, save
+from ..scratch import at_exit, remove, save
 
-__all__ = ["ASCII_SPACE", "LOWER_AZ", "WordHasher", "mix", "partitions", "remove", "save", "scratch_dir", "shingle_hashes", "small_batches", "words_of"]
+__all__ = ["ASCII_SPACE", "LOWER_AZ", "WordHasher", "at_exit", "mix", "partitions", "remove", "save", "scratch_dir", "shingle_hashes", "small_batches", "words_of"]
 
 #: Fixed value: ASCII white space, which alone separates words.
 ASCII_SPACE = "\\x20\\x09-\\x0D"
