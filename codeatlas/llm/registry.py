@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_mincut, language_id, license_scan, ngram_join, quality_rules, secret_scan, soft_mixing, token_blocks, warc, whitening
+from . import chat_format, decontaminate, hard_negatives, html_mincut, language_id, license_scan, ngram_join, quality_rules, secret_scan, soft_mixing, token_blocks, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), document_path(), forest)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), noisy, F.col("vec_id") % 50 == 0)
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -92,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.SQL, "op12_warc": warc.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_warc": warc.SQL}
