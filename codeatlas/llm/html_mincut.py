@@ -4,10 +4,13 @@ A page is cut into blocks of text. A logistic classifier gives each block a log-
 and neighbours; no element or class name is among its inputs. This becomes the block's capacity to the source or the sink,
 at most `CLIP`. Neighbours in page order, and blocks of one parent, are tied by edges whose capacity halves with each step
 between them in the tree. Elements whose tag or name says something are nodes, too (regions), tied to their blocks and to
-the region around them: an article or main part leans to the source; forms, page headers and names such as `related` or
-`notice` lean to the sink, and what they hold may outweigh that; form and header ties cost one way only. Only what can't be the article has an unbounded capacity to the
-sink: nav, footer, aside, hidden elements, adverts, cookie notices, sidebars and reader comments. A maximum flow separates
-content from the rest.
+the region around it: an article or main part leans to the source; forms, page headers and names such as `related` or
+`notice` lean to the sink, and what they hold may outweigh that; form and header ties cost one way only. Only what can't be
+the article has an unbounded capacity to the sink: nav, footer, aside, hidden elements, what is labelled an advert, and what
+is named as a whole after a frame (adverts, sidebars, reader comments and the like). A name that has such a word among others
+(`has-sidebar`, `nav-fixed`) leans a little. An article within a part named after a frame or teasers is decided by its blocks
+alone, or leans to the source if the page has no other article; one among comments is never heard. A maximum flow separates
+content from the rest. Where nothing is content, the cut is made again with the best sentence as the measure.
 
 The classifier starts from fixed weights and is fitted, with a ridge towards them, on a bounded sample of pages whose own
 markup tells content from frame (article or main against nav, footer, aside and the like); that markup is the label only.
@@ -44,15 +47,21 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What is never the article.
 FRAME = frozenset("nav footer aside menu dialog".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar tablist".split())
-HARD_NAMES = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|popups?|modal|sidebars?|nav|navbar|navigation|footer|masthead|topbar|comments?|commentlist|disqus|respond|replies)")
+HARD_NAMES = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebars?|nav|navbar|navigation|footer|masthead|topbar|comments?|commentlist|disqus|respond|replies)")
+COMMENT_NAMES = re.compile(r"(?:comments?|commentlist|disqus|respond|replies)")
+AD_LABELS = re.compile(r"\s*(?:ads?|advert\w*|sponsored(?: \w+)?|promoted(?: \w+)?|promotion)\s*", re.I)
+#: What covers a page or asks for something; a whole text in it outweighs its name.
+ASKING_NAMES = re.compile(r"(?:cookies?|consent|gdpr|popups?|modal)")
+NOTICE_NAMES = re.compile(r"(?:notices?|alerts?|overlay|share\w*|sharing|social|related|recommend\w*|newsletter\w*|subscri\w*|signup|login|pagination|pager|breadcrumbs?|disclaimer|skip\w*)")
 #: What is often not the article, and words that add nothing to a name.
 SOFT_NAMES = re.compile(r"(?:notices?|alerts?|banner|overlay|rail|widgets?|menus?|breadcrumbs?|toolbar|share\w*|sharing|social|related|recommend\w*|newsletter\w*|subscri\w*|signup|login|pagination|pager|tags?|copyright|disclaimer|skip\w*|header)")
-PLAIN_NAMES = re.compile(r"(?:\d+|lists?|sections?|area|box|block|container|wrap|wrapper|slot|unit|site|page|main|posts?|entry|top|bottom|left|right|inner|outer|form|links?|items?|bar|thread|text|holder|module|content|article|primary|secondary|global|mobile|desktop|the)")
+PLAIN_NAMES = re.compile(r"(?:\d+|lists?|sections?|area|box|block|container|wrap|wrapper|slot|unit|site|page|main|posts?|entry|top|bottom|left|right|inner|outer|form|links?|items?|bar|thread|text|holder|module|content|article|primary|secondary|global|mobile|desktop|the|(?!has|no|not|non|all|off|on)[a-z]{1,3})")
 CONTENT_NAMES = re.compile(r"(?:article\w*|content|post|entry|story|body|prose)")
+ENDS = ".!?:;\u2026\u201d\u3002\uff01\uff1f"
 FEATURES = ("bias", "link share", "words", "sentence", "commas", "heading", "list item", "signs", "words before", "words after")
 PRIOR = np.array([0.0, -4.0, 1.5, 1.0, 0.5, 1.5, -0.5, -3.0, 0.3, 0.3])
 #: The most that words say; the leaning of regions; the tie of a block or region to the region around it, and of neighbours.
-CLIP, GOOD, FORM, HEADER, SOFT, PARTLY = 4.0, 1.5, -2.0, -8.0, -4.0, -1.5
+CLIP, GOOD, FORM, HEADER, SOFT, PARTLY, NOTICE, ASKING, ONLY = 4.0, 1.5, -2.0, -8.0, -4.0, -1.5, -12.0, -8.0, 3.0
 #: What each control adds to a form's leaning, and where that ends.
 CONTROL, LEAST = -3.0, -8.0
 CONTENT, NEVER = 1e9, -1e9
@@ -78,43 +87,55 @@ class Page:
         self.up, self.depth = [0], [0]
         self.regions: list[tuple[float, int]] = []
         self.wrappers: set[int] = set()
+        self.doubtful: list[int] = []
         self._read(html)
+        if not any(leaning == CONTENT for leaning, _ in self.regions):
+            for k in self.doubtful:
+                self.regions[k] = ONLY, self.regions[k][1]
 
     def _region(self, leaning: float, around: int) -> int:
         self.regions.append((leaning, around))
         return len(self.regions) - 1
 
     def _marks(self, tag: str, given: str, held: tuple) -> tuple:
-        """(region, never content, in content, in a part named so, label) of an element, from its own and its parent's."""
-        region, frame, content, good, label = held
+        """(region, never content, in content, in a part named so, label, within a part that is named after a frame) of an element, from its own and its parent's."""
+        region, frame, content, good, label, shunned = held
         a = attributes(given) if given and not given.isspace() else {}
         role, names = a.get("role", "").lower(), f"{a.get('class', '')} {a.get('id', '')}".lower().split()
-        if tag == "main" or role == "main":  # whatever wraps it
-            return self._region(CONTENT, -1), False, True, good, True
-        if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
-            frame = True
-        if frame:
-            return held[:1] + (True,) + held[2:]
-        if tag in FRAME or role in FRAME_ROLES:
-            return region, True, False, False, False
-        leaning, hard = 0.0, False
+        never = region, True, False, False, False, "always"
+        if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or AD_LABELS.fullmatch(a.get("aria-label", "-")):
+            return never
+        if shunned != "always" and (tag == "main" or role == "main"):  # whatever wraps it
+            return self._region(CONTENT, -1), False, True, good, True, ""
+        if tag in FRAME or role in FRAME_ROLES or shunned == "always":
+            return never
+        leaning, hard, listed = 0.0, False, False
         for name in names if tag not in ("html", "body") else ():
             parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
-            bad, soft = [bool(HARD_NAMES.fullmatch(p)) for p in parts], [bool(SOFT_NAMES.fullmatch(p)) for p in parts]
+            bad, asks, notes, soft = ([bool(x.fullmatch(p)) for p in parts] for x in (HARD_NAMES, ASKING_NAMES, NOTICE_NAMES, SOFT_NAMES))
+            whole = all(x or y or z or PLAIN_NAMES.fullmatch(p) for x, y, z, p in zip(bad, asks, soft, parts)) and not ("content" in parts and any(p.startswith("sidebar") for p in parts))
             if any(bad):
-                whole = all(x or y or PLAIN_NAMES.fullmatch(p) for x, y, p in zip(bad, soft, parts))
-                if whole or not content:
-                    hard |= tag != "article" or any("comment" in p for p in parts)
-                else:
-                    leaning = min(leaning, SOFT)
+                if whole and any(map(COMMENT_NAMES.fullmatch, parts)):
+                    return never
+                hard |= whole
+                leaning = min(leaning, SOFT if content else PARTLY)
+            elif any(asks):
+                leaning = min(leaning, ASKING if whole else PARTLY)
             elif any(soft):
-                leaning = min(leaning, SOFT if all(x or PLAIN_NAMES.fullmatch(p) for x, p in zip(soft, parts)) else PARTLY)
+                leaning = min(leaning, PARTLY if not whole else NOTICE if any(notes) else SOFT)
+                listed |= whole and any(notes)
             elif leaning >= 0 and any(CONTENT_NAMES.fullmatch(p) for p in parts):
                 leaning, good = GOOD, True
-        if hard:
-            return region, True, False, False, False
         if tag == "article" or role == "article":
-            return self._region(CONTENT, region), False, True, good, True
+            if not shunned:
+                return self._region(CONTENT, region), False, True, good, True, ""
+            self.doubtful.append(len(self.regions))
+            return self._region(0.0, region), False, content, good, None, shunned
+        if frame:
+            return region, True, False, False, False, shunned
+        if hard:
+            return self._region(ASKING, region), True, False, False, False, "named"
+        shunned = shunned or ("named" if listed or leaning == ASKING else "")
         if tag == "header" and not (content or good):
             leaning = HEADER
         elif tag == "form" or role == "form":
@@ -122,11 +143,11 @@ class Page:
         if leaning:
             if leaning == HEADER or tag == "form" or role == "form":
                 self.wrappers.add(len(self.regions))
-            return self._region(leaning, region), False, content, good, None if leaning < 0 else label
-        return region, False, content, good, label
+            return self._region(leaning, region), False, content, good, None if leaning < 0 else label, shunned
+        return region, False, content, good, label, shunned
 
     def _read(self, html: str) -> None:
-        stack: list[tuple] = [("", 0, (-1, False, False, False, None))]
+        stack: list[tuple] = [("", 0, (-1, False, False, False, None, ""))]
         opened: Counter = Counter()
         forms: list[tuple[int, int]] = []
         pieces: list[str] = []
@@ -137,7 +158,7 @@ class Page:
             if pieces:
                 text = " ".join("".join(pieces).split())
                 if text:
-                    region, frame, _, _, label = stack[-1][2]
+                    region, frame, _, _, label, _ = stack[-1][2]
                     self.blocks.append(Block(text, stack[-1][1], linked / len(text), any(opened[h] for h in HEADINGS), opened["li"] > 0, region, frame, label))
                 pieces, linked = [], 0
 
@@ -254,7 +275,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     for i, b in enumerate(blocks):
         t, n = b.text, len(b.text)
         signs = sum(map(t.count, "|\u00a9\u00b7\u00bb\u00ab\u203a\u2022>")) / (t.count(" ") + 1)
-        out[i] = (1.0, min(1.0, b.linked), words[i], t[-1] in ".!?:;\u2026\u201d\u3002\uff01\uff1f", min(1.0, 30 * (t.count(",") + t.count("\u3001") + t.count("\uff0c")) / (n + 30)), b.heading, b.item, min(1.0, signs), words[i - 1] if i else -1.0, words[i + 1] if i + 1 < len(blocks) else -1.0)
+        out[i] = (1.0, min(1.0, b.linked), words[i], t[-1] in ENDS, min(1.0, 30 * (t.count(",") + t.count("\u3001") + t.count("\uff0c")) / (n + 30)), b.heading, b.item, min(1.0, signs), words[i - 1] if i else -1.0, words[i + 1] if i + 1 < len(blocks) else -1.0)
     return np.round(out, 1)
 
 
@@ -370,7 +391,13 @@ def main_text(html: str | None, weights: np.ndarray = PRIOR, tie: float = 1.5) -
     page = Page(html or "")
     if not page.blocks:
         return ""
-    side = min_cut([*block_odds(page, weights), *(x for x, _ in page.regions)], page.edges(tie), page.one_way())
+    odds, leanings = block_odds(page, weights), [x for x, _ in page.regions]
+    side = min_cut([*odds, *leanings], page.edges(tie), page.one_way())
+    if not any(side[: len(odds)]):
+        said = [o for b, o in zip(page.blocks, odds) if not b.frame and b.region < 0 and b.linked < 0.5 and b.text[-1] in ENDS]
+        if said and max(said) < 1:
+            odds = [o if b.frame else o + 1 - max(said) for b, o in zip(page.blocks, odds)]
+            side = min_cut([*odds, *leanings], page.edges(tie), page.one_way())
     return " ".join(b.text for b, kept in zip(page.blocks, side) if kept)
 
 

@@ -20,16 +20,29 @@ from pyspark.sql import functions as F
 SHIFT = np.uint64(21)
 
 
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
 @cache
-def not_letters() -> re.Pattern:
-    """Runs without a letter: `\\w` also takes numerals that aren't decimal digits, such as superscripts and Roman ones."""
-    numerals = (c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[\W\d_{''.join(numerals)}]+")
+def numerals() -> tuple[frozenset[str], dict[int, str]]:
+    """What `\\w` takes though it is neither letter nor decimal digit, such as superscripts and Roman numerals, and its change into blanks."""
+    found = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return found, dict.fromkeys(map(ord, found), " ")
+
+
+def letters_only(text: str) -> str:
+    """Lower case, each run without a letter one blank, one at each end."""
+    text = text.lower()
+    if not text.isascii():
+        found, blanks = numerals()
+        if not found.isdisjoint(text):
+            text = text.translate(blanks)
+    return " " + NOT_LETTERS.sub(" ", text).strip() + " "
 
 
 def gram_counts(text: str, step: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """N-grams of a whole text, coded from code points, ascending, with their counts. Long texts are counted in pieces cut at words."""
-    text = " " + not_letters().sub(" ", text.lower()).strip() + " "
+    text = letters_only(text)
     if len(text) <= 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys, counts, at = [], [], 0

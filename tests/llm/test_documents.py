@@ -495,3 +495,26 @@ def test_ceilings_do_not_repeat_a_rare_domain(spark):
     held = soft_mixing.rates(docs, c, {"good": 0.5, "low": 0.5}, "good", steps=60, only_lower=True)
     assert free.agg(F.max("rate")).first()[0] > 10
     assert held.where("abs(rate - 1) > 0.05").count() == 0
+
+
+def test_letters_equal_one_pattern_of_all_numerals():
+    """The quick way to drop what isn't a letter is the same as one class of every numeral."""
+    import re
+    import sys
+
+    numerals = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    slow, r = re.compile(rf"[\W\d_{numerals}]+"), random.Random(6)
+    pool = list("ab Z_9.,²³½ⅧⅨ③ßİ́é中٣௧") + [chr(0x10107), "\U0001f600"]
+    for _ in range(300):
+        text = "".join(r.choice(pool) for _ in range(r.randrange(40)))
+        assert language_id.letters_only(text) == " " + slow.sub(" ", text.lower()).strip() + " "
+
+
+def test_language_of_an_empty_table_and_clashing_columns(spark):
+    empty = language_id.identify(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert empty.columns == ["doc_id", "held_out", "lang_pred", "score"] and empty.collect() == []
+    rows = [(i, "the other thing" if i % 2 else "über die straße", "aa" if i % 2 else "bb") for i in range(12)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    clash = plain.selectExpr("*", "true AS held_out", "'x' AS lang_pred", "9 AS score", "1 AS gram", "2 AS n", "3 AS rank")
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert order(language_id.identify(clash)) == order(language_id.identify(plain))
