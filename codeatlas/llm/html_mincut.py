@@ -10,7 +10,7 @@ the article has an unbounded capacity to the sink: nav, footer, aside, hidden el
 is named as a whole after a frame (adverts, sidebars, reader comments and the like). A name that has such a word among others
 (`has-sidebar`, `nav-fixed`) leans a little. An article within a part named after a frame or teasers is decided by its blocks
 alone, or leans to the source if the page has no other article; one among comments is never heard. A maximum flow separates
-content from the rest. Where nothing is content, the cut is made again with the best sentence as the measure.
+content from the rest. Where words speak for no block of a page, its best sentence is the measure.
 
 The classifier starts from fixed weights and is fitted, with a ridge towards them, on a bounded sample of pages whose own
 markup tells content from frame (article or main against nav, footer, aside and the like); that markup is the label only.
@@ -52,7 +52,7 @@ COMMENT_NAMES = re.compile(r"(?:comments?|commentlist|disqus|respond|replies)")
 AD_LABELS = re.compile(r"\s*(?:ads?|advert\w*|sponsored(?: \w+)?|promoted(?: \w+)?|promotion)\s*", re.I)
 #: What covers a page or asks for something; a whole text in it outweighs its name.
 ASKING_NAMES = re.compile(r"(?:cookies?|consent|gdpr|popups?|modal)")
-NOTICE_NAMES = re.compile(r"(?:notices?|alerts?|overlay|share\w*|sharing|social|related|recommend\w*|newsletter\w*|subscri\w*|signup|login|pagination|pager|breadcrumbs?|disclaimer|skip\w*)")
+NOTICE_NAMES = re.compile(r"(?:notices?|overlay|share\w*|sharing|social|related|recommend\w*|newsletter\w*|subscri\w*|signup|login|pagination|pager|breadcrumbs?|disclaimer|skip\w*)")
 #: What is often not the article, and words that add nothing to a name.
 SOFT_NAMES = re.compile(r"(?:notices?|alerts?|banner|overlay|rail|widgets?|menus?|breadcrumbs?|toolbar|share\w*|sharing|social|related|recommend\w*|newsletter\w*|subscri\w*|signup|login|pagination|pager|tags?|copyright|disclaimer|skip\w*|header)")
 PLAIN_NAMES = re.compile(r"(?:\d+|lists?|sections?|area|box|block|container|wrap|wrapper|slot|unit|site|page|main|posts?|entry|top|bottom|left|right|inner|outer|form|links?|items?|bar|thread|text|holder|module|content|article|primary|secondary|global|mobile|desktop|the|(?!has|no|not|non|all|off|on)[a-z]{1,3})")
@@ -383,7 +383,12 @@ def _augment(odds: list[float], spare: dict, room: dict, layer: dict) -> None:
 
 
 def block_odds(page: Page, weights: np.ndarray) -> list[float]:
+    """What words say, within `CLIP`. If they speak for no block of a page, its best sentence outside all regions is the measure."""
     odds = np.clip(features(page.blocks) @ weights, -CLIP, CLIP).tolist()
+    if odds and max(odds) <= 0 and all(x <= 0 for x, _ in page.regions):
+        said = [o for b, o in zip(page.blocks, odds) if not b.frame and b.region < 0 and b.linked < 0.5 and b.text[-1] in ENDS]
+        more = 1 - max(said, default=1.0)
+        odds = [o + more for o in odds]
     return [NEVER if b.frame else o for b, o in zip(page.blocks, odds)]
 
 
@@ -391,13 +396,7 @@ def main_text(html: str | None, weights: np.ndarray = PRIOR, tie: float = 1.5) -
     page = Page(html or "")
     if not page.blocks:
         return ""
-    odds, leanings = block_odds(page, weights), [x for x, _ in page.regions]
-    side = min_cut([*odds, *leanings], page.edges(tie), page.one_way())
-    if not any(side[: len(odds)]):
-        said = [o for b, o in zip(page.blocks, odds) if not b.frame and b.region < 0 and b.linked < 0.5 and b.text[-1] in ENDS]
-        if said and max(said) < 1:
-            odds = [o if b.frame else o + 1 - max(said) for b, o in zip(page.blocks, odds)]
-            side = min_cut([*odds, *leanings], page.edges(tie), page.one_way())
+    side = min_cut([*block_odds(page, weights), *(x for x, _ in page.regions)], page.edges(tie), page.one_way())
     return " ".join(b.text for b, kept in zip(page.blocks, side) if kept)
 
 

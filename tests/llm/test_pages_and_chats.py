@@ -172,30 +172,30 @@ def test_repeated_turns_and_swapped_nulls(spark):
     assert got == {1: (2, 1), 3: (1, 1), 4: (1, 1), 5: (2, 1), 6: (2, 1)}
 
 
-LONG = ["The committee met on Tuesday to discuss the budget for the coming year, and after several hours of debate it agreed on a plan that nobody had expected.", "Residents who had gathered outside the hall said that they were pleased, although some of them wondered how the town would pay for it in the end."]
-TEXT, SAID = "".join(f"<p>{x}</p>" for x in LONG), " ".join(LONG)
+PAIR = ["The committee met on Tuesday to discuss the budget for the coming year, and after several hours of debate it agreed on a plan that nobody had expected.", "Residents who had gathered outside the hall said that they were pleased, although some of them wondered how the town would pay for it in the end."]
+TEXT, SAID = "".join(f"<p>{x}</p>" for x in PAIR), " ".join(PAIR)
 
 
 @pytest.mark.parametrize("inner", ["<article>%s</article>", '<div class="entry">%s</div>'])
 @pytest.mark.parametrize("name", "has-sidebar no-sidebar content-sidebar with-nav nav-fixed modal-open ad-free cookies-accepted layout-nav-left".split())
 def test_wrappers_named_after_a_frame_are_heard(name, inner):
     html = f'<html><body><nav><a href="/">Home</a></nav><div class="{name}">{inner % TEXT}</div><footer>Copyright 2020</footer></body></html>'
-    assert html_mincut.main_text(html) == SAID
+    assert main_text(html) == SAID
 
 
 @pytest.mark.parametrize(("html", "want"), [
     (f'<article>{TEXT}<div class="notice">Please accept our new terms of service.</div>{TEXT}</article>', f"{SAID} {SAID}"),
     (f'<article>{TEXT}<div aria-label="Advertisement"><p>Buy the new phone today, with a discount for readers.</p></div></article>', SAID),
-    (f"<main hidden>{TEXT}</main><p>{LONG[0]}</p>", LONG[0]),
+    (f"<main hidden>{TEXT}</main><p>{PAIR[0]}</p>", PAIR[0]),
     (f'<main><article>{TEXT}</article><section class="related"><h2>Related</h2><article><h3><a href="x">Another story</a></h3><p>A short teaser.</p></article></section></main>', SAID),
     (f"<main><article>{TEXT}</article><aside><article>{TEXT}</article></aside></main>", SAID),
     (f'<main><div class="story">{TEXT}</div><div class="related-posts"><article><a href="x">Ten ways to see the sea</a></article></div></main>', SAID),
-    (f'<article>{TEXT}</article><div class="comments"><article><p>{LONG[0]}</p></article></div>', SAID),
+    (f'<article>{TEXT}</article><div class="comments"><article><p>{PAIR[0]}</p></article></div>', SAID),
     (f'<div class="cookies"><h1>Best cookies</h1>{TEXT}{TEXT}</div>', f"Best cookies {SAID} {SAID}"),
     (f'<div class="cookie-notice"><p>We use cookies to make this site better. By using it you accept them, as our policy says.</p><button>OK</button></div><article>{TEXT}</article>', SAID),
     ("<html><body><p>It rained.</p><p>We stayed in.</p><p>Then it stopped.</p></body></html>", "It rained. We stayed in. Then it stopped."),
     ('<html><body><ul><li><a href="1">Home</a></li><li><a href="2">About us</a></li></ul></body></html>', ""),
-    (f'<div class="sidebar"><p>{LONG[0]}</p></div><div class="content">{TEXT}</div>', SAID),
+    (f'<div class="sidebar"><p>{PAIR[0]}</p></div><div class="content">{TEXT}</div>', SAID),
 ])
 def test_frames_notices_and_teasers(html, want):
-    assert html_mincut.main_text(html) == want
+    assert main_text(html) == want
