@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import constants as K
+from . import scratch
 from .functions import scalars
 from .functions.patterns import glob_regex
-from .operators import graph, lookup, postings, search, snapshot
+from .operators import graph, lookup, postings, resolution, search, snapshot
+from .operators.segments import Segments
 from .sources import extract, files
 
 Embedder = Callable[[Sequence[str]], list[list[float]]]
+#: A change of at most so many files makes segments of one file each.
+FEW = 1000
 #: What the phrase indexes cover.
 TEXT_COLUMNS, NAME_COLUMNS = ("path", "content"), ("name", "qualified_name", "signature", "docstring")
 
@@ -27,10 +31,10 @@ class NotFound(LookupError):
 
 
 class Index:
-    """Tables under `home`, a folder that driver and executors share: <repo_id>/<version>/{files,symbols,edges,...}; the newest manifest names the current version.
+    """Tables under `home`, a folder that driver and executors share: <repo_id>/<version>/<table>-<segment>; the newest manifest lists the segments.
 
-    A run writes a new version and then the next manifest; what a query reads is never overwritten. The current version and
-    the one before it stay, older ones are removed.
+    A run writes segments of what has changed under a new version and then the next manifest; what a query reads is never
+    overwritten. What the newest manifest and the one before it list stays, the rest is removed.
     """
 
     def __init__(self, spark: SparkSession, home: str, embedder: Embedder | None = None):
@@ -68,18 +72,21 @@ class Index:
         if fs.exists(at) or not fs.rename(fresh, at):
             fs.delete(fresh, False)
             raise RuntimeError(f"Another run published {at.toString()} meanwhile")
-        keep = {manifest["version"], manifest.get("previous")}
+        keep = {manifest["version"], *Segments(self.spark, folder, manifest["state"]).versions(), *manifest.get("kept", ())}
         for old in held[:-1]:
             fs.delete(self._fs(old)[1], False)
         for f in fs.listStatus(self._fs(folder)[1]):
             if f.isDirectory() and f.getPath().getName() not in keep:
                 fs.delete(f.getPath(), True)
 
-    def table(self, repo: str, name: str) -> DataFrame:
+    def _segments(self, repo: str) -> Segments:
         m = self._manifest(repo)
         if not m:
             raise NotFound(f"Not indexed: {repo}")
-        return self.spark.read.parquet(f"{self.home}/{self._id(repo)}/{m['version']}/{name}")
+        return Segments(self.spark, f"{self.home}/{self._id(repo)}", m["state"])
+
+    def table(self, repo: str, name: str) -> DataFrame:
+        return self._segments(repo).live(name).drop("gen")
 
     def files(self, repo: str) -> DataFrame:
         return self.table(repo, "files")
@@ -94,7 +101,8 @@ class Index:
 
     def index_folder(self, path: str, include: Sequence[str] = (), exclude: Sequence[str] = (), embed: bool = False) -> dict:
         root = files.validate_path(path)
-        return self._update(root, files.scan_directory(self.spark, root, include, exclude), embed, {})
+        scan = lambda only=None: files.scan_directory(self.spark, root, include, exclude, only)
+        return self._update(root, scan(), embed, {}, scan)
 
     def index_repo(self, url: str, archive: str, branch: str = "", sparse: Sequence[str] = (), sha: str = "", embed: bool = False) -> dict:
         """Index a repository's downloaded archive; skipped where the manifest has the same commit."""
@@ -107,62 +115,62 @@ class Index:
             return {"cached": True, **extra}
         return {"cached": False, **self._update(url, files.scan_archive(self.spark, archive, sparse), embed, extra)}
 
-    def _update(self, repo: str, scanned: DataFrame, embed: bool, extra: dict) -> dict:
+    def _update(self, repo: str, scanned: DataFrame, embed: bool, extra: dict, again: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+        """Bring the index to what `scanned` holds. again: reads some paths once more, so that contents of unchanged files move nowhere."""
         m = self._manifest(repo)
         base, version = f"{self.home}/{self._id(repo)}", uuid.uuid4().hex
-        at = f"{base}/{version}"
-        save = lambda df, name: df.write.parquet(f"{at}/{name}") or self.spark.read.parquet(f"{at}/{name}")
-        scanned = save(scanned, "scanned")
-        old = self.files(repo) if m else scanned.where("content IS NOT NULL").limit(0).withColumn("indexed_at", F.current_timestamp())
+        old, new = Segments(self.spark, base, m and m["state"]), Segments(self.spark, base, m and m["state"], version)
+        scratch_at = f"{base}/{version}/scratch"
+        save = lambda df, name: scratch.save(df, f"{scratch_at}/{name}")
         # A file that can't be read now stays as it was indexed.
-        unread = scanned.where("content IS NULL").select("path")
-        before = old.select("path", "sha256", F.col("indexed_at").alias("before"))
-        read = scanned.where("content IS NOT NULL").join(before, ["path", "sha256"], "left").withColumn("indexed_at", F.coalesce("before", F.current_timestamp())).drop("before")
-        new = save(read.unionByName(old.join(unread, "path", "left_semi").select(*read.columns)), "files")
-        status = snapshot.file_status(old, new).persist()
-        fresh = status.where("status IN ('new', 'changed')").select("path")
-        same = status.where("status = 'unchanged'").select("path")
-        found = extract.extract_symbols(new.join(fresh, "path", "left_semi"))
-        found = found.withColumn("id", F.xxhash64(F.lit(repo), "path", "byte_offset", "kind", "name"))
+        now = scanned.select("path", "sha256")
+        before = old.live("files").select("path", "sha256") if m else now.limit(0)
+        status = snapshot.file_status(before, now, unread=True).persist()
+        stats = snapshot.counters(status.where("status <> 'unread'")).first().asDict() | {"errors": status.where("blank").count()}
+        if m and not stats["indexed"] and not stats["deleted"]:
+            status.unpersist()
+            if any(m.get(k) != v for k, v in extra.items()):
+                self._publish(repo, m | extra)
+            return stats | {"symbols_extracted": 0, "call_edges_resolved": 0}
+        small = stats["indexed"] <= FEW
+        fresh = save(status.where("status IN ('new', 'changed')").select("path"), "fresh")
+        read = (again or (lambda only: scanned.join(only, "path", "left_semi")))(fresh).where("content IS NOT NULL")
+        found = new.add("files", read.withColumn("indexed_at", F.current_timestamp()), ["path"], small)
+        dead = save(status.where("status IN ('changed', 'deleted')").select("path"), "dead")
+        symbols = resolution.with_ids(extract.extract_symbols(found), F.lit(repo))
         if embed and self.embedder:
             text = scalars.embed_text(F.col("language"), F.col("kind"), F.col("name"), F.col("signature"), F.col("docstring"))
-            found = found.withColumn("embedding", _embed(text, self.embedder))
+            symbols = symbols.withColumn("embedding", _embed(text, self.embedder))
+        else:
+            symbols = symbols.withColumn("embedding", F.lit(None).cast("array<float>"))
+        symbols = new.add("symbols", symbols, ["path", "line"], small)
+        if m:
+            edges, replaced = resolution.update(old.live("edges"), old.live("names"), dead, symbols, save)
         else:
-            found = found.withColumn("embedding", F.lit(None).cast("array<float>"))
-        symbols = save(self.symbols(repo).join(same, "path", "left_semi").unionByName(found) if m else found, "symbols")
-        edges = save(self._edges(symbols), "edges")
-        stats = snapshot.counters(status).first().asDict()
-        stats |= {"symbols_extracted": symbols.join(fresh, "path", "left_semi").count(), "call_edges_resolved": edges.where("callee_id IS NOT NULL").count(), "errors": unread.count()}
-        totals = {}
-        text = lambda df: df.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-        for name, key, table, columns in (("text", "path", text(new), TEXT_COLUMNS), ("names", "id", symbols, NAME_COLUMNS)):
-            changed = table.join(fresh, "path", "left_semi") if m else table
-            terms, lens = postings.occurrences(changed, key, columns), postings.lengths(changed, key, columns)
+            edges, replaced = resolution.resolve(resolution.calls_of(symbols), resolution.winners(resolution.name_index(symbols))), None
+        new.add("names", resolution.name_index(symbols), ["key"], small)
+        edges = new.add("edges", edges, ["caller", "line"])
+        totals, text = {}, found.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+        for name, key, table, columns, carried in (("text", "path", text, TEXT_COLUMNS, [F.col("path")]), ("names", "id", symbols, NAME_COLUMNS, ["path"])):
+            new.add(f"{name}_terms", postings.occurrences(table.withColumn("of", F.col("path")), key, columns, "of").withColumnRenamed("of", "path"), postings.ORDER, small)
+            lens = new.add(f"{name}_lens", postings.lengths(table.withColumn("of", F.col("path")), key, columns, "of").withColumnRenamed("of", "path"), ["key"], small)
+            n, total = lens.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
             if m:
-                kept = table.join(same, "path", "left_semi").select(F.col(key).alias("key"))
-                terms, lens = (self._postings(repo, name, part).join(kept, "key", "left_semi").unionByName(x) for part, x in (("terms", terms), ("lens", lens)))
-            postings.write(terms, f"{at}/{name}_terms")
-            totals[name] = list(save(lens, f"{name}_lens").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first())
+                gone = old.live(f"{name}_lens").join(dead, "path", "left_semi").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+                n, total = m["totals"][name][0] - gone[0] + n, m["totals"][name][1] - gone[1] + total
+            totals[name] = [n, total]
+        if m:
+            new.bury("dead_paths", dead, small)
+            new.bury("dead_calls", replaced)
+        stats |= {"symbols_extracted": symbols.count(), "call_edges_resolved": edges.where("callee_id IS NOT NULL").count()}
         status.unpersist()
-        fs, gone = self._fs(f"{at}/scanned")
-        fs.delete(gone, True)
-        self._publish(repo, {"version": version, "repo": repo, "previous": (m or {}).get("version"), "totals": totals, **extra})
+        scratch.remove(self.spark, scratch_at)
+        merged = new.merge("files", uuid.uuid4().hex)
+        self._publish(repo, {"version": merged.version if merged else version, "repo": repo, "state": (merged or new).state, "kept": sorted(old.versions()), "totals": totals, **extra})
         return stats
 
-    def _edges(self, symbols: DataFrame) -> DataFrame:
-        """Calls with what they resolve to, clustered by caller, so that a traversal reads few row groups."""
-        calls = symbols.select(F.col("id").alias("caller_id"), "path", F.col("qualified_name").alias("caller"), F.posexplode("calls").alias("pos", "c")).select("caller_id", "path", "caller", "pos", F.col("c.callee_name").alias("callee"), F.col("c.line").alias("line"))
-        local = symbols.groupBy("path", F.col("qualified_name").alias("callee")).agg(F.min_by("id", F.struct("line", "byte_offset")).alias("callee_id"))
-        edges = graph.resolve(calls.join(local, ["path", "callee"], "left"), symbols, F.struct("path", "line", "byte_offset"))
-        there = symbols.select(F.col("id").alias("callee_id"), F.col("qualified_name").alias("resolved_name"), "kind", F.col("line").alias("def_line"), F.col("path").alias("def_file"))
-        of_caller = symbols.select(F.col("id").alias("caller_id"), F.col("kind").alias("caller_kind"), F.col("line").alias("caller_line"))
-        return edges.join(there, "callee_id", "left").join(of_caller, "caller_id", "left").repartitionByRange("caller").sortWithinPartitions("caller", "line")
-
     def _postings(self, repo: str, name: str, part: str) -> DataFrame:
-        if part == "lens":
-            return self.table(repo, f"{name}_lens")
-        m = self._manifest(repo)
-        return postings.read(self.spark, f"{self.home}/{self._id(repo)}/{m['version']}/{name}_terms", "string" if name == "text" else "long")
+        return self.table(repo, f"{name}_{part}")
 
     # 3, 4: repositories.
 
@@ -180,14 +188,12 @@ class Index:
 
     def invalidate_cache(self, repo: str) -> dict:
         """A new version with empty tables."""
-        m, version = self._manifest(repo), uuid.uuid4().hex
-        if not m:
-            raise NotFound(f"Not indexed: {repo}")
-        for name in ("files", "symbols", "edges", "text_lens", "names_lens"):
-            self.table(repo, name).limit(0).write.parquet(f"{self.home}/{self._id(repo)}/{version}/{name}")
-        for name in ("text", "names"):
-            postings.write(self._postings(repo, name, "terms").limit(0), f"{self.home}/{self._id(repo)}/{version}/{name}_terms")
-        self._publish(repo, m | {"version": version, "previous": m["version"], "sha": "", "totals": {"text": [0, 0], "names": [0, 0]}})
+        m, held, version = self._manifest(repo), self._segments(repo), uuid.uuid4().hex
+        empty = Segments(self.spark, held.base, None, version)
+        for name, table in held.state["tables"].items():
+            empty.add(name, held.read(name).limit(0).drop("gen"), table["order"])
+        empty.state["gen"] = held.gen + 1
+        self._publish(repo, m | {"version": version, "state": empty.state, "kept": sorted(held.versions()), "sha": "", "totals": {"text": [0, 0], "names": [0, 0]}})
         return {"status": "cleared", "repo": repo}
 
     # 5-9: lookups.
@@ -250,8 +256,11 @@ class Index:
 
     def get_callees(self, repo: str, name: str, depth: int = 1) -> DataFrame:
         """caller, callee (as written), callee_id, resolved_name, kind, def_line, def_file, line, depth."""
-        e = self.edges(repo).select("caller", "callee", "callee_id", "resolved_name", "kind", "def_line", "def_file", "line")
-        return graph.callees(e, None, name, depth)
+        e = self.edges(repo).select("caller", "callee", "callee_id", "resolved_name", F.col("callee_kind").alias("kind"), "def_file", "line")
+        met = graph.callees(e, None, name, depth)
+        ids = met.select(F.col("callee_id").alias("id")).distinct()
+        lines = self.symbols(repo).join(ids, "id", "left_semi").select(F.col("id").alias("callee_id"), F.col("line").alias("def_line"))
+        return met.join(lines, "callee_id", "left").select("caller", "callee", "callee_id", "resolved_name", "kind", "def_line", "def_file", "line", "depth")
 
     def get_callers(self, repo: str, name: str, depth: int = 1) -> DataFrame:
         """caller, kind, caller_line, caller_file (where it is defined), callee, line, depth."""

@@ -1,4 +1,4 @@
-"""A persisted index for phrase search: a row for each occurrence of a term, dealt by the term's hash."""
+"""A persisted index for phrase search: a row for each occurrence of a term, sorted by term and key."""
 
 from __future__ import annotations
 
@@ -10,41 +10,35 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import scalars
 
-BUCKETS = 64
+#: A term that many rows hold is spread over as many files and tasks as its rows need.
+ORDER = ["term", "key"]
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def occurrences(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """bucket, term, key, part (which column), pos: every token of every column. No shuffle is needed to make them."""
+def occurrences(df: DataFrame, key: str, columns: Sequence[str], *carried: str) -> DataFrame:
+    """term, key, part (which column), pos: every token of every column. No shuffle is needed to make them."""
     words = [F.filter(F.split(scalars.normal_text(F.col(c)), " "), lambda w: w != "") for c in columns]
-    parts = df.select(F.col(key).alias("key"), F.posexplode(F.array(*words)).alias("part", "words"))
-    each = parts.select("key", "part", F.posexplode("words").alias("pos", "term"))
-    return each.select(bucket_of(F.col("term")).alias("bucket"), "term", "key", "part", "pos")
+    parts = df.select(F.col(key).alias("key"), *carried, F.posexplode(F.array(*words)).alias("part", "words"))
+    return parts.select("key", *carried, "part", F.posexplode("words").alias("pos", "term"))
 
 
-def lengths(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+def lengths(df: DataFrame, key: str, columns: Sequence[str], *carried: str) -> DataFrame:
     """key, len: the tokens of all columns; a row without any counts, too."""
-    return df.select(F.col(key).alias("key"), sum((scalars.token_count(F.col(c)) for c in columns), F.lit(0).cast("long")).alias("len"))
+    return df.select(F.col(key).alias("key"), *carried, sum((scalars.token_count(F.col(c)) for c in columns), F.lit(0).cast("long")).alias("len"))
 
 
 def write(df: DataFrame, path: str) -> None:
-    """By bucket, and by term within: a query reads its terms' row groups only."""
-    df.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    """By ranges of (term, key): a query reads its terms' row groups only."""
+    df.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).write.mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, path: str, key_type: str) -> DataFrame:
-    return spark.read.schema(f"term string, key {key_type}, part int, pos int, bucket int").parquet(path)
+    return spark.read.schema(f"key {key_type}, part int, pos int, term string").parquet(path)
 
 
 def phrase_counts(found: DataFrame, terms: list[str]) -> DataFrame:
     """key, tf: how often the terms stand in a row within one column. Each occurrence votes for the places where the phrase would begin."""
-    spark = found.sparkSession
-    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in sorted(set(terms))], "term string").select(bucket_of(F.col("term"))).collect()]
     places = F.array(*[F.when(F.col("term") == t, F.col("pos") - k) for k, t in enumerate(terms)])
-    votes = found.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*set(terms))).select("key", "part", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("begin"))
+    votes = found.where(F.col("term").isin(*sorted(set(terms)))).select("key", "part", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("begin"))
     hits = votes if len(terms) == 1 else votes.groupBy("key", "part", "begin").count().where(F.col("count") == len(terms))
     return hits.groupBy("key").agg(F.count("*").alias("tf"))
 

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def file_status(old: DataFrame, new: DataFrame) -> DataFrame:
-    """path, status (new, changed, deleted, unchanged) of two tables (path, sha256)."""
-    o, n = old.select("path", F.col("sha256").alias("was")), new.select("path", F.col("sha256").alias("now"))
-    status = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "deleted").when(F.col("was") != F.col("now"), "changed").otherwise("unchanged")
-    return o.join(n, "path", "full_outer").select("path", status.alias("status"))
+def file_status(old: DataFrame, new: DataFrame, unread: bool = False) -> DataFrame:
+    """path, status (new, changed, deleted, unchanged) of two tables (path, sha256); with `unread`, files in `new` without a hash are unchanged or, if they are new, unread; `blank` tells them."""
+    o, n = old.select("path", F.col("sha256").alias("was")), new.select("path", F.col("sha256").alias("now"), F.col("sha256").isNull().alias("blank"))
+    status = F.when(F.coalesce("blank", F.lit(False)), F.when(F.col("was").isNull(), "unread").otherwise("unchanged")) if unread else F
+    status = status.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "deleted").when(F.col("was") != F.col("now"), "changed").otherwise("unchanged")
+    return o.join(n, "path", "full_outer").select("path", status.alias("status"), *([F.coalesce("blank", F.lit(False)).alias("blank")] if unread else []))
 
 
 def counters(status: DataFrame) -> DataFrame:

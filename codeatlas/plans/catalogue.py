@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .. import scratch
 from ..functions import patterns, scalars
-from ..operators import graph, lookup, postings, search, snapshot
+from ..operators import graph, lookup, postings, resolution, search, snapshot
+from ..operators.segments import Segments
 from ..sources import extract, files
 from . import views as V
 
@@ -468,3 +469,59 @@ def counts_by_language(spark, d):
 @query(f"{V.with_views('v_edges')}, m AS (SELECT DISTINCT split_part(caller, '.', 1) AS cf, split_part(callee, '.', 1) AS ef FROM v_edges) SELECT file, (SELECT count(*) FROM m WHERE cf = file) AS depends_on_files, (SELECT count(*) FROM m WHERE ef = file) AS depended_by_files FROM (SELECT cf AS file FROM m UNION SELECT ef FROM m)")
 def dependency_counts(spark, d):
     return lookup.file_counts(dependency_map(spark, d))
+
+
+# An index that is brought up to date: rows that a later run changes, adds or takes back.
+
+
+def _edited(symbols: DataFrame, new: bool) -> DataFrame:
+    """Documents of one remainder come later, of another go, and of a third have other names before."""
+    if new:
+        return symbols.where("doc_id % 13 <> 4")
+    return symbols.where("doc_id % 11 <> 5").withColumn("name", F.when(F.col("doc_id") % 7 == 3, F.concat(F.lit("x"), "name")).otherwise(F.col("name")))
+
+
+@query(f"""{V.with_views('v_files', 'v_lines', 'v_symbols')}, s AS (SELECT *, split_part(docstring, ' ', 2) AS callee FROM v_symbols WHERE doc_id % 13 <> 4),
+k AS (SELECT name AS key, path, line, qualified_name FROM s UNION SELECT qualified_name, path, line, qualified_name FROM s), w AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY path, line) = 1)
+SELECT s.path, s.qualified_name AS caller, s.line::INTEGER AS line, s.callee, coalesce(l.qualified_name, w.qualified_name) AS resolved_name, coalesce(l.path, w.path) AS def_file
+FROM s LEFT JOIN w ON s.callee = w.key LEFT JOIN s l ON l.path = s.path AND l.qualified_name = s.callee""")
+def resolve_incremental(spark, d):
+    """Calls resolved in one run, then only what a second run's changes touch; the same as resolving all anew."""
+    base = scratch.folder(spark)
+    call = F.array(F.struct(F.split_part("docstring", F.lit(" "), F.lit(2)).alias("callee_name"), F.col("line").cast("int").alias("line")))
+    every = V.symbols(spark, d).withColumn("calls", call)
+    before = resolution.with_ids(_edited(every, False), F.lit(""))
+    first = Segments(spark, base, None, "a")
+    first.add("names", resolution.name_index(before), ["key"])
+    first.add("edges", resolution.resolve(resolution.calls_of(before), resolution.winners(resolution.name_index(before))), ["caller", "line"])
+    second = Segments(spark, base, first.state, "b")
+    docs = V.files(spark, d).select("doc_id", "path")
+    dead = docs.where("doc_id % 11 <> 5 AND (doc_id % 7 = 3 OR doc_id % 13 = 4)").select("path")
+    now = resolution.with_ids(_edited(every, True).where("doc_id % 11 = 5 OR doc_id % 7 = 3"), F.lit(""))
+    edges, replaced = resolution.update(first.live("edges"), first.live("names"), dead, now, lambda df, name: scratch.save(df, f"{base}/{name}"))
+    second.add("names", resolution.name_index(now), ["key"])
+    second.add("edges", edges, ["caller", "line"])
+    second.bury("dead_paths", dead)
+    second.bury("dead_calls", replaced)
+    return second.live("edges").select("path", "caller", "line", "callee", "resolved_name", "def_file")
+
+
+@query(f"WITH v AS (SELECT doc_id, text FROM documents WHERE doc_id % 9 <> 4), {_bm25('v', ['text'], WORDS)} SELECT doc_id, score FROM h ORDER BY score DESC, doc_id LIMIT 50")
+def fts_after_edits(spark, d):
+    """Postings in segments: some texts changed, came or went after the first; two more runs change some again."""
+    base, docs = scratch.folder(spark), V.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), "text")
+    other = lambda text: docs.withColumn("text", F.lit(text))
+    runs = [  # what is written, and whose earlier rows go
+        (docs.where("doc_id % 7 <> 2 AND doc_id % 5 <> 1").unionByName(other("of the of the").where("doc_id % 7 <> 2 AND doc_id % 5 = 1")), None),
+        (docs.where("doc_id % 7 = 2").unionByName(other("the of the").where("doc_id % 7 <> 2 AND doc_id % 5 = 1")), "doc_id % 7 <> 2 AND doc_id % 5 = 1 OR doc_id % 9 = 4"),
+        (docs.where("doc_id % 5 = 1 AND doc_id % 9 <> 4"), "doc_id % 5 = 1 OR doc_id % 9 = 4"),
+    ]
+    held = None
+    for k, (rows, gone) in enumerate(runs):
+        held = Segments(spark, base, held and held.state, f"v{k}")
+        held.add("terms", postings.occurrences(rows, "doc_id", ["text"], "path"), postings.ORDER)
+        held.add("lens", postings.lengths(rows, "doc_id", ["text"], "path"), ["key"])
+        if gone:
+            held.bury("dead_paths", docs.where(gone))
+    held = held.merge("lens", "merged") or held
+    return postings.search(held.live("terms"), held.live("lens"), PHRASE, 50).withColumnRenamed("key", "doc_id")

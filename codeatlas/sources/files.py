@@ -95,14 +95,15 @@ def _store(root: str):
     return fs.FileSystem.from_uri(root if "://" in root else f"file://{quote(os.path.abspath(root))}")
 
 
-def scan_directory(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
-    """path (relative), sha256, language, size_bytes, content of the source files below a folder; hash and content are null where a file can't be read. A .gitignore at its top counts."""
+def scan_directory(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = (), only: DataFrame | None = None) -> DataFrame:
+    """path (relative), sha256, language, size_bytes, content of the source files below a folder, or of those in `only` (path); hash and content are null where a file can't be read. A .gitignore at its top counts."""
     store, base = _store(root)
     rules: list[str] = []
     if store.get_file_info(f"{base}/.gitignore").type == fs.FileType.File:
         with store.open_input_stream(f"{base}/.gitignore") as f:
             rules = f.read().decode("utf-8", "replace").splitlines()
-    kept = keep_path(list_files(spark, root), include, exclude, rules).repartition("path")
+    kept = keep_path(list_files(spark, root), include, exclude, rules)
+    kept = (kept if only is None else kept.join(only, "path", "left_semi")).repartition("path")
     full = read_content(kept, root)
     return finish(full.where(F.col("content").isNull() | ~scalars.is_binary(F.col("path"), F.col("content"))))
 
