@@ -15,7 +15,7 @@ from . import constants as K
 from . import scratch
 from .functions import scalars
 from .functions.patterns import glob_regex
-from .operators import graph, lookup, postings, resolution, search, snapshot
+from .operators import clusters, graph, lookup, postings, resolution, search, snapshot
 from .operators.segments import Segments
 from .sources import extract, files
 
@@ -144,6 +144,10 @@ class Index:
         else:
             symbols = symbols.withColumn("embedding", F.lit(None).cast("array<float>"))
         symbols = new.add("symbols", symbols, ["path", "line"], small)
+        held = (m or {}).get("centres", [])
+        vectors = symbols.where("embedding IS NOT NULL").select("id", "path", "embedding")
+        held = held or (clusters.centres(vectors, "embedding") if embed and self.embedder else [])
+        new.add("vectors", clusters.assigned(vectors, "embedding", held), ["cluster", "away"], small)
         if m:
             edges, replaced = resolution.update(old.live("edges"), old.live("names"), dead, symbols, save)
         else:
@@ -166,7 +170,7 @@ class Index:
         status.unpersist()
         scratch.remove(self.spark, scratch_at)
         merged = new.merge("files", uuid.uuid4().hex)
-        self._publish(repo, {"version": merged.version if merged else version, "repo": repo, "state": (merged or new).state, "kept": sorted(old.versions()), "totals": totals, **extra})
+        self._publish(repo, {"version": merged.version if merged else version, "repo": repo, "state": (merged or new).state, "kept": sorted(old.versions()), "totals": totals, "centres": held, **extra})
         return stats
 
     def _postings(self, repo: str, name: str, part: str) -> DataFrame:
@@ -238,8 +242,9 @@ class Index:
         top = postings.search(self._postings(repo, "names", "terms"), self._postings(repo, "names", "lens"), query, 2 * limit, *self._manifest(repo)["totals"]["names"])
         text = s.join(top.withColumnRenamed("key", "id"), "id")
         arms = [search.ranked(text, F.desc("score"), "id").select("qualified_name", "kind", "pos")]
-        if self.embedder and s.where("embedding IS NOT NULL").limit(1).count():
-            near = search.nearest(s.where("embedding IS NOT NULL"), self.embedder([query])[0], "id", "embedding", 2 * limit)
+        if self.embedder and any(self._segments(repo).rows("vectors")):
+            near, _ = clusters.nearest(self.table(repo, "vectors"), self._manifest(repo)["centres"], self.embedder([query])[0], "id", "embedding", 2 * limit)
+            near = near.select("id", "distance").join(s.select("id", "qualified_name", "kind"), "id")
             arms.append(search.ranked(near, "distance", "id").select("qualified_name", "kind", "pos"))
         fused = search.fuse(arms, "qualified_name", limit, kind).withColumn("search_type", F.lit("hybrid" if len(arms) > 1 else "fts_only"))
         shown = s.groupBy("qualified_name").agg(F.min_by(F.struct(F.col("path").alias("file"), "line", "signature", F.substring("docstring", 1, 100).alias("docstring")), F.struct("path", "line")).alias("s"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .. import scratch
 from ..functions import patterns, scalars
-from ..operators import graph, lookup, postings, resolution, search, snapshot
+from ..operators import clusters, graph, lookup, postings, resolution, search, snapshot
 from ..operators.segments import Segments
 from ..sources import extract, files
 from . import views as V
@@ -525,3 +525,24 @@ def fts_after_edits(spark, d):
             held.bury("dead_paths", docs.where(gone))
     held = held.merge("lens", "merged") or held
     return postings.search(held.live("terms"), held.live("lens"), PHRASE, 50).withColumnRenamed("key", "doc_id")
+
+
+@query(f"{_KNN} ORDER BY distance, vec_id LIMIT 20")
+def vector_knn_clusters(spark, d):
+    """`vector_knn_l2` by clusters."""
+    vectors = V.table(spark, d, "embeddings").select("vec_id", "embedding")
+    held = clusters.centres(vectors, "embedding")
+    placed = scratch.save(clusters.assigned(vectors, "embedding", held).repartitionByRange("cluster", "away").sortWithinPartitions("cluster", "away"), scratch.folder(spark))
+    return clusters.nearest(placed, held, _vector(spark, d), "vec_id", "embedding")[0].select("vec_id", "distance")
+
+
+@query("""SELECT q.vec_id AS query_id, e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6), e.vec_id)::INTEGER AS rank
+FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10""")
+def vector_knn_all(spark, d):
+    """Nearest rows of every fiftieth vector."""
+    vectors = V.table(spark, d, "embeddings").select("vec_id", "embedding")
+    held = clusters.centres(vectors, "embedding")
+    placed = scratch.save(clusters.assigned(vectors, "embedding", held).repartitionByRange("cluster", "away").sortWithinPartitions("cluster", "away"), scratch.folder(spark))
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return clusters.nearest_all(placed, held, queries, "vec_id", "embedding", 10).drop("read")
