@@ -8,14 +8,14 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import constants as K
 from . import scratch
 from .functions import scalars
 from .functions.patterns import glob_regex
-from .operators import clusters, graph, lookup, postings, resolution, search, snapshot
+from .operators import clusters, graph, lookup, postings, ranked, resolution, search, snapshot
 from .operators.segments import Segments
 from .sources import extract, files
 
@@ -156,8 +156,9 @@ class Index:
         edges = new.add("edges", edges, ["caller", "line"])
         totals, text = {}, found.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
         for name, key, table, columns, carried in (("text", "path", text, TEXT_COLUMNS, [F.col("path")]), ("names", "id", symbols, NAME_COLUMNS, ["path"])):
-            new.add(f"{name}_terms", postings.occurrences(table.withColumn("of", F.col("path")), key, columns, "of").withColumnRenamed("of", "path"), postings.ORDER, small)
+            terms = new.add(f"{name}_terms", postings.occurrences(table.withColumn("of", F.col("path")), key, columns, "of").withColumnRenamed("of", "path"), postings.ORDER, small)
             lens = new.add(f"{name}_lens", postings.lengths(table.withColumn("of", F.col("path")), key, columns, "of").withColumnRenamed("of", "path"), ["key"], small)
+            new.add(f"{name}_chunks", ranked.chunks(terms, lens), ["term", "first"], small)
             n, total = lens.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
             if m:
                 gone = old.live(f"{name}_lens").join(dead, "path", "left_semi").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
@@ -173,8 +174,14 @@ class Index:
         self._publish(repo, {"version": merged.version if merged else version, "repo": repo, "state": (merged or new).state, "kept": sorted(old.versions()), "totals": totals, "centres": held, **extra})
         return stats
 
-    def _postings(self, repo: str, name: str, part: str) -> DataFrame:
-        return self.table(repo, f"{name}_{part}")
+    def _search(self, repo: str, name: str, query: str, limit: int, where: Column | None = None) -> DataFrame:
+        """key, score. One term's hits are found by the directory of its postings, a phrase's by counting where its terms meet."""
+        terms, lens, totals = self.table(repo, f"{name}_terms"), self.table(repo, f"{name}_lens"), self._manifest(repo)["totals"][name]
+        words = scalars.tokens(query)
+        if len(words) != 1 or not totals[0]:
+            return postings.search(terms, lens, query, limit, *totals, where)
+        met = terms.where(F.col("term") == words[0]).select("key").distinct().count() if any(self._segments(repo).rows("dead_paths")) else None
+        return ranked.search(terms, lens, self.table(repo, f"{name}_chunks"), query, limit, *totals, met, where)[0]
 
     # 3, 4: repositories.
 
@@ -239,7 +246,7 @@ class Index:
         """qualified_name, kind, score, search_type: phrase search fused with nearest embeddings where there are any."""
         limit = K.clamp(1, limit, K.MAX_HITS)
         s = self.symbols(repo)
-        top = postings.search(self._postings(repo, "names", "terms"), self._postings(repo, "names", "lens"), query, 2 * limit, *self._manifest(repo)["totals"]["names"])
+        top = self._search(repo, "names", query, 2 * limit)
         text = s.join(top.withColumnRenamed("key", "id"), "id")
         arms = [search.ranked(text, F.desc("score"), "id").select("qualified_name", "kind", "pos")]
         if self.embedder and any(self._segments(repo).rows("vectors")):
@@ -253,7 +260,7 @@ class Index:
     def search_text(self, repo: str, query: str, glob: str | None = None, limit: int = 20) -> DataFrame:
         """path, snippet, score. Only the terms of the query, and the texts of the hits that are shown, are read."""
         where = F.col("key").rlike(glob_regex(glob)) if glob else None
-        top = postings.search(self._postings(repo, "text", "terms"), self._postings(repo, "text", "lens"), query, K.clamp(1, limit, K.MAX_HITS), *self._manifest(repo)["totals"]["text"], where)
+        top = self._search(repo, "text", query, K.clamp(1, limit, K.MAX_HITS), where)
         text = self.files(repo).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
         return top.withColumnRenamed("key", "path").join(text, "path").select("path", search.snippet(F.col("content"), query).alias("snippet"), "score").orderBy(F.desc("score"), "path")
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .. import scratch
 from ..functions import patterns, scalars
-from ..operators import clusters, graph, lookup, postings, resolution, search, snapshot
+from ..operators import clusters, graph, lookup, postings, ranked, resolution, search, snapshot
 from ..operators.segments import Segments
 from ..sources import extract, files
+from ..streaming import ingest
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -546,3 +547,26 @@ def vector_knn_all(spark, d):
     placed = scratch.save(clusters.assigned(vectors, "embedding", held).repartitionByRange("cluster", "away").sortWithinPartitions("cluster", "away"), scratch.folder(spark))
     queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return clusters.nearest_all(placed, held, queries, "vec_id", "embedding", 10).drop("read")
+
+
+@query(f"WITH {_bm25('documents', ['text'], ['de'])} SELECT doc_id, score FROM h ORDER BY score DESC, doc_id LIMIT 20")
+def fts_ranked_term(spark, d):
+    """One term's best hits, found by the directory of its postings."""
+    docs, at = V.table(spark, d, "documents").select("doc_id", "text"), scratch.folder(spark)
+    postings.write(postings.occurrences(docs, "doc_id", ["text"]), f"{at}-terms")
+    found, lens = postings.read(spark, f"{at}-terms", "long"), scratch.save(postings.lengths(docs, "doc_id", ["text"]), f"{at}-lens")
+    directory = scratch.save(ranked.chunks(found, lens), f"{at}-chunks")
+    n, total = lens.agg(F.count("*"), F.sum("len")).first()
+    return ranked.search(found, lens, directory, "de", 20, n, total)[0].withColumnRenamed("key", "doc_id")
+
+
+@query("SELECT 'u' || user_id AS path, event_type || '-' || event_id AS sha256, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type || '-' || event_id DESC) = 1")
+def stream_latest(spark, d):
+    """Each user's last event, kept up to date by a stream of three batches in which late rows lose."""
+    at = scratch.folder(spark)
+    rows = V.table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("path"), F.concat_ws("-", "event_type", "event_id").alias("sha256"), F.col("ts").alias("modificationTime"), "value", (F.col("event_id") % 3).alias("part"))
+    for k in (1, 2, 0):  # not in the order of their times
+        rows.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    source = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    ingest.merge_stream(source, f"{at}/table").trigger(availableNow=True).option("checkpointLocation", f"{at}/progress").start().awaitTermination()
+    return ingest.current(spark, f"{at}/table").select("path", "sha256", "value")

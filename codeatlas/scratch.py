@@ -22,9 +22,10 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def _at(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+def at(spark: SparkSession, path: str):
+    """A path and its file system."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
 
 
 def save(df: DataFrame, path: str) -> DataFrame:
@@ -36,12 +37,12 @@ def save(df: DataFrame, path: str) -> DataFrame:
 
 def at_exit(spark: SparkSession, path: str) -> None:
     """Delete `path` when the driver ends."""
-    fs, at = _at(spark, path)
-    fs.deleteOnExit(at)
+    fs, there = at(spark, path)
+    fs.deleteOnExit(there)
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that no later step reads."""
     for path in paths:
-        fs, at = _at(spark, path)
-        fs.delete(at, True)
+        fs, there = at(spark, path)
+        fs.delete(there, True)
