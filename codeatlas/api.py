@@ -266,13 +266,13 @@ class Index:
 
     # 12, 13, 15: graph.
 
-    def get_callees(self, repo: str, name: str, depth: int = 1) -> DataFrame:
-        """caller, callee (as written), callee_id, resolved_name, kind, def_line, def_file, line, depth."""
+    def get_callees(self, repo: str, name: str, depth: int = 1, depth_first: bool = False) -> DataFrame:
+        """caller, callee (as written), callee_id, resolved_name, kind, def_line, def_file, line, depth; by levels, or as a depth-first walk meets them, then with its place in the walk."""
         e = self.edges(repo).select("caller", "callee", "callee_id", "resolved_name", F.col("callee_kind").alias("kind"), "def_file", "line")
-        met = graph.callees(e, None, name, depth)
+        met = graph.callees_depth_first(e, None, name, depth) if depth_first else graph.callees(e, None, name, depth)
         ids = met.select(F.col("callee_id").alias("id")).distinct()
         lines = self.symbols(repo).join(ids, "id", "left_semi").select(F.col("id").alias("callee_id"), F.col("line").alias("def_line"))
-        return met.join(lines, "callee_id", "left").select("caller", "callee", "callee_id", "resolved_name", "kind", "def_line", "def_file", "line", "depth")
+        return met.join(lines, "callee_id", "left").select("caller", "callee", "callee_id", "resolved_name", "kind", "def_line", "def_file", "line", "depth", *(["place"] if depth_first else []))
 
     def get_callers(self, repo: str, name: str, depth: int = 1) -> DataFrame:
         """caller, kind, caller_line, caller_file (where it is defined), callee, line, depth."""

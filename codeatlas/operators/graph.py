@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -47,6 +47,45 @@ def callers(edges: DataFrame, start: str, depth: int = 1) -> DataFrame:
     return _walk(_one(edges.sparkSession, start), K.clamp(1, depth, K.MAX_DEPTH), step, edges.columns)
 
 
+def callees_depth_first(edges: DataFrame, names: DataFrame | None, start: str, depth: int = 1) -> DataFrame:
+    """Edges in the order and at the depths of a depth-first walk that expands each node once, where it first comes to it.
+
+    As `callees`, with `place`, the walk's path to the edge as numbers, by which rows sort in the walk's order. Edges of a
+    caller are taken by (line, callee, all else).
+
+    A node's path is the least one that an expanded node's path and edge make, if it is shorter than `depth`: a node met first
+    at the bottom hides its own edges from a shorter way that the walk tries later. Paths of all nodes are made from those of the
+    round before until a round changes none; they are then the walk's, since a path depends on smaller ones only.
+    """
+    spark, at = edges.sparkSession, scratch.folder(edges.sparkSession)
+    depth, carried = K.clamp(1, depth, K.MAX_DEPTH), [c for c in edges.columns if c != "resolved_name"]
+    if names is not None:
+        known = names.select(F.col("name").alias("resolved_name")).distinct()
+        edges = edges.select(*carried).join(known, F.col("callee") == F.col("resolved_name"), "left")
+    rest = [c for c in carried if c not in ("caller", "line", "callee")]
+    order = Window.partitionBy("caller").orderBy("line", "callee", *rest)
+    empty = F.array().cast("array<int>")
+    paths = _one(spark, start).select("name", empty.alias("path"))
+    if names is not None:
+        paths = paths.join(known, F.col("name") == F.col("resolved_name"), "left_semi")
+    paths, ball, known_to, k = scratch.save(paths, f"{at}-paths-0"), None, None, 0
+    while True:
+        k += 1
+        # Edges of nodes that had a path in some round; those of new ones are looked up once.
+        new = paths.select("name") if known_to is None else paths.select("name").join(known_to, "name", "left_anti")
+        met = edges.join(new, edges["caller"] == new["name"], "left_semi")
+        met = scratch.save(met.withColumn("nth", F.row_number().over(order)), f"{at}-edges-{k}")
+        ball = met if ball is None else ball.unionByName(met)
+        known_to = new if known_to is None else known_to.unionByName(new)
+        here = ball.join(paths, ball["caller"] == paths["name"]).select(*ball.columns, F.concat("path", F.array("nth")).alias("place"))
+        ways = here.where(F.col("resolved_name").isNotNull() & (F.size("place") < depth)).select(F.col("resolved_name").alias("name"), F.col("place").alias("path"))
+        first = ways.unionByName(_one(spark, start).join(paths, "name", "left_semi").select("name", empty.alias("path")))
+        fresh = scratch.save(first.groupBy("name").agg(F.min("path").alias("path")), f"{at}-paths-{k}")
+        if not fresh.exceptAll(paths).limit(1).count() and not paths.exceptAll(fresh).limit(1).count():
+            return here.select(*carried, "resolved_name", F.size("place").alias("depth"), "place")
+        paths = fresh
+
+
 def _one(spark, name: str) -> DataFrame:
     return spark.range(1).select(F.lit(name).alias("name"))
 

@@ -570,3 +570,10 @@ def stream_latest(spark, d):
     source = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     ingest.merge_stream(source, f"{at}/table").trigger(availableNow=True).option("checkpointLocation", f"{at}/progress").start().awaitTermination()
     return ingest.current(spark, f"{at}/table").select("path", "sha256", "value")
+
+
+@query()
+def callees_depth_first(spark, d):
+    """A depth-first walk; SQL has no visited set, so tests compare it with a recursive one."""
+    e = V.sparse_edges(spark, d)
+    return graph.callees_depth_first(e, e.select(F.col("caller").alias("name")), "n1", 5)

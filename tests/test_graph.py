@@ -2,6 +2,8 @@ import random
 import re
 import sqlite3
 
+import pytest
+
 from codeatlas.operators import graph
 
 
@@ -58,3 +60,51 @@ def test_definitions_are_of_the_first_symbol(spark):
     symbols = spark.createDataFrame([("b", "function", 9, "p.py"), ("b", "class", 4, "p.py"), ("b", "method", 1, "q.py"), ("c", "class", 1, "a.py")], "qualified_name string, kind string, line int, path string")
     got = {r["callee"]: tuple(r)[2:] for r in graph.with_definitions(rows, symbols, "callee", "def").collect()}
     assert got == {"b": ("class", 4, "p.py"), "x": (None, None, None)}
+
+
+def walked(edges, start, depth):
+    """A recursive depth-first walk: (caller, callee, line, depth) in its order."""
+    seen, out, of = set(), [], {}
+    for e in sorted(edges, key=lambda e: (e[2], e[1])):
+        of.setdefault(e[0], []).append(e)
+
+    def go(node, level):
+        if level >= depth or node in seen:
+            return
+        seen.add(node)
+        if node not in of:
+            return
+        for e in of[node]:
+            out.append((*e, level + 1))
+            if e[1] not in seen:
+                go(e[1], level + 1)
+
+    go(start, 0)
+    return out
+
+
+CHAIN = [("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("d", "e", 1), ("a", "d", 2), ("a", "c", 3)]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5])
+@pytest.mark.parametrize("edges", [
+    [("a", "b", 1), ("a", "c", 2), ("b", "d", 1), ("c", "e", 1)],
+    [("a", "b", 2), ("a", "c", 1), ("b", "d", 1), ("c", "d", 1), ("d", "e", 1), ("e", "f", 1)],
+    [("a", "b", 1), ("b", "a", 1), ("b", "b", 2), ("a", "a", 2), ("b", "c", 3), ("c", "a", 1)], CHAIN,
+])
+def test_depth_first_walk(spark, edges, depth):
+    """Trees, diamonds, cycles, and a node that a deep first visit keeps from a shorter way."""
+    df = spark.createDataFrame(edges, "caller string, callee string, line int")
+    got = graph.callees_depth_first(df, df.selectExpr("caller AS name"), "a", depth).orderBy("place").collect()
+    assert [(r["caller"], r["callee"], r["line"], r["depth"]) for r in got] == walked(edges, "a", depth)
+
+
+def test_depth_first_walk_of_a_dense_graph(spark):
+    import random
+
+    r = random.Random(1)
+    edges = [(f"n{r.randrange(60)}", f"n{r.randrange(70)}", k) for k in range(240)]
+    df = spark.createDataFrame(edges, "caller string, callee string, line int")
+    got = graph.callees_depth_first(df, df.selectExpr("caller AS name"), edges[0][0], 5).orderBy("place").collect()
+    assert [(x["caller"], x["callee"], x["line"], x["depth"]) for x in got] == walked(edges, edges[0][0], 5)
+    assert graph.callees_depth_first(df, df.selectExpr("caller AS name"), "nowhere", 3).count() == 0

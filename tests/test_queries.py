@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query_matches_sql(spark, name):
     compare(spark, name, catalogue.QUERIES[name], catalogue.SQL[name], SF)
 
