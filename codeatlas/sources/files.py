@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tarfile
+from collections import deque
 from collections.abc import Sequence
 from posixpath import normpath
 from urllib.parse import quote
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import scratch
 from ..functions import scalars
 
 
@@ -45,31 +47,50 @@ def finish(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), "language", F.col("size_bytes").cast("long").alias("size_bytes"), "content")
 
 
-def list_files(spark: SparkSession, root: str, spread: int = 256) -> DataFrame:
+def list_files(spark: SparkSession, root: str, share: int = 64) -> DataFrame:
     """path (relative), size_bytes of all files below a folder.
 
-    The driver lists level by level until it knows `spread` folders; what lies below those is listed by tasks, one for each.
-    Spark's own readers leave out names that begin with `_`, such as `__init__.py`.
+    Tasks list folders in rounds and keep a table of what they found: a task goes down from a folder until it has listed
+    `share` of them, and leaves the folders below to the next round, which deals them out anew. So wide trees spread, deep
+    ones take few rounds, and the driver sees only how many folders are left. Spark's own readers leave out names that begin
+    with `_`, such as `__init__.py`.
     """
-    store, base = _store(root)
-    ddl, own, folders = "path string, size_bytes long", [], [base]
-    while folders and len(folders) < spread:
-        found = [i for f in folders for i in store.get_file_info(fs.FileSelector(f))]
-        own += [(i.path[len(base) + 1 :], i.size) for i in found if i.type == fs.FileType.File]
-        folders = [i.path for i in found if i.type == fs.FileType.Directory]
-    here = spark.createDataFrame(own, ddl)
-    if not folders:
-        return here
+    at, k = scratch.folder(spark), 0
+    ddl = "path string, size_bytes long, left boolean"
+    schema = pa.schema([("path", pa.string()), ("size_bytes", pa.int64()), ("left", pa.bool_())])
 
     def run(batches):
         store, base = _store(root)
+        rows = []
         for b in batches:
-            for folder in b.column("folder").to_pylist():
-                found = [i for i in store.get_file_info(fs.FileSelector(folder, recursive=True)) if i.type == fs.FileType.File]
-                yield pa.RecordBatch.from_arrays([pa.array([i.path[len(base) + 1 :] for i in found], pa.string()), pa.array([i.size for i in found], pa.int64())], names=["path", "size_bytes"])
-
-    deeper = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(len(folders)).mapInArrow(run, ddl)
-    return here.unionByName(deeper)
+            for folder in b.column("path").to_pylist():
+                todo, listed = deque([folder]), 0
+                while todo and listed < share:
+                    here = todo.popleft()
+                    listed += 1
+                    for i in store.get_file_info(fs.FileSelector(f"{base}/{here}" if here else base)):
+                        inner = i.path[len(base) + 1 :]
+                        if i.type == fs.FileType.Directory:
+                            todo.append(inner)
+                        elif i.type == fs.FileType.File:
+                            rows.append((inner, i.size, False))
+                        if len(rows) >= 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                            rows = []
+                rows += [(f, None, True) for f in todo]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    folders, out = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        found = scratch.save(folders.mapInArrow(run, ddl), f"{at}-{k}")
+        files = found.where("NOT left").select("path", "size_bytes")
+        out = files if out is None else out.unionByName(files)
+        left = found.where("left").select("path")
+        n = left.count()
+        if not n:
+            return out
+        folders, k = left.repartition(min(n, 10_000)), k + 1
 
 
 def read_content(files: DataFrame, root: str) -> DataFrame:
