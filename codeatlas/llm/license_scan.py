@@ -1,8 +1,10 @@
 """License scan: TF-IDF cosine of headers and license files to templates, and inheritance from the nearest ancestor directory.
 
-Three parts of a whole text are compared, as sparse TF-IDF vectors of their words, with templates of their kind: each line
-with notice lines, each block of lines (a comment header, a paragraph; marks of comments are no words) with whole headers, and
-the whole document with whole license texts (folder `licenses`). Words that no template has count in a vector's length;
+Parts of a whole text are compared, as sparse TF-IDF vectors of their words, with templates of their kind: each line with
+notice lines, each block of lines (a comment header, a paragraph; marks of comments are no words) with whole headers, each
+run of comment lines, blank ones among them, with short license texts, and the whole document with whole license texts
+(folder `licenses`). Years and names between a copyright mark and "All rights reserved" are left out; a line with an owner
+counts only where nothing else is found. Words that no template has count in a vector's length;
 counts of blocks and documents are damped. A document's own license is that of its best whole text at or above
 `threshold`, else of its best such header, else of its best such line. A document with such a whole text, or of which
 `file_share` of the words are in such headers and lines, is a license file: it licenses its directory. What has no license
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import cache
 from importlib import resources
 
@@ -29,17 +32,17 @@ from .common import save, scratch_dir
 
 #: Notices by SPDX identifier, a line each.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0"],
-    "MIT": ["Released under the MIT License", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0-only"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "GNU General Public License as published by the Free Software Foundation, either version 2 of the License", "SPDX-License-Identifier: GPL-2.0-only"],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only"],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0", "License: Apache-2.0", "License: Apache License 2.0", "Apache License, Version 2.0", "The Apache License 2.0"],
+    "MIT": ["Released under the MIT License", "Licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT", "License: MIT", "MIT License", "The MIT License (MIT)"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0-only", "License: GPL-3.0", "License: GPLv3", "GNU General Public License v3.0"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "GNU General Public License as published by the Free Software Foundation, either version 2 of the License", "SPDX-License-Identifier: GPL-2.0-only", "License: GPL-2.0", "License: GPLv2", "GNU General Public License v2.0"],
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only", "License: LGPL-3.0", "GNU Lesser General Public License v3.0"],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause", "License: BSD-3-Clause", "BSD 3-Clause License"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0", "License: MPL-2.0", "Mozilla Public License 2.0"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights", "CC0 1.0 Universal"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain", "License: Unlicense", "The Unlicense"],
     "Proprietary": ["All rights reserved"],
 }
 #: Whole headers by SPDX identifier.
@@ -56,12 +59,15 @@ HEADERS = {
     "MIT": ["Use of this source code is governed by an MIT-style license that can be found in the LICENSE file or at https://opensource.org/licenses/MIT."],
 }
 WORD = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
+OWNER = re.compile(r"(?i)(?:copyright|\(c\)|\u00a9).{0,300}?(?=\ball rights reserved\b)")
+#: How a line of a comment begins.
+IN_COMMENT = re.compile(r"\s*(?://|/\*|\*|#|--|;|%|<!--)")
 #: What opens or closes a comment on a line.
 COMMENT = re.compile(r"^[\s/*#;!%<-]*|[\s*/>-]*$")
 
 
 def words(line: str) -> list[str]:
-    return WORD.findall(line.lower())
+    return WORD.findall(OWNER.sub(" ", line).lower())
 
 
 @cache
@@ -70,6 +76,11 @@ def whole_texts() -> dict[str, list[str]]:
     return {f.name.removesuffix(".txt"): [f.read_text("utf-8")] for f in sorted((resources.files(__package__) / "licenses").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 
 
+def short_texts(most: int = 400) -> dict[str, list[str]]:
+    """Whole texts that stand in headers, too."""
+    return {name: texts for name, texts in whole_texts().items() if len(words(texts[0])) <= most}
+
+
 class Matcher:
     """Unit TF-IDF vectors of the templates, by word. `damped` counts grow by their logarithm, so that common words don't outweigh the rest of a long text."""
 
@@ -110,12 +121,13 @@ class Scanner:
     """The three comparisons, with the templates' document frequencies."""
 
     def __init__(self, idf: dict[str, float], unknown: float, threshold: float):
-        self.lines, self.headers, self.whole = Matcher(idf, unknown), Matcher(idf, unknown, HEADERS, damped=True), Matcher(idf, unknown, whole_texts(), damped=True)
+        self.lines, self.short = Matcher(idf, unknown), Matcher(idf, unknown, short_texts(), damped=True)
+        self.headers, self.whole = Matcher(idf, unknown, HEADERS, damped=True), Matcher(idf, unknown, whole_texts(), damped=True)
         self.threshold = threshold
 
     def document(self, text: str | None) -> tuple[str | None, float, float]:
         """License, score, share of words in lines and headers that reach the threshold; all of them where the text is a whole license text."""
-        at_least, best, top, inside, all_words = self.threshold, (None, 0.0), (None, 0.0), 0, Counter()
+        at_least, best, top, owned, inside, all_words = self.threshold, (None, 0.0), (None, 0.0), (0.0, ""), 0, Counter()
         for block in blocks(text or ""):
             found, covered, here = Counter(), 0, 0
             for line in block:
@@ -125,7 +137,9 @@ class Scanner:
                 here += n.total()
                 if name and s >= at_least:
                     covered += n.total()
-                    if s > best[1] or s == best[1] and name < best[0]:
+                    if OWNER.search(line):
+                        owned = max(owned, (s, name))
+                    elif s > best[1] or s == best[1] and name < best[0]:
                         best = (name, s)
             all_words.update(found)
             if len(block) > 1 or covered < here:
@@ -135,11 +149,19 @@ class Scanner:
                     if s > top[1] or s == top[1] and name < top[0]:
                         top = (name, s)
             inside += covered
+        for run in comments(text or ""):
+            found = Counter(w for line in run for w in words(line))
+            name, s = self.short.best(found, at_least)
+            if name and s >= at_least:
+                inside = max(inside, found.total())
+                if s > top[1] or s == top[1] and name < top[0]:
+                    top = (name, s)
         name, s = self.whole.best(all_words, at_least)
         if name and s >= at_least:
             return name, s, 1.0
         total = all_words.total()
-        return *(top if top[0] else best), inside / total if total else 0.0
+        first = top if top[0] else best if best[0] or not owned[0] else owned[::-1]
+        return *first, inside / total if total else 0.0
 
 
 def blocks(text: str) -> list[list[str]]:
@@ -154,6 +176,22 @@ def blocks(text: str) -> list[list[str]]:
     return [b for b in out if b]
 
 
+def comments(text: str, least: int = 5) -> Iterator[list[str]]:
+    """Runs of at least `least` comment lines, those without words among them."""
+    run: list[str] = []
+    closed = True
+    for line in [*text.split("\n"), ""]:
+        if IN_COMMENT.match(line) or not closed:
+            run.append(line)
+            closed = "*/" in line or "-->" in line or closed and "/*" not in line and "<!--" not in line
+        elif run:
+            if len(run) >= least:
+                yield run
+            run = []
+    if len(run) >= least:
+        yield run
+
+
 def template_idf(docs: DataFrame) -> tuple[dict[str, float], float]:
     """Smoothed inverse document frequencies of the templates' words over all documents, and that of a word in none."""
     vocabulary = sorted({w for templates in (TEMPLATES, HEADERS, whole_texts()) for lines in templates.values() for t in lines for w in words(t)})

@@ -518,3 +518,18 @@ def test_language_of_an_empty_table_and_clashing_columns(spark):
     clash = plain.selectExpr("*", "true AS held_out", "'x' AS lang_pred", "9 AS score", "1 AS gram", "2 AS n", "3 AS rank")
     order = lambda df: sorted(map(tuple, df.collect()))
     assert order(language_id.identify(clash)) == order(language_id.identify(plain))
+
+
+def test_copyright_lines_short_names_and_license_texts_in_comments(spark):
+    import textwrap
+
+    mit = license_scan.whole_texts()["MIT"][0]
+    wrapped = "\n".join("// " + x if x else "//" for p in f"Copyright (c) 2020 Foo Inc.\n\n{mit}".split("\n\n") for x in [*textwrap.wrap(" ".join(p.split()), 60), ""])
+    code = "\nint other(int a) { return a + 1; }" * 60
+    cases = [
+        ("Copyright 2020 Foo Inc. All rights reserved.", "Proprietary"), ("(c) 2019 Ann Lee. All rights reserved.", "Proprietary"), ("License: MIT", "MIT"), ("# MIT License", "MIT"), ("License: Apache-2.0" + code, "Apache-2.0"),
+        (wrapped + code, "MIT"), (f"/*\n{mit}\n*/{code}", "MIT"), ("Copyright 2020 A. All rights reserved.\nLicensed under the Apache License, Version 2.0, as of now" + code, "Apache-2.0"),
+        ("Copyright 2021 A B" + code, None), ("# one\n# two\n# three\n# four\n# five\n# six" + code, None), ("the house is under a license of the road", None), ("/* never closed\n" + "word " * 5000, None),
+    ]
+    got = {r["doc_id"]: r["own_license"] for r in license_scan.scan(spark.createDataFrame([(k, f"{k}/x", t) for k, (t, _) in enumerate(cases)], "doc_id long, where string, text string"), F.col("where")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
