@@ -15,7 +15,7 @@ from . import constants as K
 from . import scratch
 from .functions import scalars
 from .functions.patterns import glob_regex
-from .operators import clusters, graph, lookup, postings, ranked, resolution, search, snapshot
+from .operators import clusters, embedding, graph, lookup, postings, ranked, resolution, search, snapshot
 from .operators.segments import Segments
 from .sources import extract, files
 
@@ -35,6 +35,10 @@ class Index:
 
     A run writes segments of what has changed under a new version and then the next manifest; what a query reads is never
     overwritten. What the newest manifest and the one before it list stays, the rest is removed.
+
+    Without an embedder, `embed` learns one from the symbols of the first run that asks for it (`operators/embedding.py`); its
+    model is a table of the index, which later runs and queries use, whether an embedder is passed then or not, until
+    `invalidate_cache`. An index that holds vectors of a passed embedder learns none.
     """
 
     def __init__(self, spark: SparkSession, home: str, embedder: Embedder | None = None):
@@ -138,15 +142,23 @@ class Index:
         found = new.add("files", read.withColumn("indexed_at", F.current_timestamp()), ["path"], small)
         dead = save(status.where("status IN ('changed', 'deleted')").select("path"), "dead")
         symbols = resolution.with_ids(extract.extract_symbols(found), F.lit(repo))
-        if embed and self.embedder:
-            text = scalars.embed_text(F.col("language"), F.col("kind"), F.col("name"), F.col("signature"), F.col("docstring"))
-            symbols = symbols.withColumn("embedding", _embed(text, self.embedder))
+        shown = scalars.embed_text(F.col("language"), F.col("kind"), F.col("name"), F.col("signature"), F.col("docstring"))
+        own = any(old.rows("model"))
+        if embed and not own and not self.embedder and not any(old.rows("vectors")):
+            symbols, own = save(symbols, "symbols"), True
+            held_too = old.live("symbols").join(dead, "path", "left_anti") if m else symbols.limit(0)
+            learnt = symbols.select(embedding.buckets(shown).alias("words")).unionByName(held_too.select(embedding.buckets(shown).alias("words")))
+            new.add("model", embedding.fit(learnt, "words").table(self.spark), ["bucket"], True)
+        if embed and own:
+            symbols = embedding.embedded(symbols, embedding.buckets(shown), embedding.read(new.live("model")))
+        elif embed and self.embedder:
+            symbols = symbols.withColumn("embedding", _embed(shown, self.embedder))
         else:
             symbols = symbols.withColumn("embedding", F.lit(None).cast("array<float>"))
         symbols = new.add("symbols", symbols, ["path", "line"], small)
         held = (m or {}).get("centres", [])
         vectors = symbols.where("embedding IS NOT NULL").select("id", "path", "embedding")
-        held = held or (clusters.centres(vectors, "embedding") if embed and self.embedder else [])
+        held = held or (clusters.centres(vectors, "embedding") if embed and (own or self.embedder) else [])
         new.add("vectors", clusters.assigned(vectors, "embedding", held), ["cluster", "away"], small)
         if m:
             edges, replaced = resolution.update(old.live("edges"), old.live("names"), dead, symbols, save)
@@ -249,14 +261,24 @@ class Index:
         top = self._search(repo, "names", query, 2 * limit)
         text = s.join(top.withColumnRenamed("key", "id"), "id")
         arms = [search.ranked(text, F.desc("score"), "id").select("qualified_name", "kind", "pos")]
-        if self.embedder and any(self._segments(repo).rows("vectors")):
-            near, _ = clusters.nearest(self.table(repo, "vectors"), self._manifest(repo)["centres"], self.embedder([query])[0], "id", "embedding", 2 * limit)
+        asked = self._asked(repo, query)
+        if asked is not None:
+            near, _ = clusters.nearest(self.table(repo, "vectors"), self._manifest(repo)["centres"], asked, "id", "embedding", 2 * limit)
             near = near.select("id", "distance").join(s.select("id", "qualified_name", "kind"), "id")
             arms.append(search.ranked(near, "distance", "id").select("qualified_name", "kind", "pos"))
         fused = search.fuse(arms, "qualified_name", limit, kind).withColumn("search_type", F.lit("hybrid" if len(arms) > 1 else "fts_only"))
         shown = s.groupBy("qualified_name").agg(F.min_by(F.struct(F.col("path").alias("file"), "line", "signature", F.substring("docstring", 1, 100).alias("docstring")), F.struct("path", "line")).alias("s"))
         return fused.join(shown, "qualified_name").select("qualified_name", "kind", "s.*", "score", "search_type").orderBy(F.desc("score"), "qualified_name")
 
+    def _asked(self, repo: str, query: str) -> Sequence[float] | None:
+        """A query's vector by what made the index's vectors; None where there are none, or no word in the query."""
+        held = self._segments(repo)
+        if not any(held.rows("vectors")):
+            return None
+        if any(held.rows("model")):
+            return embedding.ask(self.spark, query, held.live("model"))
+        return self.embedder([query])[0] if self.embedder else None
+
     def search_text(self, repo: str, query: str, glob: str | None = None, limit: int = 20) -> DataFrame:
         """path, snippet, score. Only the terms of the query, and the texts of the hits that are shown, are read."""
         where = F.col("key").rlike(glob_regex(glob)) if glob else None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .. import scratch
 from ..functions import patterns, scalars
-from ..operators import clusters, graph, lookup, postings, ranked, resolution, search, snapshot
+from ..operators import clusters, embedding, graph, lookup, postings, ranked, resolution, search, snapshot
 from ..operators.segments import Segments
 from ..sources import extract, files
 from ..streaming import ingest
@@ -577,3 +577,28 @@ def callees_depth_first(spark, d):
     """A depth-first walk; SQL has no visited set, so tests compare it with a recursive one."""
     e = V.sparse_edges(spark, d)
     return graph.callees_depth_first(e, e.select(F.col("caller").alias("name")), "n1", 5)
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(regexp_replace(text, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g')), '[\p{L}\p{M}]+|\p{N}+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM t), h AS (SELECT doc_id, i, (('0x' || left(md5(w), 8))::BIGINT % 16384)::INT AS b FROM u),
+p AS (SELECT b AS x, unnest([lead(b, 1) OVER o, lead(b, 2) OVER o, lead(b, 3) OVER o, lead(b, 4) OVER o]) AS y, unnest([4, 3, 2, 1]) AS n FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT x, y, n FROM p WHERE y IS NOT NULL UNION ALL SELECT y, x, n FROM p WHERE y IS NOT NULL)
+SELECT x AS bucket, sum(n)::BIGINT AS n, count(DISTINCT y) AS contexts FROM m GROUP BY x""")
+def embed_contexts(spark, d):
+    """What the embedder's matrix holds of each bucket: its weight, and how many buckets it meets."""
+    texts = V.table(spark, d, "documents").select(embedding.buckets(F.col("text")).alias("words"))
+    return embedding.marginals(embedding.context_counts(texts, "words"))
+
+
+@query()
+def hybrid_learnt(spark, d):
+    """Phrase search fused with the nearest learnt vectors, over documents; tests hold the vectors against a dense decomposition."""
+    docs, at = V.table(spark, d, "documents").select("doc_id", "text"), scratch.folder(spark)
+    words = scratch.save(docs.select("doc_id", embedding.buckets(F.col("text")).alias("words")), f"{at}-words")
+    model = embedding.fit(words, "words")
+    vectors = embedding.embedded(words, F.col("words"), model).where("embedding IS NOT NULL").select("doc_id", "embedding")
+    held = scratch.save(model.table(spark), f"{at}-model")
+    near = search.nearest(vectors, embedding.ask(spark, PHRASE, held), "doc_id", "embedding", 40)
+    found = search.search_phrase(docs, ["text"], PHRASE, "doc_id", 40)
+    arms = [search.ranked(found, F.desc("score"), "doc_id"), search.ranked(near, "distance", "doc_id")]
+    return search.fuse([a.select("doc_id", F.lit("text").alias("kind"), "pos") for a in arms], "doc_id", 20)
