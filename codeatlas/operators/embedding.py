@@ -179,8 +179,9 @@ def product(matrix: DataFrame, names: np.ndarray, q: np.ndarray) -> np.ndarray:
             met[row] = True
             for s in range(0, len(w), ENTRIES_AT_ONCE):
                 r, c = row[s : s + ENTRIES_AT_ONCE], col[s : s + ENTRIES_AT_ONCE]
-                first = np.flatnonzero(np.diff(r, prepend=-1))
-                np.add.at(total, r[first], np.add.reduceat(w[s : s + ENTRIES_AT_ONCE, None] * q[c], first, axis=0))
+                first = np.flatnonzero(np.diff(r, prepend=-1)).tolist()
+                for x, y in zip(first, [*first[1:], len(r)]):
+                    total[r[x]] += w[s + x : s + y] @ q[c[x:y]]
         rows = np.flatnonzero(met) if met is not None else []
         for s in range(0, len(rows), ROWS_AT_ONCE):
             some = rows[s : s + ROWS_AT_ONCE]
