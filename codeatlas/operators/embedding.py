@@ -43,6 +43,7 @@ def buckets(text: Column, n: int = BUCKETS) -> Column:
 def context_counts(texts: DataFrame, column: str, window: int = WINDOW) -> DataFrame:
     """a <= b, n: how often two buckets stand d words apart, summed over d up to `window` with weight window + 1 - d."""
     schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+    bits = window.bit_length()
 
     def run(batches):
         for batch in batches:
@@ -50,16 +51,18 @@ def context_counts(texts: DataFrame, column: str, window: int = WINDOW) -> DataF
             words = held.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             text = np.repeat(np.arange(len(held)), held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             for start in range(0, len(words), WORDS_AT_ONCE):
-                keys, weights = [], []
+                keys = []
                 for d in range(1, window + 1):
                     here = np.arange(start, max(start, min(start + WORDS_AT_ONCE, len(words) - d)))
                     here = here[text[here] == text[here + d]]
                     x, y = words[here], words[here + d]
-                    keys.append(np.minimum(x, y) << 32 | np.maximum(x, y))
-                    weights.append(np.full(len(here), window + 1 - d))
-                pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
-                n = np.bincount(at, np.concatenate(weights), len(pairs)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], schema=schema)
+                    # The weight stands in the lowest bits, so that sorting needs no order of its own.
+                    keys.append((np.minimum(x, y) << 31 | np.maximum(x, y)) << bits | window + 1 - d)
+                keys = np.sort(np.concatenate(keys))
+                pairs = keys >> bits
+                first = np.flatnonzero(np.diff(pairs, prepend=-1))
+                pairs, n = pairs[first], np.add.reduceat(keys & (1 << bits) - 1, first) if len(first) else first
+                yield pa.RecordBatch.from_arrays([pa.array((pairs >> 31).astype(np.int32)), pa.array((pairs & 0x7FFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], schema=schema)
 
     counted = texts.where(F.col(column).isNotNull()).select(column).mapInArrow(run, "a int, b int, n long")
     return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
