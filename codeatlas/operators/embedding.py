@@ -167,8 +167,8 @@ def leading(matrix: DataFrame, names: np.ndarray, k: int, passes: int = PASSES)
 
 
 def product(matrix: DataFrame, names: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The matrix times q: each task multiplies the entries it reads and sends a row of the result for each row it met."""
-    held = matrix.sparkSession.sparkContext.broadcast((names, q))
+    """The matrix times q: each task multiplies the entries it reads, in single precision, and sends a row of the result for each row it met."""
+    held = matrix.sparkSession.sparkContext.broadcast((names, q.astype(np.float32)))
     schema = pa.schema([("i", pa.int32()), ("v", pa.binary())])
 
     def run(batches):
@@ -176,7 +176,7 @@ def product(matrix: DataFrame, names: np.ndarray, q: np.ndarray) -> np.ndarray:
         total, met = None, None
         for batch in batches:
             row, col = (np.searchsorted(names, batch.column(c).to_numpy()) for c in (0, 1))
-            w = batch.column(2).to_numpy().astype(np.float64)
+            w = batch.column(2).to_numpy().astype(np.float32)
             if total is None:
                 total, met = np.zeros(q.shape), np.zeros(len(names), bool)
             met[row] = True
@@ -194,7 +194,7 @@ def product(matrix: DataFrame, names: np.ndarray, q: np.ndarray) -> np.ndarray:
     sent = matrix.select("a", "b", "w").mapInArrow(run, "i int, v binary").toArrow()
     for i, v in zip(sent["i"].to_pylist(), sent["v"]):
         out[i] += np.frombuffer(v.as_buffer(), np.float64)
-    held.unpersist()
+    held.destroy()  # its copies on disk, too
     return out
 
 
