@@ -7,7 +7,8 @@ distance to it) in blocks of rows. By the triangle inequality, an x of key t lie
 distance d from the pivot, so a wanted range of scores is, around each pivot, an interval of keys. A search visits the
 cells of keys (a bounded directory of them is sent to tasks) in the order of that lower bound, in rounds: about 1/16 of
 the rows, then 1/4, then all that the bound still admits. It ends when no unvisited cell can hold a row as good as the last
-one found, so results are exact. Queries travel in blocks of neighbours, and a block meets a cell's blocks by a join.
+one found, so results are exact. Queries travel in blocks of neighbours. Cells are dealt to parts of a bounded size, and a
+query block goes once to each part of which it visits a cell, not once to each cell.
 
 Of rows with the same vector and label only the smallest `positives + 1` vec_ids are stored: no other can be among the
 first, as they come after those at the same score. Anchors with the same vector and label are one query.
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import blocks as groups
 from . import common, whitening
 
 #: Rounds: the share of all rows that each may visit, and the rows that it may in any case.
@@ -132,8 +134,8 @@ def build(rows: DataFrame, width: int, folder: str, pivots: int = 32, cells: int
         return None
     pivots = min(pivots, max(1, top["n"] // block))
     cells = min(cells, max(1, top["n"] // (pivots * block)))
-    drawn = rows.select("v", F.xxhash64("v", "vec_id").alias("h")).orderBy("h", "v").limit(sample).collect()
-    x = np.frombuffer(b"".join(r["v"] for r in drawn), "<i4").reshape(-1, width).astype(np.float64)
+    drawn = groups.sample(rows.select("v", "vec_id"), F.xxhash64("v", "vec_id"), sample, top["n"], "v")
+    x = vectors(drawn["v"], width).astype(np.float64)
     whole = np.concatenate([x, np.sqrt(np.maximum(top["longest"] - np.einsum("ij,ij->i", x, x), 0))[:, None]], axis=1)
     keys = Keys(clusters(whole, pivots), top["longest"], [])
     d = keys.distances(x, True)
@@ -235,7 +237,7 @@ def best(scores: np.ndarray, fits: np.ndarray, k: int, small: bool) -> tuple[np.
     return row[held], column[held]
 
 
-def search(index: Index, wanted: DataFrame, k: int, same: bool, folder: str, most_held: int = 200_000) -> DataFrame:
+def search(index: Index, wanted: DataFrame, k: int, same: bool, folder: str) -> DataFrame:
     """qb, item, score, vec_id, rank of the first k rows of each wanted range.
 
     wanted: qb, v and labels (packed) of a block of queries; of (which query), lowest and highest (scores) of each range, as
@@ -245,8 +247,11 @@ def search(index: Index, wanted: DataFrame, k: int, same: bool, folder: str, mos
     longest, total = keys.longest, int(count.sum())
     names = ["qb", "v", "labels", "of", "lowest", "highest"]
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-    schema = pa.schema([("qb", pa.int64()), ("v", pa.binary()), ("labels", pa.binary()), ("of", ints), ("lowest", longs), ("highest", longs), ("seen", ints), ("cells", ints)])
-    shape = "qb long, v binary, labels binary, of array<int>, lowest array<long>, highest array<long>, seen array<int>, cells array<int>"
+    schema = pa.schema([("qb", pa.int64()), ("v", pa.binary()), ("labels", pa.binary()), ("of", ints), ("lowest", longs), ("highest", longs), ("seen", ints), ("cells", ints), ("parts", ints)])
+    shape = "qb long, v binary, labels binary, of array<int>, lowest array<long>, highest array<long>, seen array<int>, cells array<int>, parts array<int>"
+    spark = wanted.sparkSession
+    first, splits = groups.parts(count.tolist(), groups.rows_of_part(total, width, common.partitions(spark)))
+    dealt = spark.createDataFrame([(int(c), int(f), int(n)) for c, f, n in zip(cells, first, splits)], "cell int, first int, splits int")  # a row for each cell
 
     def ranges(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.array(r["of"], np.int64), np.array(r["lowest"], np.int64), np.array(r["highest"], np.int64)
@@ -269,65 +274,69 @@ def search(index: Index, wanted: DataFrame, k: int, same: bool, folder: str, mos
                     todo = [c for c in np.argsort(bound, kind="stable").tolist() if bound[c] < np.inf and c not in seen]
                     ends = np.cumsum(count[todo]) if todo else np.zeros(0)
                     todo = todo[: int(np.searchsorted(ends, allowed)) + 1]
-                    out = {c: [r[c]] for c in names} | {"lowest": [lowest], "seen": [sorted(seen.union(todo))], "cells": [cells[todo].tolist() if todo else []]}
+                    visits = np.unique(np.concatenate([np.arange(first[c], first[c] + splits[c]) for c in todo])) if todo else []
+                    out = {c: [r[c]] for c in names} | {"lowest": [lowest], "seen": [sorted(seen.union(todo))], "cells": [cells[todo].tolist() if todo else []], "parts": [visits]}
                     yield pa.RecordBatch.from_pydict(out, schema)
 
         return run
 
-    def score(batches):
-        held: dict[int, list] = {}
-        rows_held = 0
-
-        def flush():
-            nonlocal held, rows_held
-            out = [np.concatenate(c) for c in zip(*(merged(parts, qb) for qb, parts in held.items()))]
-            held, rows_held = {}, 0
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["qb", "item", "score", "vec_id"])
-
-        def merged(parts, qb):
-            item, s, i = (np.concatenate(c) for c in zip(*parts))
-            order = np.lexsort((i, -s, item))
-            item, s, i = item[order], s[order], i[order]
-            starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else np.zeros(0, np.int64)
-            place = np.arange(len(item)) - np.repeat(starts, np.diff(np.r_[starts, len(item)]))
-            keep = place < k
-            return np.full(keep.sum(), qb, np.int64), item[keep].astype(np.int32), s[keep], i[keep]
-
-        for b in batches:
-            for r in b.to_pylist():
-                q = np.frombuffer(r["v"], "<i4").reshape(-1, width)
-                x = np.frombuffer(r["bv"], "<i4").reshape(-1, width)
-                of, lowest, highest = ranges(r)
-                doubles = q.astype(np.float64)
-                near = keys.distances(doubles, False)[of][:, r["pivot"]][:, None]
-                bound = admits(near, np.einsum("ij,ij->i", doubles, doubles)[of], longest, lowest.astype(float), highest.astype(float), np.array([r["low"]]), np.array([r["high"]]))
+    def merged(held):
+        """The first k of each range, and the ranges' lowest scores that still count."""
+        item, s, i = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((i, -s, item))
+        item, s, i = item[order], s[order], i[order]
+        starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
+        place = np.arange(len(item)) - np.repeat(starts, np.diff(np.r_[starts, len(item)]))
+        full = place == k - 1
+        return (item[place < k], s[place < k], i[place < k]), (item[full], s[full])
+
+    def score(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        kept = [(r, np.frombuffer(r["bv"], "<i4").reshape(-1, width).astype(np.float64 if small else np.int64)) for r in stored.select(["cell", "pivot", "low", "high", "ids", "blabels", "bv"]).to_pylist()]
+        out = []
+        for b in asked.to_batches(1):
+            (r,) = b.to_pylist()
+            q = np.frombuffer(r["v"], "<i4").reshape(-1, width).astype(np.float64)
+            exact = q if small else q.astype(np.int64)
+            of, lowest, highest = ranges(r)
+            near, squares, labels, visited = keys.distances(q, False), np.einsum("ij,ij->i", q, q)[of], np.frombuffer(r["labels"], "<i8")[of], set(r["cells"])
+            held, rows_held = [], 0
+            for block, x in kept:
+                if block["cell"] not in visited:
+                    continue
+                bound = admits(near[of, block["pivot"]][:, None], squares, longest, lowest.astype(float), highest.astype(float), np.array([block["low"]]), np.array([block["high"]]))
                 items = np.flatnonzero(bound[:, 0] < np.inf)
-                if not len(items):
+                s = (exact @ x.T)[of[items]]
+                fits = (s >= lowest[items][:, None]) & (s <= highest[items][:, None])
+                fits &= (labels[items][:, None] == np.frombuffer(block["blabels"], "<i8")[None]) == same
+                some = np.flatnonzero(fits.any(axis=1))
+                if not len(some):
                     continue
-                s = doubles @ x.astype(np.float64).T if small else q.astype(np.int64) @ x.astype(np.int64).T
-                s = s[of[items]]
-                mine, theirs = np.frombuffer(r["labels"], "<i8")[of[items]], np.frombuffer(r["blabels"], "<i8")
-                fits = ((mine[:, None] == theirs[None]) == same) & (s >= lowest[items][:, None]) & (s <= highest[items][:, None])
-                row, column = best(s, fits, k, small)
-                if len(row):
-                    held.setdefault(r["qb"], []).append((items[row], s[row, column].astype(np.int64), np.frombuffer(r["ids"], "<i8")[column]))
-                    rows_held += len(row)
-                    if rows_held >= most_held:
-                        yield flush()
-        if rows_held:
-            yield flush()
+                row, column = best(s[some], fits[some], k, small)
+                held.append((items[some[row]], s[some[row], column].astype(np.int64), np.frombuffer(block["ids"], "<i8")[column]))
+                rows_held += len(row)
+                if rows_held >= 4 * k * len(of):
+                    one, (item, least) = merged(held)
+                    held, rows_held = [one], len(one[0])
+                    lowest[item] = np.maximum(lowest[item], least)
+            if held:
+                item, s, i = merged(held)[0]
+                out.append((np.full(len(item), r["qb"], np.int64), item.astype(np.int32), s, i))
+        whole = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64)]
+        return pa.table([pa.array(c) for c in whole], names=["qb", "item", "score", "vec_id"])
 
     state = wanted.select(*names, F.lit(None).cast("array<int>").alias("seen"), F.lit(None).cast("array<struct<item:int,score:bigint>>").alias("found"))
     found = None
-    blocks = index.blocks.select("cell", "pivot", "low", "high", "ids", F.col("labels").alias("blabels"), F.col("v").alias("bv"))
+    blocks = index.blocks.select("cell", "pivot", "low", "high", "ids", F.col("labels").alias("blabels"), F.col("v").alias("bv")).join(F.broadcast(dealt), "cell")
+    blocks = blocks.withColumn("part", F.col("first") + F.pmod(F.xxhash64("ids"), F.col("splits").cast("long")).cast("int")).drop("first", "splits")
     for n, share in enumerate(SHARES):
         allowed = total if share >= 1 else max(AT_LEAST, share * total)
         state = common.save(state.mapInArrow(choose(allowed), shape), f"{folder}-{n}-state")
-        if not state.where("size(cells) > 0").limit(1).count():
+        size = state.where("size(cells) > 0").agg(F.count("*").alias("n"), F.sum(F.length("v") + F.size("of") * F.lit(24)).alias("bytes")).first()
+        if not size["n"]:
             break
-        met = state.select(*names, F.explode("cells").alias("cell")).join(blocks, "cell")
-        with common.small_batches(state.sparkSession, 16):
-            got = met.mapInArrow(score, "qb long, item int, score long, vec_id long")
+        asked = state.select(*names, "cells", F.explode("parts").alias("part"))
+        with common.small_batches(spark, 64):
+            got = groups.meet(asked, blocks, "qb", -(-size["bytes"] // groups.ASKED), score, "qb long, item int, score long, vec_id long")
             got = got if found is None else got.unionByName(found.drop("rank"))
             rank = F.row_number().over(Window.partitionBy("qb", "item").orderBy(F.desc("score"), "vec_id"))
             found = common.save(got.withColumn("rank", rank).where(F.col("rank") <= k), f"{folder}-{n}-found")
