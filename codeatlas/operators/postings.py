@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import scratch
 from ..functions import scalars
 
 #: A term that many rows hold is spread over as many files and tasks as its rows need.
@@ -26,9 +27,9 @@ def lengths(df: DataFrame, key: str, columns: Sequence[str], *carried: str) -> D
     return df.select(F.col(key).alias("key"), *carried, sum((scalars.token_count(F.col(c)) for c in columns), F.lit(0).cast("long")).alias("len"))
 
 
-def write(df: DataFrame, path: str) -> None:
-    """By ranges of (term, key): a query reads its terms' row groups only."""
-    df.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).write.mode("overwrite").parquet(path)
+def write(df: DataFrame, path: str, rows: int = 0) -> None:
+    """By ranges of (term, key): a query reads its terms' row groups only. rows: how many there are, if known, for as many partitions as these need."""
+    scratch.by_range(df, rows, ORDER).write.mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, path: str, key_type: str) -> DataFrame:

@@ -18,45 +18,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import constants as K
+from .. import scratch
 from ..functions import scalars
 from . import postings
 
 CHUNK = 256
+#: Rows that a task holds while it cuts them.
+ROWS_AT_ONCE = 100_000
 #: Chunks that one wave reads at most.
 MOST_RANGES = 500
 
 
 def chunks(found: DataFrame, lens: DataFrame) -> DataFrame:
     """term, first, last, keys, tfs, lens of postings (term, key) and lengths (key, len). A frequent term lies in many partitions."""
-    tf = found.groupBy("term", "key").agg(F.count("*").alias("tf"))
-    rows = tf.join(lens.select("key", "len"), "key").select("term", "key", "tf", F.col("len").cast("long").alias("len"))
+    spark = found.sparkSession
+    total = found.count()
+    n = scratch.partitions(spark, total)
+    tf = found.select("term", "key").repartition(n, "key").groupBy("key", "term").agg(F.count("*").alias("tf"))  # the join needs no other shuffle
+    rows = tf.join(lens.select("key", "len").repartition(n, "key"), "key").select("term", "key", "tf", F.col("len").cast("long").alias("len"))
     kind = rows.schema["key"].dataType
 
     def run(batches):
-        whole = [b for b in batches if len(b)]
-        if not whole:
-            return
-        held = pa.Table.from_batches(whole).combine_chunks()
+        held, rows_held = [], 0
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                rows_held += len(batch)
+            if rows_held >= ROWS_AT_ONCE:
+                one, rest = cut(held, False)
+                held, rows_held = rest.to_batches() if len(rest) else [], len(rest)
+                yield from one.to_batches()
+        if held:
+            yield from cut(held, True)[0].to_batches()
+
+    def cut(batches, last):
+        """The chunks of these rows, and the rows that wait: those of the last term that fill no chunk yet, unless they are the last."""
+        held = pa.Table.from_batches(batches).combine_chunks()
         term = held["term"].combine_chunks().dictionary_encode()
         code, tf, size = term.indices.to_numpy(), held["tf"].to_numpy(), held["len"].to_numpy()
         starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
         ends = np.r_[starts[1:], len(code)]
-        out = []
+        out, done = [], 0
         for a, b in zip(starts.tolist(), ends.tolist()):
             for i in range(a, b, CHUNK):
                 j = min(i + CHUNK, b)
+                if not last and b == len(code) and j - i < CHUNK:
+                    break
                 order = np.lexsort((size[i:j], -tf[i:j])) + i  # by falling tf: a pair counts if it is shorter than all before
                 least = np.minimum.accumulate(size[order])
                 kept = order[np.r_[True, size[order][1:] < least[:-1]]]
                 out.append((i, j - 1, j - i, tf[kept].tolist(), size[kept].tolist()))
-        at, last, n, tfs, sizes = (list(c) for c in zip(*out))
-        for i in range(0, len(at), 20_000):
-            cut = slice(i, i + 20_000)
-            yield pa.RecordBatch.from_arrays([held["term"].take(at[cut]).combine_chunks(), held["key"].take(at[cut]).combine_chunks(), held["key"].take(last[cut]).combine_chunks(), pa.array(n[cut], pa.int64()), pa.array(tfs[cut], pa.list_(pa.int64())), pa.array(sizes[cut], pa.list_(pa.int64()))], schema=schema)
+                done = j
+        at, ends, n, tfs, sizes = (list(c) for c in zip(*out))
+        columns = [held["term"].take(at).combine_chunks(), held["key"].take(at).combine_chunks(), held["key"].take(ends).combine_chunks(), pa.array(n, pa.int64()), pa.array(tfs, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(columns, schema=schema), held.slice(done)
 
     schema = pa.schema([("term", pa.string()), ("first", to_arrow_type(kind)), ("last", to_arrow_type(kind)), ("keys", pa.int64()), ("tfs", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64()))])
     name = kind.simpleString()
-    return rows.repartitionByRange(*postings.ORDER).sortWithinPartitions(*postings.ORDER).mapInArrow(run, f"term string, first {name}, last {name}, keys long, tfs array<long>, lens array<long>")
+    return scratch.by_range(rows, total, postings.ORDER).mapInArrow(run, f"term string, first {name}, last {name}, keys long, tfs array<long>, lens array<long>")
 
 
 def score(tf: Column, size: Column, n: int, total: int, met: int) -> Column:

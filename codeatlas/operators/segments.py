@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .. import scratch
+
 TOMBSTONES = {"dead_paths": ["path"], "dead_calls": ["caller_id", "pos"]}
 #: Tombstones up to this many are sent to every task; more are joined.
 MOST_SENT = 100_000
@@ -43,13 +45,13 @@ class Segments:
     def versions(self) -> set[str]:
         return {s["at"].partition("/")[0] for t in self.state["tables"].values() for s in t["segments"]}
 
-    def add(self, name: str, df: DataFrame, order: Sequence[str], small: bool = False) -> DataFrame:
-        """Write `df` as the table's next segment, and return it; small: as one file, without looking for ranges first."""
+    def add(self, name: str, df: DataFrame, order: Sequence[str], small: bool = False, rows: int = 0) -> DataFrame:
+        """Write `df` as the table's next segment, and return it; small: as one file, without looking for ranges first; rows: about how many there are, if known, for as many partitions as these need."""
         table = self.state["tables"].setdefault(name, {"order": list(order), "segments": []})
         df = df if "gen" in df.columns else df.withColumn("gen", F.lit(self.gen))
         at = f"{self.version}/{name}-{len(table['segments'])}"
-        dealt = df.coalesce(1) if small else df.repartitionByRange(*order)
-        dealt.sortWithinPartitions(*order).write.parquet(f"{self.base}/{at}")
+        dealt = df.coalesce(1).sortWithinPartitions(*order) if small else scratch.by_range(df, rows, order)
+        dealt.write.parquet(f"{self.base}/{at}")
         table.setdefault("schema", df.schema.json())
         out = self.spark.read.schema(df.schema).parquet(f"{self.base}/{at}")
         table["segments"].append({"at": at, "rows": out.count()})
@@ -89,9 +91,9 @@ class Segments:
             if whole and name in TOMBSTONES:
                 continue
             if whole or name in TOMBSTONES:
-                out.add(name, self.live(name), table["order"])
+                out.add(name, self.live(name), table["order"], rows=sum(self.rows(name)))
             else:
                 out.state["tables"][name] = table | {"segments": table["segments"][:1]}
                 if len(table["segments"]) > 1:
-                    out.add(name, self.live(name, 1), table["order"])
+                    out.add(name, self.live(name, 1), table["order"], rows=sum(self.rows(name)[1:]))
         return out

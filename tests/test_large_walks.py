@@ -1,6 +1,7 @@
 import pytest
 
-from codeatlas.operators import graph
+from codeatlas import scratch
+from codeatlas.operators import graph, postings, ranked
 
 
 def brute(edges, names):
@@ -24,3 +25,23 @@ def test_names_whose_segment_is_met_are_not_joined_again(spark, monkeypatch, sen
     steps = [(f"n.{i}", f"n.{i // 2}", 1) for i in range(1, 200)]
     up = graph.callers(spark.createDataFrame(steps, "caller string, callee string, line int"), "n.5", 3)
     assert sorted((r["caller"], r["depth"]) for r in up.collect()) == sorted((f"n.{i}", k) for k, of in ((1, (10, 11)), (2, range(20, 24)), (3, range(40, 48))) for i in of)
+
+
+def test_chunks_are_cut_from_a_stream(spark, monkeypatch):
+    """A task holds few rows, whatever its partition."""
+    monkeypatch.setattr(ranked, "CHUNK", 16)
+    df = spark.createDataFrame([(i, "all " * (i % 4 + 1) + "abc"[i % 3]) for i in range(900)], "id long, t string").coalesce(1)
+    found, lens = postings.occurrences(df, "id", ["t"]), postings.lengths(df, "id", ["t"])
+    monkeypatch.setattr(ranked, "ROWS_AT_ONCE", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")
+    rows = ranked.chunks(found, lens).where("term = 'all'").orderBy("first").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r["keys"] for r in rows) == 900 and max(r["keys"] for r in rows) == 16 and len(rows) <= 900 // 16 + 5
+    assert all(a["last"] < b["first"] for a, b in zip(rows, rows[1:])) and all(max(r["tfs"]) == 4 for r in rows)
+
+
+def test_a_shuffle_has_as_many_partitions_as_rows_need(spark, tmp_path):
+    assert scratch.partitions(spark, 0) == 4 and scratch.partitions(spark, 5_000_000) == 10
+    df = spark.range(1000).selectExpr("id AS key", "0 AS part", "0 AS pos", "string(id) AS term")
+    postings.write(df, str(tmp_path / "t"), 5_000_000)
+    assert len(list((tmp_path / "t").glob("part-*"))) == 10
