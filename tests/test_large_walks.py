@@ -45,3 +45,17 @@ def test_a_shuffle_has_as_many_partitions_as_rows_need(spark, tmp_path):
     df = spark.range(1000).selectExpr("id AS key", "0 AS part", "0 AS pos", "string(id) AS term")
     postings.write(df, str(tmp_path / "t"), 5_000_000)
     assert len(list((tmp_path / "t").glob("part-*"))) == 10
+
+
+def test_joins_are_not_repeated_in_each_branch_of_a_union(spark, monkeypatch):
+    """Before, a task that read all branches held the sorts of all of them."""
+    monkeypatch.setattr(graph, "MOST_SENT", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    part = lambda a: spark.range(30).selectExpr(f"'{a}.' || id AS qualified_name", f"'{a}' AS kind", "id AS line", f"'{a}.py' AS path")
+    symbols = part("a").unionByName(part("b")).unionByName(part("c"))
+    rows = spark.range(9).selectExpr("'b.' || id * 4 AS caller")
+    got = graph.with_definitions(rows, symbols, "caller", "caller")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Join ") == 2
+    assert sorted(map(tuple, got.collect())) == sorted((f"b.{4 * i}", "b" if 4 * i < 30 else None, 4 * i if 4 * i < 30 else None, "b.py" if 4 * i < 30 else None) for i in range(9))
