@@ -29,6 +29,8 @@ BUCKETS, DIMS, WINDOW = 16384, 384, 4
 EXTRA, PASSES, SMOOTH = 32, 4, 0.75
 #: A word of this share of all words weighs half as much as a rare one.
 HALF = 1e-3
+#: Whole texts that a task holds at once while contexts are counted.
+TEXTS_AT_ONCE = 256
 #: Words whose pairs are counted at once, entries multiplied at once, and rows of a batch that is sent.
 WORDS_AT_ONCE, ENTRIES_AT_ONCE, ROWS_AT_ONCE = 1 << 19, 4096, 512
 
@@ -126,7 +128,13 @@ def fit(texts: DataFrame, column: str, dims: int = DIMS, window: int = WINDOW, p
     """Learn from texts given as `buckets`. Of few distinct buckets (at most dims + EXTRA) the directions are exact."""
     spark = texts.sparkSession
     at = scratch.folder(spark)
-    counts = scratch.save(context_counts(texts, column, window), f"{at}-counts")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(TEXTS_AT_ONCE))
+    try:
+        counts = scratch.save(context_counts(texts, column, window), f"{at}-counts")
+    finally:
+        spark.conf.set(size, before)
     sums = marginals(counts).select("bucket", "n").orderBy("bucket").toArrow()
     names, n = sums["bucket"].to_numpy().astype(np.int64), sums["n"].to_numpy().astype(np.float64)
     if not len(names):

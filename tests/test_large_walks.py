@@ -1,7 +1,7 @@
 import pytest
 
 from codeatlas import scratch
-from codeatlas.operators import graph, postings, ranked
+from codeatlas.operators import embedding, graph, postings, ranked
 
 
 def brute(edges, names):
@@ -59,3 +59,13 @@ def test_joins_are_not_repeated_in_each_branch_of_a_union(spark, monkeypatch):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Join ") == 2
     assert sorted(map(tuple, got.collect())) == sorted((f"b.{4 * i}", "b" if 4 * i < 30 else None, 4 * i if 4 * i < 30 else None, "b.py" if 4 * i < 30 else None) for i in range(9))
+
+
+def test_few_whole_texts_are_held_while_contexts_are_counted(spark, monkeypatch):
+    seen, save = [], scratch.save
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(scratch, "save", lambda df, path: seen.append((path.rpartition("-")[2], spark.conf.get(size))) or save(df, path))
+    before = spark.conf.get(size)
+    words = spark.range(600).selectExpr("array(int(id % 5), int(id % 3), int(id % 7)) AS words")
+    assert len(embedding.fit(words, "words").buckets) > 0
+    assert dict(seen)["counts"] == "256" and dict(seen)["matrix"] == before == spark.conf.get(size)
