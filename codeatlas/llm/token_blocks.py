@@ -108,7 +108,7 @@ class Encoder:
     TAIL = ".,;:!?"
     TAIL_BYTES = TAIL.encode()
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -166,16 +166,27 @@ class Encoder:
                 gc.enable()
 
 
+#: Documents in an Arrow batch: long texts lie in a worker several times.
+BATCH = 1000
+
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, kept between its tasks."""
+    """One for each Python worker, kept between its tasks, until `forget`."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def forget() -> None:
+    """Let go of the worker's encoders: an idle worker would keep their words while other stages run beside it."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def slices(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about `most` bytes, at least one text each."""
     start = size = 0
@@ -230,7 +241,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, sh
     schema = pa.schema([("path", pa.string()), ("first", pa.int64()), ("tie", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ranged = kept.repartitionByRange(common.partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    listed = common.save(ranged.mapInArrow(shards, "path string, first long, tie long, n_docs long, n_tokens long"), f"{folder}-manifest")
+    with common.small_batches(docs.sparkSession, BATCH):
+        listed = common.save(ranged.mapInArrow(shards, "path string, first long, tie long, n_docs long, n_tokens long"), f"{folder}-manifest")
     before = Window.orderBy("first", "tie", "path").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return listed.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -241,6 +253,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     def docs(batches):
         from pyarrow import fs
 
+        forget()
         store, _ = fs.FileSystem.from_uri(folder)
         for b in batches:
             for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):

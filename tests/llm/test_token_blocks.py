@@ -58,3 +58,27 @@ def test_query_matches_brute_force(spark, tmp_path, tokenizer):
 
 def test_empty(spark):
     assert token_blocks.encode(spark.createDataFrame([], "doc_id long, text string"), registry.tokenizer_path()).count() == 0
+
+
+def test_encoder_remembers_a_bounded_number_of_words(tokenizer):
+    code, most = token_blocks.Encoder(registry.tokenizer_path()), 0
+    for k in range(0, 420_000, 30_000):
+        code([" ".join(f"w{i}x" for i in range(k, k + 30_000)).encode()])
+        most = max(most, len(code.words), len(code.parts))
+    assert most <= 340_000
+
+
+def test_small_batches_while_writing_and_no_words_kept_after(spark, monkeypatch, tmp_path):
+    import shutil
+
+    path, limits, save = str(tmp_path / "tokenizer.json"), [], token_blocks.common.save
+    shutil.copy(registry.tokenizer_path(), path)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(token_blocks.common, "save", lambda df, at: (limits.append(int(spark.conf.get(limit))), save(df, at))[1])
+    before = spark.conf.get(limit)
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    assert token_blocks.encode(docs, path).count() == 40
+    assert max(limits) <= 1000 and spark.conf.get(limit) == before
+    token_blocks.encoder(path)
+    token_blocks.forget()
+    assert not token_blocks._encoders
