@@ -120,3 +120,14 @@ def test_stream_writes_its_batch_only(spark, tmp_path):
 
     ingest.merge_stream(Stream(), table)
     assert now() == want
+
+
+def test_symbols_without_texts_shuffle_none(spark):
+    """What `resolve_incremental` reads of symbols goes through their window without the lines' texts."""
+    from codeatlas.plans import views
+
+    plan = views.calling(spark, "/root/testdata/sf0.001").select("path", "kind", "qualified_name", "name", "line", "byte_offset", "callee")._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Window":
+        plan = plan.children().head()
+    below = plan.children().head().output()
+    assert not {below.apply(i).name() for i in range(below.size())} & {"text", "content", "signature"}
